@@ -247,3 +247,15 @@ def page(listing: DataFrame, order: list[Column], start: int, count: int) -> Dat
         rows = rows.limit(count)
     # the total is one row
     return rows.join(F.broadcast(total))
+
+
+def folder_view(files: DataFrame, root_id: int, folder: str) -> DataFrame:
+    """Names directly in a folder, folders first, each with the files at or below it."""
+    prefix = f"{folder}/" if folder else ""
+    rest = F.substr("rel_path", F.lit(len(prefix) + 1))
+    inside = files.filter((F.col("root_id") == root_id) & F.col("rel_path").startswith(prefix))
+    return (
+        inside.groupBy(F.substring_index(rest, "/", 1).alias("name"))
+        .agg(F.max(rest.contains("/")).alias("is_dir"), F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("is_dir"), F.lower("name"))
+    )
