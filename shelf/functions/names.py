@@ -136,4 +136,4 @@ def track(name: Column, parents: Column) -> Column:
 
 def split_genres(text: Column) -> Column:
     """Genre names out of one tag."""
-    return F.filter(F.transform(F.split(text, "[;/,]"), F.trim), lambda g: g != "")
+    return F.filter(F.transform(F.split(text, "[;/,]"), lambda g: F.trim(g)), lambda g: g != "")

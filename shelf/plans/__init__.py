@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["browse_queries", "tree_queries", "watch_queries", "caption_queries"]
+MODULES = ["browse_queries", "tree_queries", "watch_queries", "caption_queries", "ingest_queries"]
 
 
 def load():

@@ -88,7 +88,7 @@ FROM b_movies WHERE file_id % 10 <> 1 GROUP BY root_id, rel_path""",
     "b_roots": """
 SELECT CAST(n_nationkey AS INT) AS root_id,
   CASE WHEN n_nationkey < 10 THEN 'movies' WHEN n_nationkey < 20 THEN 'tv' ELSE 'music' END AS kind,
-  '/vol' || CAST(n_regionkey AS STRING) || '/' || CASE WHEN n_nationkey < 10 THEN 'Movies' WHEN n_nationkey < 20 THEN 'TV' ELSE 'Music' END
+  '/vol' || CAST(n_nationkey AS STRING) || '/' || CASE WHEN n_nationkey < 10 THEN 'Movies' WHEN n_nationkey < 20 THEN 'TV' ELSE 'Music' END
     || CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE CAST(n_nationkey AS STRING) END AS path
 FROM nation""",
     "b_tv_series": """
@@ -107,12 +107,12 @@ UNION ALL SELECT -file_id, root_id, 'music', rel_path, mime, size, duration_ms,
 
 SPARK_ONLY = {
     "b_prints": """
-SELECT source AS season, doc_id AS episode, pos, CAST(conv(substr(md5(w),1,8),16,10) AS BIGINT) AS item
-FROM (SELECT source, doc_id, posexplode(split(text,' ')) AS (pos, w) FROM documents)"""
+SELECT source || '/' || substring_index(text,' ',1) AS season, doc_id AS episode, pos, CAST(conv(substr(md5(w),1,8),16,10) AS BIGINT) AS item
+FROM (SELECT source, doc_id, text, posexplode(split(text,' ')) AS (pos, w) FROM documents)"""
 }
 DUCK_ONLY = {
     "b_prints": """
-SELECT source AS season, doc_id AS episode, CAST(i-1 AS INT) AS pos, ('0x'||substr(md5(ws[i]),1,8))::BIGINT AS item
+SELECT source || '/' || ws[1] AS season, doc_id AS episode, CAST(i-1 AS INT) AS pos, ('0x'||substr(md5(ws[i]),1,8))::BIGINT AS item
 FROM (SELECT source, doc_id, ws, unnest(range(1,len(ws)+1)) AS i FROM (SELECT source, doc_id, string_split(text,' ') AS ws FROM documents))"""
 }
 NAMES = [*VIEWS, *SPARK_ONLY]

@@ -90,19 +90,19 @@ def words_of(line: Column) -> Column:
 
 
 def edl_segments(lines: DataFrame) -> DataFrame:
-    """Edit-list lines (file_id, duration_ms, line) as skippable segments, kind by position."""
+    """Edit-list lines (file_id, duration_ms, pos, line) as skippable segments, kind by position."""
     p = words_of(F.col("line"))
     start, end = F.get(p, F.lit(0)).try_cast("double"), F.get(p, F.lit(1)).try_cast("double")
     action = F.coalesce(F.get(p, F.lit(2)).try_cast("double").cast("int"), F.lit(0))
     df = lines.filter(~F.trim("line").startswith("#")).select(
-        "file_id", "duration_ms", (start * 1000).cast("long").alias("start_ms"), (end * 1000).cast("long").alias("end_ms"), action.alias("action")
+        "file_id", "duration_ms", "pos", (start * 1000).cast("long").alias("start_ms"), (end * 1000).cast("long").alias("end_ms"), action.alias("action")
     )
     df = df.filter(F.col("action").isin(0, 3) & (F.col("start_ms") >= 0) & (F.col("end_ms") > F.col("start_ms")))
     kind = (
         F.when(F.col("end_ms") >= F.col("duration_ms") - 10_000, "credits")
         .when(F.col("start_ms") <= 300_000, "intro").otherwise("commercial")
     )
-    return df.select("file_id", "start_ms", "end_ms", kind.alias("kind"), F.lit("edl").alias("source"))
+    return df.select("file_id", "pos", "start_ms", "end_ms", kind.alias("kind"), F.lit("edl").alias("source"))
 
 
 def rttm_segments(lines: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def caption_cues(texts: DataFrame) -> DataFrame:
     unified = F.regexp_replace(F.col("text"), "\r\n?", "\n")
     blocks = F.split(unified, r"\n[ \t]*(?:\n[ \t]*)+")
     df = texts.select("media_id", F.posexplode(blocks).alias("pos", "block"))
-    lines = F.transform(F.split("block", "\n"), F.trim)
+    lines = F.transform(F.split("block", "\n"), lambda l: F.trim(l))
 
     def timing(line: Column) -> Column:
         sides = F.split(line, "-->", 2)
