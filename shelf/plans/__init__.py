@@ -2,7 +2,10 @@
 
 import importlib
 
-MODULES = ["browse_queries", "tree_queries", "watch_queries", "caption_queries", "ingest_queries"]
+MODULES = [
+    "browse_queries", "item_queries", "tree_queries", "watch_queries", "caption_queries", "ingest_queries", "detect_queries", "frame_queries",
+    "enrich_queries",
+]
 
 
 def load():
