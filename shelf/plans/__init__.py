@@ -4,7 +4,7 @@ import importlib
 
 MODULES = [
     "browse_queries", "item_queries", "tree_queries", "watch_queries", "caption_queries", "ingest_queries", "detect_queries", "frame_queries",
-    "enrich_queries",
+    "enrich_queries", "stream_queries",
 ]
 
 
