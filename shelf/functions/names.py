@@ -19,7 +19,14 @@ EPISODE_CUT_WORDS = [
     "unrated", "amzn", "nf", "hulu", "dsnp", "hmax", "10bit", "8bit", r"hdr\d*", "dv", "sdr", "multi", "dubbed", "subbed",
 ]
 
-EPISODE_MARK = r"(?i)S(\d{1,2})[. _-]*E(\d{1,3})(?:[. _-]*E\d{1,3})*|(\d{1,2})x(\d{2,3})"
+# what comes before the mark, season and number in either spelling, what comes after
+EPISODE_SHAPE = r"(?is)^(.*?)(?:S(\d{1,2})[. _-]*E(\d{1,3})(?:[. _-]*E\d{1,3})*|(\d{1,2})x(\d{2,3}))(.*)$"
+PIECE = "\u0001"
+
+
+def let(value: Column, then) -> Column:
+    """Use a computed value several times in an expression while computing it once per row."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
 
 
 def base_name(path: Column) -> Column:
@@ -74,15 +81,20 @@ def _drop_tail_words(title: Column) -> Column:
 def movie(name: Column) -> Column:
     """struct(title, year): the last delimited 19xx/20xx that follows some title is the year."""
     delimiter = r"[. _\-()\[\]]"
-    # years do not overlap a delimiter, so each of two adjacent years is found
-    last = rf"^(.*{delimiter})((?:19|20)\d\d)(?=$|{delimiter})"
-    before = _drop_tail_words(clean_name(F.regexp_extract(name, "(?s)" + last, 1)))
-    year = F.regexp_extract(name, "(?s)" + last, 2)
-    dated = (year != "") & (before != "")
-    return F.struct(
-        F.when(dated, before).otherwise(_drop_tail_words(clean_name(name))).alias("title"),
-        F.when(dated, year.try_cast("int")).alias("year"),
-    )
+    # the year's own delimiters are not consumed, so each of two adjacent years is found
+    shape = rf"(?s)^(.*{delimiter})((?:19|20)\d\d)(?=$|{delimiter}).*$"
+
+    def made(p: Column) -> Column:
+        title = _drop_tail_words(clean_name(F.get(p, F.lit(0))))
+        year = F.get(p, F.lit(1)).try_cast("int")
+        return let(
+            F.struct(title.alias("t"), year.alias("y")),
+            lambda m: F.when(m["y"].isNotNull() & (m["t"] != ""), F.struct(m["t"].alias("title"), m["y"].alias("year"))).otherwise(
+                F.struct(_drop_tail_words(clean_name(name)).alias("title"), F.lit(None).cast("int").alias("year"))
+            ),
+        )
+
+    return let(F.split(F.regexp_replace(name, shape, f"$1{PIECE}$2"), PIECE), made)
 
 
 def without_series_year(series: Column) -> Column:
@@ -92,33 +104,31 @@ def without_series_year(series: Column) -> Column:
 
 def episode_title(text: Column) -> Column:
     """Text up to the first release word, stray separators off both ends."""
-    cut = rf"(?i)^[(\[]*(?:{'|'.join(EPISODE_CUT_WORDS)})\b"
-    words = F.split(squeeze(text), " ")
-    marks = F.transform(words, lambda w: w.rlike(cut))
-    first = F.array_position(marks, True)
-    kept = F.when(first > 0, F.slice(words, F.lit(1), (first - 1).cast("int"))).otherwise(words)
-    return F.regexp_replace(F.array_join(kept, " "), r"^[-( \[]+|[-( \[]+$", "")
+    cut = rf"(?is)(?:^| )[(\[]*(?:{'|'.join(EPISODE_CUT_WORDS)})\b.*$"
+    return F.regexp_replace(F.regexp_replace(squeeze(text), cut, ""), r"^[-( \[]+|[-( \[]+$", "")
 
 
 def episode(name: Column, parents: Column) -> Column:
     """struct(series, season, episode, title), null without an episode mark."""
-    whole = F.regexp_extract(name, EPISODE_MARK, 0)
-    at = F.position(whole, name)
-    first = F.nullif(F.regexp_extract(name, EPISODE_MARK, 1), F.lit(""))
-    second = F.nullif(F.regexp_extract(name, EPISODE_MARK, 2), F.lit(""))
-    season = F.coalesce(first, F.regexp_extract(name, EPISODE_MARK, 3)).try_cast("int")
-    number = F.coalesce(second, F.regexp_extract(name, EPISODE_MARK, 4)).try_cast("int")
-    own = without_series_year(clean_name(F.substr(name, F.lit(1), at - 1)))
-    cleaned = F.transform(F.reverse(parents), clean_name)
-    outer = F.filter(cleaned, lambda d: (d != "") & ~F.lower(d).startswith("season") & ~F.lower(d).startswith("series"))
-    near = without_series_year(F.get(outer, F.lit(0)))
-    series = F.coalesce(F.nullif(own, F.lit("")), F.nullif(near, F.lit("")), F.lit("Unknown Series"))
-    rest = episode_title(clean_name(F.substr(name, at + F.length(whole))))
-    title = F.coalesce(F.nullif(rest, F.lit("")), F.concat(F.lit("Episode "), number.cast("string")))
-    return F.when(
-        whole != "",
-        F.struct(series.alias("series"), season.alias("season"), number.alias("episode"), title.alias("title")),
-    )
+    some = lambda c: F.nullif(c, F.lit(""))
+
+    def near(_: Column) -> Column:
+        cleaned = F.transform(F.reverse(parents), lambda d: clean_name(d))
+        outer = F.filter(cleaned, lambda d: ~F.lower(d).rlike("^(season|series|$)"))
+        return some(without_series_year(F.get(outer, F.lit(0))))
+
+    def made(p: Column) -> Column:
+        at = lambda i: F.get(p, F.lit(i))
+        number = F.coalesce(some(at(2)), at(4)).try_cast("int")
+        own = let(without_series_year(clean_name(at(0))), lambda o: F.coalesce(some(o), near(o), F.lit("Unknown Series")))
+        title = F.coalesce(some(episode_title(clean_name(at(5)))), F.concat(F.lit("Episode "), number.cast("string")))
+        fields = F.struct(
+            own.alias("series"), F.coalesce(some(at(1)), at(3)).try_cast("int").alias("season"), number.alias("episode"), title.alias("title")
+        )
+        return F.when(F.size(p) > 1, fields)
+
+    pieces = PIECE.join(f"${i}" for i in range(1, 7))
+    return let(F.split(F.regexp_replace(name, EPISODE_SHAPE, pieces), PIECE), made)
 
 
 def track(name: Column, parents: Column) -> Column:

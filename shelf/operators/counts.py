@@ -46,15 +46,11 @@ def movie_totals(items: DataFrame) -> DataFrame:
     return works.agg(*[F.count_if(F.col(n)).alias(n) for n in tests])
 
 
-def _distinct_per(items: DataFrame, keys: dict[str, Column], groups: Column) -> DataFrame:
-    """Distinct works per (dim, value) out of an array of (dim, value) pairs per row."""
-    pairs = items.select(*[c.alias(n) for n, c in keys.items()], F.explode(groups).alias("g"))
-    works = pairs.select(*keys, "g.dim", "g.value").filter("value is not null").distinct()
-    return works.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def movie_counts(items: DataFrame) -> DataFrame:
-    """Distinct works by year, decade, genre, director, franchise and rating bucket in one job."""
+    """Distinct works by year, decade, genre, director, franchise and rating bucket in one job.
+
+    A franchise counts from two files on, so files are counted along with the works.
+    """
     def pair(dim: str, value: Column) -> Column:
         return F.struct(F.lit(dim).alias("dim"), value.cast("string").alias("value"))
 
@@ -63,10 +59,11 @@ def movie_counts(items: DataFrame) -> DataFrame:
         pair("director", F.col("director")), pair("rating", rating_bucket(F.col("rating"))),
         pair("franchise", F.nullif(F.lower("collection"), F.lit(""))),
     )
-    counted = _distinct_per(items, movie_keys(), groups)
-    big = big_franchises(items).select(F.lit("franchise").alias("dim"), F.col("k_collection").alias("value"))
-    single = counted.filter("dim = 'franchise'").join(big, ["dim", "value"], "left_semi")
-    return counted.filter("dim <> 'franchise'").unionByName(single)
+    keys = movie_keys()
+    pairs = items.select(*[c.alias(n) for n, c in keys.items()], F.explode(groups).alias("g")).filter("g.value is not null")
+    works = pairs.groupBy("g.dim", "g.value", *keys).agg(F.count(F.lit(1)).alias("files"))
+    counted = works.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("files").alias("files"))
+    return counted.filter("dim <> 'franchise' or files >= 2").select("dim", "value", "n")
 
 
 def track_counts(tracks: DataFrame) -> DataFrame:

@@ -89,38 +89,57 @@ def episode_tasks(media: DataFrame, texts: DataFrame, inventory: DataFrame, refr
     )
 
 
+def _by_season(tasks: DataFrame, refresh: bool) -> DataFrame:
+    """Tasks gathered per (series, season); series rows are gathered from these, so tasks are parsed once."""
+    at = F.struct("root_id", "rel_path")
+    poster = F.col("loose") & (~F.col("has_poster") | F.lit(refresh))
+    return tasks.groupBy("k_series", "season").agg(
+        F.min(F.struct(at.alias("at"), "series")).alias("first"),
+        F.max(F.when(~F.col("loose"), F.struct(at.alias("at"), "root_id", "series_dir"))).alias("placed"),
+        F.min(F.when(F.col("season_dir").isNotNull(), F.struct(at.alias("at"), "root_id", "season_dir"))).alias("dir"),
+        F.count_if("write_nfo").alias("episodes"), F.count_if(poster).alias("loose_posters"),
+    )
+
+
+def _folder_sidecar(df: DataFrame, texts: DataFrame, folder: str, name: str) -> DataFrame:
+    nfo = texts.filter(F.col("rel_path").endswith("/" + name)).select("root_id", F.col("rel_path").alias("_nfo"), "text")
+    return df.withColumn("_nfo", F.concat(folder, F.lit("/" + name))).join(nfo, ["root_id", "_nfo"], "left").withColumn("n", nfo_state(F.col("text")))
+
+
+def _needed(lacks: Column, refresh: bool, force: bool) -> Column:
+    state = F.col("n.state")
+    return F.when(state == "missing", True).when(state == "generated", F.lit(refresh) | lacks).otherwise(F.lit(refresh and force))
+
+
 def series_plans(tasks: DataFrame, texts: DataFrame, inventory: DataFrame, refresh: bool = False, force: bool = False) -> DataFrame:
     """One row per series with work: its folder, episodes to describe, posters and folder sidecars to write."""
-    at = F.struct("root_id", "rel_path")
-    grouped = tasks.groupBy("k_series").agg(
-        F.min_by("series", at).alias("series"), F.max_by(F.struct("root_id", "series_dir"), F.when(~F.col("loose"), at)).alias("d"),
-        F.count_if("write_nfo").alias("episodes"), F.count_if(F.col("loose") & (~F.col("has_poster") | F.lit(refresh))).alias("loose_posters"),
-    ).select("k_series", "series", F.col("d.root_id").alias("root_id"), F.col("d.series_dir").alias("series_dir"), "episodes", "loose_posters")
-    nfo = texts.select("root_id", F.col("rel_path").alias("_nfo"), "text")
-    there = inventory.select("root_id", F.col("rel_path").alias("_poster"), F.lit(True).alias("_there"))
-    df = grouped.withColumn("_nfo", F.concat("series_dir", F.lit("/tvshow.nfo"))).withColumn("_poster", F.concat("series_dir", F.lit("/poster.jpg")))
-    df = df.join(nfo, ["root_id", "_nfo"], "left").join(there, ["root_id", "_poster"], "left").withColumn("n", nfo_state(F.col("text")))
-    n, foldered = F.col("n"), F.col("series_dir").isNotNull()
-    lacks = F.lit(refresh) | ~n["has_plot"] | ~n["has_imdb"] | ~n["has_premiered"]
-    write_show = foldered & F.when(n["state"] == "missing", True).when(n["state"] == "generated", lacks).otherwise(F.lit(refresh and force))
+    by_season = _by_season(tasks, refresh)
+    grouped = by_season.groupBy("k_series").agg(
+        F.min("first").alias("first"), F.max("placed").alias("d"), F.sum("episodes").alias("episodes"), F.sum("loose_posters").alias("loose_posters"),
+    ).select("k_series", F.col("first.series").alias("series"), "d.root_id", "d.series_dir", "episodes", "loose_posters")
+    there = inventory.filter(F.col("rel_path").endswith("/poster.jpg")).select("root_id", F.col("rel_path").alias("_poster"), F.lit(True).alias("_there"))
+    df = _folder_sidecar(grouped, texts, "series_dir", "tvshow.nfo").withColumn("_poster", F.concat("series_dir", F.lit("/poster.jpg")))
+    df = df.join(there, ["root_id", "_poster"], "left")
+    foldered = F.col("series_dir").isNotNull()
+    lacks = ~F.col("n.has_plot") | ~F.col("n.has_imdb") | ~F.col("n.has_premiered")
     write_poster = foldered & (F.col("_there").isNull() | F.lit(refresh))
-    seasons = season_sidecars(tasks, texts, refresh, force).groupBy("k_series").agg(F.count(F.lit(1)).alias("season_nfos"))
+    seasons = _season_sidecars(by_season, texts, refresh, force).groupBy("k_series").agg(F.count(F.lit(1)).alias("season_nfos"))
     df = df.join(seasons, "k_series", "left").select(
-        "k_series", "series", "root_id", "series_dir", "episodes", "loose_posters", write_show.alias("write_show_nfo"), write_poster.alias("write_poster"),
-        F.coalesce("season_nfos", F.lit(0)).alias("season_nfos"),
+        "k_series", "series", "root_id", "series_dir", "episodes", "loose_posters", (foldered & _needed(lacks, refresh, force)).alias("write_show_nfo"),
+        write_poster.alias("write_poster"), F.coalesce("season_nfos", F.lit(0)).alias("season_nfos"),
     )
     return df.filter("episodes > 0 or write_poster or loose_posters > 0 or write_show_nfo or season_nfos > 0")
 
 
+def _season_sidecars(by_season: DataFrame, texts: DataFrame, refresh: bool, force: bool) -> DataFrame:
+    dirs = by_season.filter("dir is not null").select("k_series", "season", "dir.root_id", "dir.season_dir")
+    found = _folder_sidecar(dirs, texts, "season_dir", "season.nfo")
+    return found.filter(_needed(~F.col("n.has_plot"), refresh, force)).select("k_series", "season", "root_id", "season_dir")
+
+
 def season_sidecars(tasks: DataFrame, texts: DataFrame, refresh: bool = False, force: bool = False) -> DataFrame:
     """Season folders whose season.nfo is missing or lacks a plot: (k_series, season, root_id, season_dir)."""
-    at = F.struct("root_id", "rel_path")
-    dirs = tasks.filter("season_dir is not null").groupBy("k_series", "season").agg(F.min_by(F.struct("root_id", "season_dir"), at).alias("d")).select("k_series", "season", "d.*")
-    nfo = texts.select("root_id", F.col("rel_path").alias("_nfo"), "text")
-    df = dirs.withColumn("_nfo", F.concat("season_dir", F.lit("/season.nfo"))).join(nfo, ["root_id", "_nfo"], "left").withColumn("n", nfo_state(F.col("text")))
-    n = F.col("n")
-    need = F.when(n["state"] == "missing", True).when(n["state"] == "generated", F.lit(refresh) | ~n["has_plot"]).otherwise(F.lit(refresh and force))
-    return df.filter(need).select("k_series", "season", "root_id", "season_dir")
+    return _season_sidecars(_by_season(tasks, refresh), texts, refresh, force)
 
 
 def match_movies(tasks: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from shelf.functions.names import base_name, folders, path_stem, stem
 # fixed values: picture names that stand for a whole folder, in order of preference
 DIR_ART = ["cover.jpg", "cover.png", "folder.jpg", "front.jpg", "poster.jpg", "poster.png"]
 SHOW_ART = ["poster.jpg", "poster.png", "folder.jpg"]
-POSTER_TYPES = ["jpg", "png"]
 
 
 def settled(files: DataFrame, now: int, grace_s: int) -> DataFrame:
@@ -30,7 +29,7 @@ def unfinished(files: DataFrame) -> DataFrame:
 
 
 def folder_of(path: Column) -> Column:
-    return F.array_join(folders(path), "/")
+    return F.regexp_replace(path, "/?[^/]*$", "")
 
 
 def sibling(path: Column, ext: str) -> Column:
@@ -50,26 +49,31 @@ def discover_art(media: DataFrame, inventory: DataFrame) -> DataFrame:
     """Media with ``found_art``: the best picture beside each file, by kind.
 
     Movies take only their own poster; episodes their own, the folder's, then the folder
-    above's, never one in the root itself; tracks take the folder's cover.
+    above's, never one in the root itself; tracks take the folder's cover. Folder pictures
+    are settled once per folder.
     """
-    rel, kind = F.col("rel_path"), F.col("kind")
-    folder = folder_of(rel)
+    pictures = inventory.filter(F.lower("rel_path").rlike(r"\.(jpg|png)$")).select("root_id", F.col("rel_path").alias("art_path"))
+    poster = r"^(.*)-poster\.(jpg|png)$"
+    own = pictures.filter(F.col("art_path").rlike(poster)).groupBy("root_id", F.regexp_extract("art_path", poster, 1).alias("_stem")).agg(
+        F.min("art_path").alias("_own")  # jpg sorts before png
+    )
+    placed = media.withColumn("_dir", F.regexp_replace("rel_path", "/?[^/]*$", "")).withColumn(
+        "_stem", F.coalesce(path_stem(F.col("rel_path")), F.col("rel_path"))
+    )
+    inside = lambda where, name: F.when(where == "", F.lit(name)).otherwise(F.concat(where, F.lit("/" + name)))
+    folder = F.col("_dir")
     above = F.when(folder.contains("/"), F.regexp_replace(folder, "/[^/]*$", ""))
-
-    def inside(where: Column, name: Column) -> Column:
-        return F.when(where == "", name).otherwise(F.concat(where, F.lit("/"), name))
-
-    own = [inside(folder, F.concat(stem(rel), F.lit(f"-poster.{ext}"))) for ext in POSTER_TYPES]
-    shared = [F.when(folder != "", inside(folder, F.lit(n))) for n in SHOW_ART]
-    upper = [inside(above, F.lit(n)) for n in SHOW_ART]
-    cover = [inside(folder, F.lit(n)) for n in DIR_ART]
-    candidates = (
-        F.when(kind == "music", F.array(*cover)).when(kind == "tv", F.array(*own, *shared, *upper)).otherwise(F.array(*own))
+    shared = [F.when(folder != "", inside(folder, n)) for n in SHOW_ART]
+    upper = [inside(above, n) for n in SHOW_ART]
+    cover = [inside(folder, n) for n in DIR_ART]
+    dirs = placed.filter("kind <> 'movies'").select("root_id", "kind", "_dir").distinct()
+    tried = dirs.select(
+        "root_id", "kind", "_dir", F.posexplode(F.when(F.col("kind") == "music", F.array(*cover)).otherwise(F.array(*shared, *upper))).alias("rank", "art_path")
     )
-    pictures = inventory.filter(F.lower("rel_path").rlike(r"\.(jpg|png)$")).select("root_id", F.col("rel_path").alias("art_path"))
-    tried = media.select("root_id", "rel_path", F.posexplode(candidates).alias("rank", "art_path"))
-    best = tried.join(pictures, ["root_id", "art_path"]).groupBy("root_id", "rel_path").agg(F.min_by("art_path", "rank").alias("found_art"))
-    return media.join(best, ["root_id", "rel_path"], "left")
+    best = tried.join(pictures, ["root_id", "art_path"]).groupBy("root_id", "kind", "_dir").agg(F.min_by("art_path", "rank").alias("_shared"))
+    df = placed.join(own, ["root_id", "_stem"], "left").join(best, ["root_id", "kind", "_dir"], "left")
+    found = F.when(F.col("kind") == "music", F.col("_shared")).otherwise(F.coalesce("_own", "_shared"))
+    return df.withColumn("found_art", found).drop("_dir", "_stem", "_own", "_shared")
 
 
 def with_overrides(media: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -27,12 +27,17 @@ def has_hot_group(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS)
     return len(counts.filter(F.col("n") > hot_rows).limit(1).take(1)) > 0
 
 
+def chunk_column(group: Sequence[str], order: Sequence[str]) -> str:
+    """Name of the chunk tag for an order; further group columns must follow the same order to share it."""
+    return "_".join([CHUNK, group[0], *order])
+
+
 def chunked(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Tag rows with a chunk number so that a group's chunks are contiguous in its order."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tagged = df.repartitionByRange(parts, *group, *order).withColumn(CHUNK, F.spark_partition_id())
+    tagged = df.repartitionByRange(parts, *group, *order).withColumn(chunk_column(group, order), F.spark_partition_id())
     # range borders come from a sample, so the tag is written once and read back
     return tagged.checkpoint()
 
@@ -68,20 +73,21 @@ def ordered_columns(
     """Add ordered columns per group; ``order`` must be a total ascending order of plain columns.
 
     Each spec is ``name=(kind, column)`` with kind row_number, sum, sum_before, last,
-    last_before, lag or lead. A frame already carrying chunks reuses them.
+    last_before, lag or lead. A frame already cut into chunks for this order reuses them.
     """
     group, order = list(group), list(order)
-    if CHUNK not in df.columns:
+    chunk = chunk_column(group, order)
+    if chunk not in df.columns:
         if not has_hot_group(df, group, hot_rows):
             for name, (kind, *value) in specs.items():
                 df = df.withColumn(name, _local(kind, value[0] if value else None, group, order))
             return df
         df = chunked(df, group, order)
 
-    keys = [CHUNK, *group]
+    keys = [chunk, *group]
     position = F.struct(*order)
     carries, links = [], []
-    over_chunks = Window.partitionBy(*group).orderBy(CHUNK)
+    over_chunks = Window.partitionBy(*group).orderBy(chunk)
     earlier = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
     for i, (name, (kind, *value)) in enumerate(specs.items()):
         value = value[0] if value else None

@@ -32,6 +32,7 @@ FIXED_NODES = [
 
 ITEM_FIELDS = ["kind", "title", "year", "rating", "genre", "director", "artist", "album", "series", "season", "episode",
                "size", "duration_ms", "width", "height", "extras", "art_file_id"]
+FOLDER_FIELDS = ["folder_root", "folder"]
 ORDER_FIELDS = ["k0", "n1", "n2", "k3", "file_id"]
 
 
@@ -156,6 +157,8 @@ def _shaped(df: DataFrame, node: Column, kind: str | Column, title: Column, orde
         else:
             value = F.lit(None)
         cols.append(value.cast(types.get(name, "string")).alias(name))
+    cols.append(known.get("folder_root", F.lit(None)).cast("long").alias("folder_root"))
+    cols.append(known.get("folder", F.lit(None)).cast("string").alias("folder"))
     return df.select(*cols)
 
 
@@ -167,8 +170,6 @@ def _movie_rows(lib: Library) -> DataFrame:
     own = F.array_compact(F.array(
         F.lit("mv:all"),
         F.when(K.is_uhd(c("width"), c("height")), "mv:4k"),
-        F.when(c("year").isNotNull(), K.node_id("mv:year", c("year"))),
-        F.when(c("year").isNotNull(), K.node_id("mv:decade", K.decade(c("year")))),
         F.when(c("set_name").isNotNull(), K.node_id("mv:set", K.encode(c("set_name")))),
         F.when(K.rating_bucket(c("rating")).isNotNull(), K.node_id("mv:rating", K.rating_bucket(c("rating")))),
     ))
@@ -191,6 +192,10 @@ def node_items(lib: Library, recent: int = 25) -> DataFrame:
     rows = _movie_rows(lib).withColumn("_r", F.when(rated, -c("rating")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("_r", F.coalesce("_r", F.lit(0.0)))
     film = merge_renditions(rows, {"node_id": c("node_id"), **movie_keys()}, listings.MOVIE_FIELDS, [c("_r"), c("file_id")])
+    # the year is part of a work, so All Movies' works serve the year and decade views too
+    dated = F.when((c("node_id") == "mv:all") & c("year").isNotNull(), F.array(
+        F.lit("mv:all"), K.node_id("mv:year", c("year")), K.node_id("mv:decade", K.decade(c("year"))))).otherwise(F.array("node_id"))
+    film = film.withColumn("node_id", F.explode(dated))
     title = F.when(rated, K.with_score(c("title"), c("rating"))).otherwise(c("title"))
     title = F.when(c("node_id").startswith("mv:year:"), title).otherwise(K.with_year(title, c("year")))
     n1 = F.when(rated, -c("rating")).when(by_year, c("year").cast("double")).otherwise(F.lit(0.0))
@@ -219,7 +224,7 @@ def node_items(lib: Library, recent: int = 25) -> DataFrame:
     out.append(_shaped(listings.recent(e, recent), F.lit("tv:recent"), "tv", full, newest))
 
     folder = F.when(c("rel_path").contains("/"), F.regexp_replace(c("rel_path"), "/[^/]*$", "")).otherwise(F.lit(""))
-    out.append(_shaped(lib.files, K.dir_id(c("root_id"), folder), c("kind"), c("title"), {"k3": F.lower("title")}))
+    out.append(_shaped(lib.files, K.dir_id(c("root_id"), folder), c("kind"), c("title"), {"k3": F.lower("title")}, folder_root=c("root_id"), folder=folder))
 
     result = out[0]
     for df in out[1:]:
@@ -297,54 +302,55 @@ def node_counts(lib: Library, recent: int = 25) -> DataFrame:
     return result.unionByName(empty.join(result.select("count_id"), "count_id", "left_anti"))
 
 
-def scopes(node: Column, kind: Column) -> Column:
+def scopes() -> Column:
     """Containers whose subtree shows a leaf listing when one exhaustive view stands for each section.
 
     A folder is reached from at most five levels up.
     """
+    node, kind = F.col("node_id"), F.col("kind")
     parts = F.split(node, ":")
     head = F.concat_ws(":", F.slice(parts, 1, 2))
     artist = K.node_id("mu:artist", F.get(parts, F.lit(2)))
     series = K.node_id("tv:ser", F.get(parts, F.lit(2)))
-    root = K.node_id("dir", F.get(parts, F.lit(1)))
-    rel = F.when(F.size(parts) > 2, K.decode(F.get(parts, F.lit(2)))).otherwise(F.lit(""))
-    depth = F.when(rel == "", F.lit(0)).otherwise(F.size(F.split(rel, "/")))
-    up = F.transform(
-        F.sequence(F.lit(0), F.least(depth, F.lit(5))),
-        lambda i: K.dir_id(F.get(parts, F.lit(1)), F.array_join(F.slice(F.split(rel, "/"), F.lit(1), (depth - i).cast("int")), "/")),
-    )
-    view = F.when(depth <= 4, F.array(F.concat(section_of(kind), F.lit(":dir")))).otherwise(F.array().cast("array<string>"))
+    levels = F.when(F.col("folder") == "", F.lit(0)).otherwise(F.size(F.split("folder", "/")))
+    # the folder itself and up to five above it, by cutting names off the end
+    up = [F.when(levels >= i, K.dir_id(F.col("folder_root"), F.when(levels == i, F.lit("")).otherwise(
+        F.regexp_replace("folder", rf"(/[^/]*){{{i}}}$", "") if i else F.col("folder")))) for i in range(6)]
+    view = F.when(levels <= 4, F.concat(section_of(kind), F.lit(":dir")))
     return (
         F.when(node == "mv:all", F.array(F.lit("mv:all"), F.lit("mv"), F.lit("0")))
         .when(head == "mu:album", F.array(node, artist, F.lit("mu:artist"), F.lit("mu:album"), F.lit("mu"), F.lit("0")))
         .when(head == "tv:ser", F.array(node, series, F.lit("tv"), F.lit("0")))
-        .when(F.get(parts, F.lit(0)) == "dir", F.concat(up, view))
+        .when(F.col("folder").isNotNull(), F.array_compact(F.array(*up, view)))
         .when(F.size(parts) == 3, F.array(node, head))
         .otherwise(F.array(node))
     )
 
 
+# containers whose children can show one file twice; all others split their files among their children
+SHARED_SCOPES = ["mv:genre", "mv:director", "mu:genre"]
+
+
 def flatten(items: DataFrame) -> DataFrame:
-    """Items under every container, each file once per container at its first place."""
-    spread = items.select(F.explode(scopes(F.col("node_id"), F.col("kind"))).alias("scope"), "*")
+    """Items under every container, each file once per container at its first place.
+
+    Only a few containers have overlapping children; the rest need no shuffle at all.
+    """
+    spread = items.select(F.explode(scopes()).alias("scope"), "*")
     place = F.struct("node_id", *ORDER_FIELDS)
-    return (
-        spread.groupBy("scope", "file_id")
-        .agg(F.min_by(F.struct(*ITEM_FIELDS), place).alias("i"), F.min(place).alias("place"))
-        .select("scope", "file_id", "i.*", "place")
-    )
+    plain = spread.filter(~F.col("scope").isin(SHARED_SCOPES)).select("scope", "file_id", *ITEM_FIELDS, place.alias("place"))
+    return plain.unionByName(_first_places(spread.filter(F.col("scope").isin(SHARED_SCOPES)), ["scope", "file_id"]))
+
+
+def _first_places(rows: DataFrame, key: list[str]) -> DataFrame:
+    place = F.struct("node_id", *ORDER_FIELDS)
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*ITEM_FIELDS), place).alias("i"), F.min(place).alias("place")).select(*key, "i.*", "place")
 
 
 def flatten_scope(items: DataFrame, scope: str) -> DataFrame:
     """Items under one container in listing order."""
-    inside = items.filter(F.array_contains(scopes(F.col("node_id"), F.col("kind")), scope))
-    place = F.struct("node_id", *ORDER_FIELDS)
-    return (
-        inside.groupBy("file_id")
-        .agg(F.min_by(F.struct(*ITEM_FIELDS), place).alias("i"), F.min(place).alias("place"))
-        .select("file_id", "i.*", "place")
-        .orderBy("place")
-    )
+    inside = items.filter(F.array_contains(scopes(), scope))
+    return _first_places(inside, ["file_id"]).orderBy("place")
 
 
 def node_detail(tree: DataFrame, totals: DataFrame) -> DataFrame:

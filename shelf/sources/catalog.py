@@ -71,8 +71,9 @@ def write_snapshot(spark: SparkSession, base: str, tables: dict[str, DataFrame])
 
 
 def read_table(spark: SparkSession, base: str, name: str, version: int | None = None) -> DataFrame:
-    """A table of the newest (or a given) version; an empty frame before the first one."""
+    """A table of the newest (or a given) version; empty where it was never written."""
     version = version or current_version(spark, base)
-    if version is None:
+    target, fs = _hadoop(spark, f"{base}/v={version}/{name}")
+    if version is None or not fs.exists(target):
         return spark.createDataFrame([], schema(name))
     return spark.read.schema(schema(name)).parquet(f"{base}/v={version}/{name}")

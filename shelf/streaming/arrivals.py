@@ -103,7 +103,7 @@ def settle_batch(events: DataFrame, until: Column, window_s: int = SETTLE_S, hot
     same = F.struct("size", "mtime", F.col("kind").alias("kind"))
     seen = ordered_columns(events, ["path"], order, hot_rows, _prev=("lag", same))
     starts = seen.filter(~F.col("_prev").eqNullSafe(F.struct("size", "mtime", "kind"))).drop("_prev")
-    runs = ordered_columns(starts.drop("_chunk"), ["path"], order, hot_rows, _next=("lead", F.col("ts")))
+    runs = ordered_columns(starts, ["path"], order, hot_rows, _next=("lead", F.col("ts")))
     due = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + window_s * 1_000_000)
     held = due <= F.coalesce(F.col("_next").cast("timestamp"), until)
     return runs.filter((F.col("kind") == "seen") & held).select("path", "size", "mtime", due.alias("due_at"))
