@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelf.operators import reconcile, segments
+from shelf.session import checkpoint_dir
 from shelf.sources import inventory as inv
 from shelf.sources import probes, sidecars
 from shelf.sources.catalog import conform
@@ -25,7 +26,12 @@ class Found:
 
 
 def refresh(known: dict[str, DataFrame], found: Found, now: int, grace_s: int = 30) -> dict[str, DataFrame]:
-    """Catalog tables after a refresh; rows whose file and sidecars stand as they did are carried over."""
+    """Catalog tables after a refresh; rows whose file and sidecars stand as they did are carried over.
+
+    The frames every table draws on are written to the checkpoint folder once, so a dozen
+    output tables do not each repeat the diff and the parsing.
+    """
+    checkpoint_dir(found.roots.sparkSession)
     on = ["root_id", "rel_path"]
     media = inv.media_files(found.inventory)
     fresh = media.filter(F.lit(now) - F.col("mtime") < max(grace_s, 1)).select(*on)
@@ -43,7 +49,8 @@ def refresh(known: dict[str, DataFrame], found: Found, now: int, grace_s: int =
     # a file still being written keeps its row untouched
     held = files.join(fresh, on, "left_semi")
     diffed = reconcile.diff(files.join(fresh, on, "left_anti"), walk, found.roots)
-    after = reconcile.next_files(diffed, files, now)
+    diffed = diffed.checkpoint()
+    after = reconcile.next_files(diffed, files, now).checkpoint()
     redo = after.filter(F.col("action").isin("new", "changed", "retry", "stale"))
     keep = after.filter("action = 'same'").select("file_id").unionByName(held.select("file_id"))
     keep = keep.unionByName(reconcile.untouched_roots(files, found.roots).select("file_id"))
@@ -53,13 +60,14 @@ def refresh(known: dict[str, DataFrame], found: Found, now: int, grace_s: int =
     nfo_text = found.texts.filter(F.col("rel_path").endswith(".nfo")).select("root_id", F.col("rel_path").alias("_side"), "text")
     nfo = sidecars.read_nfo(side.join(nfo_text, ["root_id", "_side"]).select("file_id", "text"))
     probed = job.join(found.probes, on).select("file_id", "json")
-    tech = probes.tech_columns(probed)
+    tech = probes.tech_columns(probed).checkpoint()
     tagged = job.join(found.tags, on).drop(*on, "kind")
     overrides = sidecars.music_overrides(found.texts)
 
-    film = reconcile.movie_facts(job.filter("kind = 'movies'"), nfo, tech)
+    nfo = nfo.checkpoint()
+    film = reconcile.movie_facts(job.filter("kind = 'movies'"), nfo, tech).checkpoint()
     shows = reconcile.episode_facts(job.filter("kind = 'tv'"), nfo)
-    songs = reconcile.track_facts(job.filter("kind = 'music'"), tagged.drop("embedded_art"), overrides)
+    songs = reconcile.track_facts(job.filter("kind = 'music'"), tagged.drop("embedded_art"), overrides).checkpoint()
 
     def carried(name: str, new: DataFrame) -> DataFrame:
         old = known[name].join(keep, "file_id", "left_semi")
@@ -68,7 +76,8 @@ def refresh(known: dict[str, DataFrame], found: Found, now: int, grace_s: int =
     genres = reconcile.ensure_names(
         known["genres"], film.select(F.explode("genres").alias("name")).unionByName(songs.select(F.explode("genres").alias("name")))
     )
-    directors = reconcile.ensure_names(known["directors"], film.select(F.explode("directors").alias("name")))
+    genres = genres.checkpoint()
+    directors = reconcile.ensure_names(known["directors"], film.select(F.explode("directors").alias("name"))).checkpoint()
 
     def bridged(facts: DataFrame, column: str, dimension: DataFrame, key: str) -> DataFrame:
         used = facts.select("file_id", F.explode(column).alias("n")).select("file_id", F.lower(F.trim("n")).alias("_k"))
