@@ -15,8 +15,11 @@ from shelf.sources.bridge import view
 def any_items(spark, sf):
     """Every visible file of any kind; tracks carry negative ids so they do not collide with movies."""
     files = view(spark, sf, "b_files")
+    # a catalog has one fact row per file; the bridge's line items can repeat an id
+    m = view(spark, sf, "b_movies").select("file_id", "title", "year", "rating").distinct()
     t = view(spark, sf, "b_tracks").withColumn("file_id", -F.col("file_id"))
-    return items.any_items(files, view(spark, sf, "b_movies"), view(spark, sf, "b_episodes"), t)
+    t = t.select("file_id", "title", "year", "artist", "album", "track_no").distinct()
+    return items.any_items(files, m, view(spark, sf, "b_episodes"), t)
 
 
 def library(spark, sf) -> tree.Library:

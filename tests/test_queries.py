@@ -1,11 +1,11 @@
-"""Every registered query beside its SQL twin at the smallest scale."""
+"""Every registered query beside its SQL twin, at the smallest scale where the bridge gives each line item its own file_id."""
 
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import compare, connect
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 
