@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelf.llm import common, decontam, mixing, quality, sharding, urls
+from shelf.llm import common, decontam, mixing, quality, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.grouped(docs, ["doc_id"]).select(
+        "row.doc_id", F.lower(F.lpad(F.hex("a"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id")
+    )
+
+
 @query("op9_decontamination", r"""
 with norm as (
   select 'd' as kind, doc_id::varchar as id, row_number() over () as nr, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
