@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelf.llm import common, decontam, mixing, quality, sharding, simhash, urls
+from shelf.llm import common, decontam, licenses, mixing, quality, sharding, simhash, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +117,41 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_warc", """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+b as (
+  select *, list_aggregate(list_transform(range(40), lambda i: list_extract(
+    ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'],
+    instr('0123456789abcdef', substr(hex, i + 1, 1)))), 'string_agg', '') as bits
+  from p),
+f as (select hex, min(page_id) as first from p group by hex)
+select page_id, octet_length(encode(html))::bigint as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::int
+    + 8 * substr(bits, 5 * i + 2, 1)::int + 4 * substr(bits, 5 * i + 3, 1)::int + 2 * substr(bits, 5 * i + 4, 1)::int
+    + substr(bits, 5 * i + 5, 1)::int, 1)), 'string_agg', '') as payload_digest,
+  case when page_id <> first then 'revisit' else 'response' end as record_type, case when page_id <> first then first end as refers_to
+from b join f using (hex)
+""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    records = warc.read(warc.write(pages), payloads=False)
+    return records.select(
+        F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
+@query("op8_license_scans")
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    matches = F.col("licenses.matches")
+    line = F.transform(matches, lambda m: F.format_string("%s:%d-%d:%.4f", m["template"], m["first_word"], m["last_word"], m["containment"]))
+    return licenses.scanned(docs).select(
+        "doc_id", "licenses.n_words", F.size(matches).cast("long").alias("n_matches"),
+        F.array_join(F.array_distinct(F.transform(matches, lambda m: m["template"])), ",").alias("templates"), F.array_join(line, ";").alias("matches"),
+    )
+
+
 @query("op9_decontamination", r"""
 with norm as (
   select 'd' as kind, doc_id::varchar as id, row_number() over () as nr, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
