@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelf.llm import common, decontam, licenses, mixing, quality, sharding, simhash, urls, warc
+from shelf.llm import common, decontam, licenses, mixing, quality, repeats, sharding, simhash, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query("op5_substring_dedup", f"""
+with d as (select doc_id, row_number() over () as nr, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),
+w as (
+  select nr, i, array_to_string(ws[i:i + 34], ' ') as win
+  from (select nr, ws, unnest(generate_series(1, len(ws) - 34)) as i from d where len(ws) >= 35)),
+r as (select nr, i, count(*) over (partition by win) > 1 as hit from w),
+g as (select distinct nr, unnest(generate_series(i, i + 34)) as i from r where hit),
+e as (select nr, unnest(ws) as word, generate_subscripts(ws, 1) as i from d),
+k as (select e.nr, string_agg(word, ' ' order by e.i) as kept, count(*) as n from e anti join g on e.nr = g.nr and e.i = g.i group by e.nr)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (nr)
+""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
