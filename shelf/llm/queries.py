@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelf.llm import common, decontam, licenses, mixing, quality, repeats, sharding, simhash, urls, warc
+from shelf.llm import common, decontam, hmm, licenses, mixing, quality, repeats, sharding, simhash, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_substring_dedup", f"""
 with d as (select doc_id, row_number() over () as nr, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),
 w as (
