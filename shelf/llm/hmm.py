@@ -34,7 +34,7 @@ SEGMENT = 100_000
 
 def planes(x: np.ndarray) -> bytes:
     """The numbers' bytes by place, so that the high ones, mostly equal, compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def unplaned(data: bytes, kind: type) -> np.ndarray:
