@@ -81,7 +81,7 @@ class Automaton:
                     ends.append(chars)
                 out["spans"].append({"start": ends[0], "end": ends[1]})
             out["n_hit"] = sum(last - first for first, last in runs)
-            out["items"] = sorted(self.names[k] for k in owners)
+            out["items"] = sorted({self.names[k] for k in owners})
         return out
 
 

@@ -283,7 +283,7 @@ def fitted(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int
     lexicon = words.withColumn("c", c).withColumn("first", (F.min("chunk").over(by_word) == F.col("chunk")) & (F.col("c") > 0))
     lexicon = lexicon.select(
         "chunk", "pos", "c", "first", F.pmod(F.crc32(F.substring("word", -SUFFIX, SUFFIX).cast("binary")), F.lit(TAIL)).cast("int").alias("tail"),
-        F.when(F.col("c") * HEAD >= tokens, F.col("word")).alias("head"),
+        F.when((F.col("c") > 0) & (F.col("c") * HEAD >= tokens), F.col("word")).alias("head"),
     )
     lexicon = common.saved(lexicon, "hmm-lexicon")
     known = lexicon.filter("first")
