@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelf.functions.text import words
-from shelf.operators.windows import HOT_ROWS, ordered_columns
+from shelf.operators.windows import ordered_columns
 
 MIN_CONFIDENCE = 0.9  # fixed value
 BIN_S = 10.0
@@ -177,7 +177,7 @@ def cues_match(a: DataFrame, b: DataFrame) -> DataFrame:
     Cues are numbered per text and matched by number, never gathered into one list.
     """
     def numbered(df: DataFrame) -> DataFrame:
-        return ordered_columns(df, ["media_id"], ["pos"], HOT_ROWS, n=("row_number",)).drop("pos")
+        return ordered_columns(df, ["media_id"], ["pos"], n=("row_number",)).drop("pos")
 
     left, right = numbered(a).alias("l"), numbered(b).alias("r")
     pair = left.join(right, (F.col("l.media_id") == F.col("r.media_id")) & (F.col("l.n") == F.col("r.n")), "full")

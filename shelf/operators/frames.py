@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelf.operators.windows import HOT_ROWS, ordered_columns
+from shelf.operators.windows import ordered_columns
 
 
-def display_ranks(pictures: DataFrame, log2_max: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def display_ranks(pictures: DataFrame, log2_max: int, spread: bool = False) -> DataFrame:
     """Rank of each picture (file_id, idx, nal_type, poc_lsb) in display order, with its sequence and order count.
 
     The high part of the order count is carried by the previous reference picture of the
@@ -17,11 +17,11 @@ def display_ranks(pictures: DataFrame, log2_max: int, hot_rows: int = HOT_ROWS)
     """
     limit = 2**log2_max
     nal, lsb = F.col("nal_type"), F.col("poc_lsb")
-    ordinal = ordered_columns(pictures, ["file_id"], ["idx"], hot_rows, ordinal=("row_number",))
+    ordinal = ordered_columns(pictures, ["file_id"], ["idx"], spread, ordinal=("row_number",))
     starts = nal.isin(19, 20) | (nal.between(16, 23) & (F.col("ordinal") == 1))
     ref = ~nal.between(6, 9) & ~((nal < 16) & (nal % 2 == 0))
     marked = ordinal.withColumn("_start", starts.cast("int")).withColumn("_ref", ref)
-    marked = ordered_columns(marked, ["file_id"], ["idx"], hot_rows, _cvs=("sum", F.col("_start")), prev_lsb=("last_before", F.when(F.col("_ref"), lsb)))
+    marked = ordered_columns(marked, ["file_id"], ["idx"], spread, _cvs=("sum", F.col("_start")), prev_lsb=("last_before", F.when(F.col("_ref"), lsb)))
     prev = F.coalesce("prev_lsb", F.lit(0))
     wrap = (
         F.when(F.col("_start") == 1, 0).when((lsb < prev) & (prev - lsb >= limit // 2), 1).when((lsb > prev) & (lsb - prev > limit // 2), -1).otherwise(0)
@@ -30,10 +30,10 @@ def display_ranks(pictures: DataFrame, log2_max: int, hot_rows: int = HOT_ROWS)
     carried = F.when(F.col("_ref"), F.col("_wrap")).otherwise(0)
     marked = marked.withColumn("_carried", carried)
     # wraps of earlier references within the sequence, then this picture's own
-    marked = ordered_columns(marked, ["file_id", "_seq"], ["idx"], hot_rows, _before=("sum_before", F.col("_carried")))
+    marked = ordered_columns(marked, ["file_id", "_seq"], ["idx"], spread, _before=("sum_before", F.col("_carried")))
     poc = (F.col("_before") + F.col("_wrap")) * limit + lsb
     placed = marked.withColumn("poc", poc.cast("long")).withColumn("cvs", (F.col("_cvs") - 1).cast("long"))
-    ranked = ordered_columns(placed, ["file_id"], ["cvs", "poc", "idx"], hot_rows, rank=("row_number",))
+    ranked = ordered_columns(placed, ["file_id"], ["cvs", "poc", "idx"], spread, rank=("row_number",))
     return ranked.select("file_id", "idx", (F.col("ordinal") - 1).alias("ordinal"), "cvs", "poc", (F.col("rank") - 1).alias("rank"))
 
 
@@ -53,11 +53,11 @@ def offsets(samples: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
-def offset_runs(placed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def offset_runs(placed: DataFrame, spread: bool = False) -> DataFrame:
     """Runs of equal offsets in sample order: (file_id, run, samples, offset)."""
-    seen = ordered_columns(placed, ["file_id"], ["idx"], hot_rows, _prev=("lag", F.col("offset")))
+    seen = ordered_columns(placed, ["file_id"], ["idx"], spread, _prev=("lag", F.col("offset")))
     seen = seen.withColumn("_new", F.when(F.col("_prev") == F.col("offset"), 0).otherwise(1))
-    seen = ordered_columns(seen, ["file_id"], ["idx"], hot_rows, run=("sum", F.col("_new")))
+    seen = ordered_columns(seen, ["file_id"], ["idx"], spread, run=("sum", F.col("_new")))
     return seen.groupBy("file_id", "run", "offset").agg(F.count(F.lit(1)).alias("samples"))
 
 

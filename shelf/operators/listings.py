@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelf.functions.keys import decade, display_album, display_artist, is_uhd, year_of
 from shelf.operators.merge import episode_keys, merge_renditions, movie_keys
-from shelf.operators.windows import HOT_ROWS, ordered_columns
+from shelf.operators.windows import ordered_columns
 
 MOVIE_FIELDS = ["title", "sort_title", "year", "genre", "director", "rating", "collection", "updated_at"]
 EPISODE_FIELDS = ["series", "season", "episode", "title", "rating"]
@@ -213,18 +213,18 @@ def rating_grid(works: DataFrame) -> DataFrame:
     )
 
 
-def episode_neighbours(episodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def episode_neighbours(episodes: DataFrame, spread: bool = False) -> DataFrame:
     """Previous and next work of every episode file, across seasons; a lesser copy stands at its work's place."""
     works = merged_episodes(episodes).select("k_series", "k_season", "k_episode", "file_id")
     placed = ordered_columns(
-        works, ["k_series"], ["k_season", "k_episode"], hot_rows,
+        works, ["k_series"], ["k_season", "k_episode"], spread,
         prev_file_id=("lag", F.col("file_id")), next_file_id=("lead", F.col("file_id")),
     ).drop("file_id")
     files = episodes.select("file_id", *[c.alias(n) for n, c in episode_keys().items()])
     return files.join(placed, list(episode_keys())).select("file_id", "prev_file_id", "next_file_id")
 
 
-def track_neighbours(tracks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def track_neighbours(tracks: DataFrame, spread: bool = False) -> DataFrame:
     """Previous and next track on the album; unknown albums pool into one group and may be hot."""
     low = F.lit(-(2**31))
     placed = tracks.select(
@@ -234,7 +234,7 @@ def track_neighbours(tracks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.coalesce("disc_no", low).alias("k_disc"), F.coalesce("track_no", low).alias("k_track"), F.lower("title").alias("k_title"),
     )
     return ordered_columns(
-        placed, ["k_artist", "k_album"], ["k_disc", "k_track", "k_title", "file_id"], hot_rows,
+        placed, ["k_artist", "k_album"], ["k_disc", "k_track", "k_title", "file_id"], spread,
         prev_file_id=("lag", F.col("file_id")), next_file_id=("lead", F.col("file_id")),
     ).select("file_id", "prev_file_id", "next_file_id")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelf.operators.windows import HOT_ROWS, ordered_columns
+from shelf.operators.windows import ordered_columns
 
 COPY = ["file_id", "mime", "size", "duration_ms", "width", "height"]
 
@@ -62,11 +62,11 @@ def merge_renditions(
     )
 
 
-def renditions(items: DataFrame, keys: dict[str, Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+def renditions(items: DataFrame, keys: dict[str, Column], spread: bool = False) -> DataFrame:
     """Every copy with its rank within its work (1 is the primary), best first."""
     names = list(keys)
     ranked = items.select(*[c.alias(n) for n, c in keys.items()], *COPY).select(
         "*", (-pixels()).alias("_px"), (-F.col("size")).alias("_size")
     )
-    ranked = ordered_columns(ranked, names, ["_px", "_size", "file_id"], hot_rows, quality_rank=("row_number",))
+    ranked = ordered_columns(ranked, names, ["_px", "_size", "file_id"], spread, quality_rank=("row_number",))
     return ranked.select(*names, *COPY, "quality_rank")

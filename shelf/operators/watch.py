@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelf.functions.keys import program_key
-from shelf.operators.windows import HOT_ROWS, ordered_columns
+from shelf.operators.windows import ordered_columns
 
 FINISHED = 0.95  # fixed value: share of the running time that counts as the end
 RESUME_FROM_MS = 9000  # fixed value: positions up to here start over
@@ -48,7 +48,7 @@ def dismissal_group(key: Column) -> Column:
     return F.when(key.startswith("tv|"), F.regexp_replace(key, r"\|[^|]*\|[^|]*$", "|")).otherwise(key)
 
 
-def fold(events: DataFrame, series_wide: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fold(events: DataFrame, series_wide: bool = True, spread: bool = False) -> DataFrame:
     """Latest state per (profile, key) out of a log of watch events.
 
     Rows are replayed in (ts, event_id) order: a position past 95 % ends the program,
@@ -60,10 +60,10 @@ def fold(events: DataFrame, series_wide: bool = True, hot_rows: int = HOT_ROWS)
     ended = (F.col("event") == "position") & (F.col("duration_ms") > 0) & (F.col("position_ms") >= FINISHED * F.col("duration_ms"))
     log = events.filter(F.col("event") != "dismiss").withColumn("e", F.when(ended, "ended").otherwise(F.col("event")))
     setter = F.when(F.col("e") == "ended", 1).when(F.col("e") == "seen", F.col("seen").cast("int"))
-    log = ordered_columns(log, group, order, hot_rows, w=("last", setter)).withColumn("w", F.coalesce("w", F.lit(0)))
+    log = ordered_columns(log, group, order, spread, w=("last", setter)).withColumn("w", F.coalesce("w", F.lit(0)))
     gone = F.when((F.col("e") == "forget") & (F.col("w") == 0), 1).otherwise(0)
     # the generation a row belongs to: removals before it
-    log = ordered_columns(log, group, order, hot_rows, g=("sum_before", gone))
+    log = ordered_columns(log, group, order, spread, g=("sum_before", gone))
     report = F.col("e") != "forget"
     rows = log.groupBy(*group, "g").agg(
         F.max_by(F.when(F.col("e") == "position", F.greatest(F.col("position_ms"), F.lit(0))).otherwise(F.lit(0)), at).alias("position_ms"),
@@ -109,10 +109,10 @@ def resume_seconds(states: DataFrame) -> DataFrame:
     return states.filter(far).select("profile_id", "key", F.floor(F.col("position_ms") / 1000).cast("long").alias("resume_s"))
 
 
-def episode_places(works: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def episode_places(works: DataFrame, spread: bool = False) -> DataFrame:
     """Merged episodes numbered in series order, with their watch key."""
     key = program_key(F.lit("tv"), F.col("file_id"), F.col("series"), F.col("season"), F.col("episode"), F.lit(""), F.lit(None))
-    placed = ordered_columns(works.withColumn("key", key), ["k_series"], ["season", "episode", "file_id"], hot_rows, idx=("row_number",))
+    placed = ordered_columns(works.withColumn("key", key), ["k_series"], ["season", "episode", "file_id"], spread, idx=("row_number",))
     return placed.select("k_series", "series", "season", "episode", "title", "file_id", "key", "idx")
 
 

@@ -1,8 +1,9 @@
 """Ordered per-group columns that survive a hot group.
 
-A plain window puts a whole group into one task. When some group is larger than
-``hot_rows`` the same columns are computed in two levels instead: the rows are range
-partitioned by (group, order) so a hot group spans many chunks, each chunk runs the
+A plain window puts a whole group into one task, which spills but takes long for a group
+with much of the table. A caller whose groups may grow so passes ``spread=True``, and the same
+columns are computed in two levels, whatever the sizes: the rows are range partitioned by
+(group, order) so a hot group spans many chunks, each chunk runs the
 window locally, and a carry per (group, chunk) links the chunks. Only groups that cross
 a chunk border need a carry, at most two rows per chunk, so the carry table is
 broadcast with a known bound.
@@ -17,16 +18,9 @@ from pyspark.sql import functions as F
 
 from shelf.session import checkpoint_dir
 
-HOT_ROWS = 2_000_000
 CHUNK = "_chunk"
 
 
-def has_hot_group(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether any group holds more than ``hot_rows`` rows (one partial aggregation over the keys)."""
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return len(counts.filter(F.col("n") > hot_rows).limit(1).take(1)) > 0
-
-
 def chunk_column(group: Sequence[str], order: Sequence[str]) -> str:
     """Name of the chunk tag for an order; further group columns must follow the same order to share it."""
     return "_".join([CHUNK, group[0], *order])
@@ -67,18 +61,18 @@ def ordered_columns(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    spread: bool = False,
     **specs: tuple,
 ) -> DataFrame:
     """Add ordered columns per group; ``order`` must be a total ascending order of plain columns.
 
     Each spec is ``name=(kind, column)`` with kind row_number, sum, sum_before, last,
-    last_before, lag or lead. A frame already cut into chunks for this order reuses them.
+    last_before, lag or lead. No job runs to decide the form. A frame already cut into chunks for this order reuses them.
     """
     group, order = list(group), list(order)
     chunk = chunk_column(group, order)
     if chunk not in df.columns:
-        if not has_hot_group(df, group, hot_rows):
+        if not spread:
             for name, (kind, *value) in specs.items():
                 df = df.withColumn(name, _local(kind, value[0] if value else None, group, order))
             return df

@@ -121,6 +121,9 @@ def refresh(known: dict[str, DataFrame], found: Found, now: int, grace_s: int =
         "tv_series": upserted(known["tv_series"], series, ["name"]),
         "tv_seasons": upserted(known["tv_seasons"], seasons, ["series", "season"]),
         "segments": segments.replace_segments(old_segments, job.select("file_id"), chosen),
+        # prints carry the size and time they were taken at, so those of a changed file are stale by themselves
+        "segment_prints": known["segment_prints"].join(new_files.select("file_id"), "file_id", "left_semi"),
+        "watch": known["watch"],
     }
 
 

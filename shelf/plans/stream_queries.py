@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelf.operators import watch as folds
 from shelf.plans.registry import query
-from shelf.plans.watch_queries import fold_sql, log
+from shelf.plans.watch_queries import fold_sql
 from shelf.session import checkpoint_dir
+from shelf.sources import catalog
 from shelf.sources.bridge import table, view
 from shelf.streaming import arrivals, watch
 
@@ -39,12 +39,13 @@ def _(spark, sf):
 
 
 @query("r2_retries", """
+WITH l AS (SELECT event_id, ts, (user_id % 50) || '/' || event_type AS path, CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS done FROM events),
+e AS (SELECT *, coalesce(sum(done) OVER (PARTITION BY path ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS era FROM l)
 SELECT event_id, attempt, CASE WHEN attempt <= 5 THEN CAST(least(30*2**attempt, 300) AS BIGINT) END AS delay_s FROM (
- SELECT event_id, row_number() OVER (PARTITION BY user_id % 50, event_type ORDER BY ts, event_id) AS attempt FROM events)""")
+ SELECT event_id, row_number() OVER (PARTITION BY path, era ORDER BY ts, event_id) AS attempt FROM e WHERE done = 0)""")
 def _(spark, sf):
-    e = file_events(spark, sf)
-    k = arrivals.retry_schedule(e)
-    return k.join(e.select("event_id", "path", "ts"), ["path", "ts"]).select("event_id", "attempt", "delay_s")
+    log = file_events(spark, sf).withColumn("kind", F.when(F.col("kind") == "gone", "done").otherwise("failed"))
+    return arrivals.retry_schedule(log).select("event_id", "attempt", "delay_s")
 
 
 BURSTS = """
@@ -62,9 +63,14 @@ def _(spark, sf):
     return arrivals.bursts(arrivals_of(spark, sf)).select("library", F.unix_micros("begin_at").alias("begin_us"), F.unix_micros("quiet_at").alias("quiet_us"), "arrivals")
 
 
-@query("r3_burst_runs")
+@query("r3_burst_runs", "WITH RECURSIVE " + BURSTS + """,
+k AS (SELECT library, epoch_us(begin_at) AS b, epoch_us(quiet_at) AS q, row_number() OVER (PARTITION BY library ORDER BY begin_at) AS k FROM se),
+w AS (SELECT library, k, CAST(NULL AS BIGINT) AS fired, CAST(NULL AS BIGINT) AS run, q AS due FROM k WHERE k = 1
+ UNION ALL SELECT n.library, n.k, CASE WHEN w.due <= n.b THEN w.due END, CASE WHEN w.due <= n.b THEN w.due ELSE w.run END,
+  greatest(n.q, coalesce(CASE WHEN w.due <= n.b THEN w.due ELSE w.run END + 600000000, n.q)) FROM w JOIN k n ON n.library = w.library AND n.k = w.k + 1)
+SELECT library, CAST(fired AS BIGINT) AS run_us FROM w WHERE fired IS NOT NULL UNION ALL SELECT library, CAST(arg_max(due, k) AS BIGINT) FROM w GROUP BY library""")
 def _(spark, sf):
-    return arrivals.burst_runs(arrivals.bursts(arrivals_of(spark, sf)))
+    return arrivals.burst_runs(arrivals.bursts(arrivals_of(spark, sf))).select("library", F.unix_micros("run_at").alias("run_us"))
 
 
 def catalog_events(spark, sf):
@@ -83,12 +89,15 @@ def catalog_events(spark, sf):
     return present.unionByName(gone)
 
 
-@query("r4_applied_events", """
+R4 = """
 WITH e AS (SELECT coalesce(w.root_id, k.root_id) AS root_id, coalesce(w.rel_path, k.rel_path) AS rel_path, k.mtime AS k_at, k.rel_path IS NOT NULL AND length(k.rel_path) % 9 = 0 AS gone, w.rel_path IS NOT NULL AS there,
  k.rel_path IS NOT NULL AND w.rel_path IS NOT NULL AND k.size = w.size AND k.mtime = w.mtime AS same, coalesce(w.size, k.size) AS size FROM b_known k FULL JOIN b_walk w ON w.root_id=k.root_id AND w.rel_path=k.rel_path),
 st AS (SELECT root_id, regexp_replace(rel_path, '\\.[^./]*$', '') AS s, min(mtime) AS m FROM b_known GROUP BY 1, 2)
 SELECT e.root_id, e.rel_path, CASE WHEN there AND NOT same THEN 'pending' ELSE 'ready' END AS status, e.size, CAST(CASE WHEN k_at IS NULL THEN least(20990101, coalesce(st.m, 20990101)) ELSE k_at END AS BIGINT) AS added_at
-FROM e LEFT JOIN st ON st.root_id=e.root_id AND st.s=regexp_replace(e.rel_path, '\\.[^./]*$', '') WHERE NOT gone""")
+FROM e LEFT JOIN st ON st.root_id=e.root_id AND st.s=regexp_replace(e.rel_path, '\\.[^./]*$', '') WHERE NOT gone"""
+
+
+@query("r4_applied_events", R4)
 def _(spark, sf):
     from shelf.plans.ingest_queries import known
 
@@ -96,6 +105,42 @@ def _(spark, sf):
     return arrivals.apply_events(files, catalog_events(spark, sf), F.lit(20990101)).select("root_id", "rel_path", "status", "size", "added_at")
 
 
+@query("r4_stream", R4)
+def _(spark, sf):
+    """The same events as a stream on a catalog that other commits have brought to its third version."""
+    from shelf.plans.ingest_queries import known
+
+    base = f"{checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    catalog.write_snapshot(spark, base, {"files": known(spark, sf).withColumn("status", F.lit("ready"))})
+    for _ in range(2):
+        catalog.write_snapshot(spark, base, {"genres": spark.createDataFrame([(1, "Drama")], "id long, name string")})
+    events = catalog_events(spark, sf)
+    events.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+    sink = arrivals.catalog_sink(base, F.lit(20990101))
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return catalog.read_table(spark, base, "files").select("root_id", "rel_path", "status", "size", "added_at")
+
+
+@query("s17_snapshot", """
+SELECT 'roots' AS name, count(*) AS n, CAST(sum(root_id) AS BIGINT) AS ids FROM b_roots UNION ALL SELECT 'files', count(*), CAST(sum(root_id) AS BIGINT) FROM b_known
+UNION ALL SELECT 'genres', count(*), CAST(sum(root_id) AS BIGINT) FROM b_roots UNION ALL SELECT 'watch', 0, NULL""")
+def _(spark, sf):
+    """Two commits, the second of one table alone; every table is read back from the newest version."""
+    from shelf.plans.ingest_queries import known
+
+    base = f"{checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    roots = view(spark, sf, "b_roots")
+    catalog.write_snapshot(spark, base, {"roots": roots, "files": known(spark, sf)})
+    catalog.write_snapshot(spark, base, {"genres": roots.select(F.col("root_id").alias("id"), F.lit("g").alias("name"))})
+    ids = {"roots": "root_id", "files": "root_id", "genres": "id", "watch": "file_id"}
+    counts = [
+        catalog.read_table(spark, base, name).agg(F.count(F.lit(1)).alias("n"), F.sum(column).alias("ids")).select(F.lit(name).alias("name"), "n", "ids")
+        for name, column in ids.items()
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
 @query("r7_distinct_events", "SELECT DISTINCT CAST(date_trunc('hour', ts) AS VARCHAR)[1:13] AS batch, (user_id % 50) || '/' || event_type AS path FROM events WHERE event_type <> 'view'")
 def _(spark, sf):
     e = table(spark, sf, "events").select(
@@ -137,9 +182,6 @@ def _(spark, sf):
 
 @query("r8_latest_states", fold_sql() + "SELECT profile_id, count(*) AS programs, count(*) FILTER (WHERE watched) AS seen FROM st GROUP BY 1")
 def _(spark, sf):
-    # each half of the log folds to states; the later of the two per program stands
-    states = folds.fold(log(spark, sf))
-    early = states.withColumn("removed", F.lit(False)).withColumn("batch_id", F.lit(1)).withColumn("watched", ~F.col("watched"))
-    late = states.withColumn("removed", F.lit(False)).withColumn("batch_id", F.lit(2))
-    newest = watch.latest_states(early.unionByName(late))
+    out = run_to_end(spark, watch.fold_stream(event_stream(spark, sf)), watch.change_sink)
+    newest = watch.latest_states(spark.read.parquet(f"{out}/batch=*"))
     return newest.groupBy("profile_id").agg(F.count(F.lit(1)).alias("programs"), F.count_if("watched").alias("seen"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
-def build(cpus: int | str = 8, app: str = "shelf", **conf: str) -> SparkSession:
-    """A local session for tests and benches; on a cluster the session comes from spark-submit."""
+def build(cpus: int | str = 8, app: str = "shelf", scratch: str | None = None, **conf: str) -> SparkSession:
+    """A local session for tests and benches; on a cluster the session comes from spark-submit.
+
+    ``scratch`` is its checkpoint folder, which on a cluster spark.checkpoint.dir names.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -22,6 +22,8 @@ def build(cpus: int | str = 8, app: str = "shelf", **conf: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -30,16 +32,11 @@ def build(cpus: int | str = 8, app: str = "shelf", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's spark.checkpoint.dir, a scratch one only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for cut lineage: what the session has set, else the cluster's spark.checkpoint.dir."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not named:
-        master = context.master
-        if not master.startswith("local"):
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    context.setCheckpointDir(named)
-    return named
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()

@@ -1,7 +1,14 @@
-"""Catalog tables on disk: fixed schemas, versioned snapshots, an atomic pointer to the current one."""
+"""Catalog tables on disk: fixed schemas and versions, each a marker file that names the folder of every table.
+
+A commit writes its tables to folders of its own and then creates the next version's marker, which fails if another
+writer was first. Tables that a commit does not name stay where the version before has them.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,32 +55,78 @@ def _hadoop(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current_version(spark: SparkSession, base: str) -> int | None:
-    """The newest committed version; a version is committed once its marker file exists."""
+class CommitConflict(RuntimeError):
+    """Another writer committed the version first; read the catalog anew and write again."""
+
+
+def _versions(spark: SparkSession, base: str) -> list[int]:
     target, fs = _hadoop(spark, f"{base}/_versions")
     if not fs.exists(target):
+        return []
+    return sorted((int(s.getPath().getName()) for s in fs.listStatus(target) if s.getPath().getName().isdigit()), reverse=True)
+
+
+def manifest(spark: SparkSession, base: str, version: int) -> dict | None:
+    """What a version's marker says: the folder of each table, and the last batch of each stream; None where it isn't whole."""
+    target, fs = _hadoop(spark, f"{base}/_versions/{version}")
+    stream = fs.open(target)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
         return None
-    done = [int(s.getPath().getName()) for s in fs.listStatus(target) if s.getPath().getName().isdigit()]
-    return max(done) if done else None
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, base: str) -> tuple[int, dict]:
+    """The newest committed version and its manifest; version 0 with no tables before the first commit."""
+    for version in _versions(spark, base):
+        if (found := manifest(spark, base, version)) is not None:
+            return version, found
+    return 0, {"tables": {}, "streams": {}}
+
+
+def current_version(spark: SparkSession, base: str) -> int | None:
+    """The newest committed version."""
+    return current(spark, base)[0] or None
+
+
+def last_batch(spark: SparkSession, base: str, stream: str) -> int | None:
+    """The newest batch of a stream that the catalog holds."""
+    return current(spark, base)[1]["streams"].get(stream)
+
 
+def write_snapshot(spark: SparkSession, base: str, tables: dict[str, DataFrame], stream: str | None = None, batch: int | None = None) -> int:
+    """Commit tables as the next version, with those not given as they stand; readers see all of it once the marker is whole.
 
-def write_snapshot(spark: SparkSession, base: str, tables: dict[str, DataFrame]) -> int:
-    """Write a full set of tables as the next version; readers see it only after the marker appears."""
-    version = (current_version(spark, base) or 0) + 1
+    ``stream`` and ``batch`` are recorded with the version. Raises CommitConflict if another writer commits the same version.
+    """
+    before, known = current(spark, base)
+    version = max([before, *_versions(spark, base)]) + 1
+    folder = f"{base}/data/{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        writer = conform(df, name).write.mode("overwrite")
+        writer = conform(df, name).write
         if name in PARTITIONED:
             writer = writer.partitionBy(*PARTITIONED[name])
-        writer.parquet(f"{base}/v={version}/{name}")
+        writer.parquet(f"{folder}/{name}")
+    said = {
+        "tables": {**known["tables"], **{name: f"{folder.removeprefix(base + '/')}/{name}" for name in tables}},
+        "streams": {**known["streams"], **({stream: batch} if stream else {})},
+    }
     marker, fs = _hadoop(spark, f"{base}/_versions/{version}")
-    fs.create(marker, True).close()
+    try:
+        out = fs.create(marker, False)
+    except Exception as e:  # the file system says which class; all mean that the marker is there or can't be made
+        raise CommitConflict(f"version {version} of {base} was committed by another writer") from e
+    out.write(bytearray(json.dumps(said).encode()))
+    out.close()
     return version
 
 
 def read_table(spark: SparkSession, base: str, name: str, version: int | None = None) -> DataFrame:
     """A table of the newest (or a given) version; empty where it was never written."""
-    version = version or current_version(spark, base)
-    target, fs = _hadoop(spark, f"{base}/v={version}/{name}")
-    if version is None or not fs.exists(target):
+    said = manifest(spark, base, version) if version else current(spark, base)[1]
+    where = (said or {"tables": {}})["tables"].get(name)
+    if where is None:
         return spark.createDataFrame([], schema(name))
-    return spark.read.schema(schema(name)).parquet(f"{base}/v={version}/{name}")
+    return spark.read.schema(schema(name)).parquet(f"{base}/{where}")

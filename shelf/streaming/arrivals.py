@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelf.operators import reconcile
-from shelf.operators.windows import HOT_ROWS, ordered_columns
+from shelf.operators.windows import ordered_columns
 from shelf.sources import catalog
 
 SETTLE_S = 30  # fixed value: seconds a file must hold still
@@ -22,6 +22,11 @@ MAX_BACKOFF_S = 300  # fixed value
 QUIET_S = 60  # fixed value: seconds without an arrival that end a burst
 MIN_INTERVAL_S = 600  # fixed value: least seconds between two units of work
 
+#: Columns of files that events set; the others stay with the file.
+APPLIED = ["root_id", "rel_path", "size", "mtime", "kind", "mime", "status", "added_at", "updated_at"]
+#: Tables whose rows go with their file; what viewers did stays.
+HANGING = ["movies", "tv_episodes", "music_tracks", "movie_genres", "track_genres", "movie_directors", "segments", "segment_prints"]
+
 SETTLED = "path string, size long, mtime long, due_at timestamp, attempt int"
 
 
@@ -36,7 +41,7 @@ class Settle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", "size long, mtime long, since long, failures int, due long")
+        self.entry = handle.getValueState("entry", "size long, mtime long, since long, failures int, due long, not_before long")
 
     def _arm(self, at: int) -> None:
         for old in list(self.handle.listTimers()):
@@ -57,18 +62,20 @@ class Settle(StatefulProcessor):
             ts = int(e.ts.value // 1_000_000)
             if state is not None and 0 <= state[4] <= ts:
                 yield self._emit(key, state[0], state[1], state[4], state[3])
-                state = (*state[:4], -1)
+                state = (*state[:4], -1, state[5])
             if e.kind in ("gone", "done"):
                 state = None
             elif e.kind == "failed":
                 if state is not None and state[3] < MAX_RETRIES:
                     failures = state[3] + 1
                     delay = min(self.window_ms * 2**failures, MAX_BACKOFF_S * 1000)
-                    state = (state[0], state[1], state[2], failures, max(ts + delay, state[2] + self.window_ms))
+                    state = (state[0], state[1], state[2], failures, max(ts + delay, state[2] + self.window_ms), ts + delay)
             elif state is None:
-                state = (int(e.size), int(e.mtime), ts, 0, ts + self.window_ms)
+                state = (int(e.size), int(e.mtime), ts, 0, ts + self.window_ms, -1)
             elif (state[0], state[1]) != (int(e.size), int(e.mtime)):
-                state = (int(e.size), int(e.mtime), ts, state[3], ts + self.window_ms)
+                # a change starts the window anew, but does not cut a running back-off short
+                held = state[5] if state[5] > ts else -1
+                state = (int(e.size), int(e.mtime), ts, state[3], max(ts + self.window_ms, held), held)
         if state is None:
             self.entry.clear()
             self._arm(-1)
@@ -80,7 +87,7 @@ class Settle(StatefulProcessor):
         if self.entry.exists():
             state = self.entry.get()
             if 0 <= state[4] <= expiredTimerInfo.getExpiryTimeInMs():
-                self.entry.update((*state[:4], -1))
+                self.entry.update((*state[:4], -1, state[5]))
                 yield self._emit(key, state[0], state[1], state[4], state[3])
 
     def close(self) -> None:
@@ -97,23 +104,29 @@ def settle_stream(events: DataFrame, window_s: int = SETTLE_S, lateness: str = "
     )
 
 
-def settle_batch(events: DataFrame, until: Column, window_s: int = SETTLE_S, hot_rows: int = HOT_ROWS) -> DataFrame:
+def settle_batch(events: DataFrame, until: Column, window_s: int = SETTLE_S, spread: bool = False) -> DataFrame:
     """First settling of every (size, mtime) a path held for the window, from a log without retries."""
     order = ["ts", "event_id"]
     same = F.struct("size", "mtime", F.col("kind").alias("kind"))
-    seen = ordered_columns(events, ["path"], order, hot_rows, _prev=("lag", same))
+    seen = ordered_columns(events, ["path"], order, spread, _prev=("lag", same))
     starts = seen.filter(~F.col("_prev").eqNullSafe(F.struct("size", "mtime", "kind"))).drop("_prev")
-    runs = ordered_columns(starts, ["path"], order, hot_rows, _next=("lead", F.col("ts")))
+    runs = ordered_columns(starts, ["path"], order, spread, _next=("lead", F.col("ts")))
     due = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + window_s * 1_000_000)
     held = due <= F.coalesce(F.col("_next").cast("timestamp"), until)
     return runs.filter((F.col("kind") == "seen") & held).select("path", "size", "mtime", due.alias("due_at"))
 
 
-def retry_schedule(failures: DataFrame, window_s: int = SETTLE_S, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """When each failed attempt (path, ts, event_id) is tried again; null once the retries are used up."""
-    k = ordered_columns(failures, ["path"], ["ts", "event_id"], hot_rows, attempt=("row_number",))
+def retry_schedule(log: DataFrame, window_s: int = SETTLE_S, spread: bool = False) -> DataFrame:
+    """When each failed attempt (path, ts, event_id, kind) is tried again; null once the retries are used up.
+
+    A success (done) or the file's end (gone) forgets the failures before it; without ``kind`` all rows are failures.
+    """
+    if "kind" not in log.columns:
+        log = log.withColumn("kind", F.lit("failed"))
+    log = ordered_columns(log, ["path"], ["ts", "event_id"], spread, _era=("sum_before", F.col("kind").isin("done", "gone").cast("long")))
+    k = ordered_columns(log.filter("kind = 'failed'"), ["path", "_era"], ["ts", "event_id"], spread, attempt=("row_number",))
     delay = F.least(F.lit(window_s) * F.pow(F.lit(2), F.least("attempt", F.lit(MAX_RETRIES + 1))), F.lit(MAX_BACKOFF_S)).cast("long")
-    return k.select("path", "ts", "attempt", F.when(F.col("attempt") <= MAX_RETRIES, delay).alias("delay_s"))
+    return k.select("path", "ts", "event_id", "attempt", F.when(F.col("attempt") <= MAX_RETRIES, delay).alias("delay_s"))
 
 
 class Bursts(StatefulProcessor):
@@ -169,38 +182,73 @@ def burst_stream(arrivals: DataFrame, quiet_s: int = QUIET_S, interval_s: int =
     )
 
 
-def bursts(arrivals: DataFrame, quiet_s: int = QUIET_S) -> DataFrame:
+def bursts(arrivals: DataFrame, quiet_s: int = QUIET_S, bin_s: int = 86_400) -> DataFrame:
     """Bursts of arrivals per library: begin, the moment quiet returned, and how many arrived.
 
-    Works on streams (with a watermark) and on tables alike.
+    Arrivals of one library and day meet in one task, which folds them to that day's bursts; then bursts that touch over
+    midnight are joined, of which there are few: at most one chain of a library's days. A library that holds all arrivals
+    so spreads over its days. Smaller bins spread it further.
     """
-    return (
-        arrivals.groupBy("library", F.session_window("ts", f"{quiet_s} seconds"))
-        .agg(F.count(F.lit(1)).alias("arrivals"))
-        .select("library", F.col("session_window.start").alias("begin_at"), F.col("session_window.end").alias("quiet_at"), "arrivals")
+    gap = quiet_s * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    marked = arrivals.select("library", at.alias("at")).groupBy("library", "at").agg(F.count(F.lit(1)).alias("n"))
+    marked = marked.withColumn("bin", F.floor(F.col("at") / (bin_s * 1_000_000)))
+    in_bin = Window.partitionBy("library", "bin").orderBy("at")
+    new = F.coalesce(F.col("at") - F.lag("at").over(in_bin) >= gap, F.lit(True)).cast("int")
+    part = marked.withColumn("new", new).withColumn("s", F.sum("new").over(in_bin)).groupBy("library", "bin", "s").agg(
+        F.min("at").alias("b"), F.max("at").alias("q"), F.sum("n").alias("n")
     )
+    return _chained(part, ["library"], gap).select(
+        "library", F.timestamp_micros("b").alias("begin_at"), F.timestamp_micros(F.col("q") + gap).alias("quiet_at"), F.col("n").alias("arrivals")
+    )
+
+
+def _chained(part: DataFrame, group: list[str], gap: int) -> DataFrame:
+    """Join the parts (b, q, n) of a group of which one begins within the gap after the one before ended."""
+    order = ["b"]
+    parts = ordered_columns(part, group, order, True, _last=("lag", F.col("q")))
+    parts = parts.withColumn("_new", F.coalesce(F.col("b") - F.col("_last") >= gap, F.lit(True)).cast("long"))
+    parts = ordered_columns(parts, group, order, True, _run=("sum", F.col("_new")))
+    return parts.groupBy(*group, "_run").agg(F.min("b").alias("b"), F.max("q").alias("q"), F.sum("n").alias("n"))
 
 
 def burst_runs(found: DataFrame, interval_s: int = MIN_INTERVAL_S) -> DataFrame:
     """When work runs for each library's bursts: at the return of quiet, but not within the interval of the last run.
 
-    A burst waiting out the interval is joined by a later one that starts before it ends.
-    A library has at most one burst a minute, so its list of bursts is short.
+    A burst waiting out the interval is joined by a later one that starts before it ends. What went before matters no longer
+    after a pause of two intervals, so bursts are first cut into stretches at such pauses, and each stretch is
+    walked by itself: a library's bursts meet in one task only as far as they follow each other that closely.
     """
-    listed = found.groupBy("library").agg(
-        F.sort_array(F.collect_list(F.struct(F.unix_micros("begin_at").alias("b"), F.unix_micros("quiet_at").alias("q")))).alias("s")
-    )
     gap = interval_s * 1_000_000
-    empty = F.struct(F.array().cast("array<bigint>").alias("runs"), F.lit(None).cast("long").alias("due"))
+    rows = found.select("library", F.unix_micros("begin_at").alias("b"), F.unix_micros("quiet_at").alias("q"))
+    rows = ordered_columns(rows, ["library"], ["b"], True, _last=("lag", F.col("q")))
+    # a run is due one interval after the burst before at the latest, and holds back the next for one more
+    rows = rows.withColumn("_new", F.coalesce(F.col("b") - F.col("_last") >= 2 * gap, F.lit(True)).cast("long"))
+    rows = ordered_columns(rows, ["library"], ["b"], True, stretch=("sum", F.col("_new"))).select("library", "stretch", "b", "q")
+    return (
+        rows.repartition("library", "stretch").sortWithinPartitions("library", "stretch", "b")
+        .mapInPandas(lambda parts: walk_runs(parts, gap), "library string, run_us long")
+        .select("library", F.timestamp_micros("run_us").alias("run_at"))
+    )
 
-    def step(acc: Column, x: Column) -> Column:
-        fired = acc["due"].isNotNull() & (acc["due"] <= x["b"])
-        runs = F.when(fired, F.concat(acc["runs"], F.array(acc["due"]))).otherwise(acc["runs"])
-        latest = F.try_element_at(runs, F.lit(-1))
-        return F.struct(runs.alias("runs"), F.greatest(x["q"], latest + gap).alias("due"))
 
-    done = F.aggregate("s", empty, step, lambda acc: F.array_compact(F.concat(acc["runs"], F.array(acc["due"]))))
-    return listed.select("library", F.explode(done).alias("at")).select("library", F.timestamp_micros("at").alias("run_at"))
+def walk_runs(parts: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFrame]:
+    """Runs of sorted bursts; holds the current stretch's last run and due time only."""
+    at, run, due = None, None, None
+    for part in parts:
+        out = []
+        for library, stretch, b, q in part[["library", "stretch", "b", "q"]].itertuples(index=False):
+            if (library, stretch) != at:
+                if due is not None:
+                    out.append((at[0], due))
+                at, run, due = (library, stretch), None, None
+            if due is not None and due <= b:
+                out.append((library, due))
+                run = due
+            due = q if run is None else max(q, run + gap)
+        yield pd.DataFrame(out, columns=["library", "run_us"])
+    if due is not None:
+        yield pd.DataFrame([(at[0], due)], columns=["library", "run_us"])
 
 
 def distinct_events(events: DataFrame, lateness: str | None = None) -> DataFrame:
@@ -242,14 +290,25 @@ def apply_events(files: DataFrame, events: DataFrame, now: Column) -> DataFrame:
     return reconcile.inherited_added_at(rows, known, vanished.select("root_id", "rel_path", "added_at")).select(*cols)
 
 
-def catalog_sink(base: str, now: Column):
-    """A foreachBatch sink that applies events to the catalog under ``base``; a repeated batch is written once."""
+def catalog_sink(base: str, now: Column, stream: str = "events"):
+    """A foreachBatch sink that applies events to the catalog under ``base``; a repeated batch of the stream is written once.
+
+    The catalog records the last batch of each stream beside its version, so other commits don't count. Where files have
+    vanished, their rows leave the tables that hang on them; all other tables stay as they are.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = catalog.current_version(spark, base)
-        if version is not None and version > batch_id + 1:
+        done = catalog.last_batch(spark, base, stream)
+        if done is not None and batch_id <= done:
             return
+        version = catalog.current_version(spark, base)
         files = catalog.read_table(spark, base, "files", version)
-        catalog.write_snapshot(spark, base, {"files": apply_events(files, batch, now)})
+        after = apply_events(files, batch, now).join(files.drop(*APPLIED), "file_id", "left")
+        tables = {"files": after}
+        gone = files.select("file_id").join(after.select("file_id"), "file_id", "left_anti")
+        if gone.take(1):
+            for name in HANGING:
+                tables[name] = catalog.read_table(spark, base, name, version).join(gone, "file_id", "left_anti")
+        catalog.write_snapshot(spark, base, tables, stream, batch_id)
 
     return write

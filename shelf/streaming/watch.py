@@ -15,13 +15,14 @@ STATE = (
     "profile_id long, key string, file_id long, position_ms long, duration_ms long, watched boolean, updated_at timestamp, "
     "dismissed boolean, removed boolean"
 )
-VALUE = "file_id long, position_ms long, duration_ms long, watched boolean, updated_us long, dismissed boolean"
+VALUE = "file_id long, position_ms long, duration_ms long, watched boolean, updated_us long, dismissed boolean, gone boolean"
 
 
 class WatchFold(StatefulProcessor):
     """Holds every program of one series, so that one dismissal reaches all its episodes.
 
-    Reports older than what a program's state already reflects are dropped.
+    Reports older than what a program's state already reflects are dropped; a forgotten program keeps the time it was
+    forgotten at until the watermark has passed it, so no late report brings it back.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -29,7 +30,7 @@ class WatchFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        touched: dict[str, tuple | None] = {}
+        touched: dict[str, tuple] = {}
 
         def current(k):
             if k in touched:
@@ -43,35 +44,37 @@ class WatchFold(StatefulProcessor):
                 stored = [k[0] for k in self.rows.keys()]
                 for k in {*stored, *touched}:
                     s = current(k)
-                    if s is not None and at >= s[4]:
-                        touched[k] = (s[0], 0, s[2], s[3], s[4], True)
+                    if s is not None and not s[6] and at >= s[4]:
+                        touched[k] = (s[0], 0, s[2], s[3], s[4], True, False)
                 continue
             s = current(e.key)
             if s is not None and at < s[4]:
                 continue
+            if s is not None and s[6]:
+                s = None
             duration = None if pd.isna(e.duration_ms) else int(e.duration_ms)
             position = 0 if pd.isna(e.position_ms) else max(int(e.position_ms), 0)
             kept = duration if duration is not None else (s[2] if s else None)
             watched = bool(s[3]) if s else False
             if e.event == "forget":
                 if s is not None:
-                    touched[e.key] = (s[0], 0, s[2], True, at, s[5]) if watched else None
+                    touched[e.key] = (s[0], 0, s[2], True, at, s[5], False) if watched else (None, 0, None, False, at, False, True)
             elif e.event == "seen":
-                touched[e.key] = (int(e.file_id), 0, s[2] if s else None, bool(e.seen), at, False)
+                touched[e.key] = (int(e.file_id), 0, s[2] if s else None, bool(e.seen), at, False, False)
             elif e.event == "ended" or (duration and duration > 0 and position >= duration * FINISHED):
-                touched[e.key] = (int(e.file_id), 0, kept, True, at, False)
+                touched[e.key] = (int(e.file_id), 0, kept, True, at, False, False)
             else:
-                touched[e.key] = (int(e.file_id), position, kept, watched, at, False)
+                touched[e.key] = (int(e.file_id), position, kept, watched, at, False, False)
 
         out = []
         for k, s in touched.items():
-            if s is None:
-                if self.rows.containsKey((k,)):
-                    self.rows.removeKey((k,))
-                out.append((key[0], k, None, 0, None, False, None, False, True))
-            else:
-                self.rows.updateValue((k,), s)
-                out.append((key[0], k, s[0], s[1], s[2], s[3], pd.Timestamp(s[4], unit="us"), s[5], False))
+            self.rows.updateValue((k,), s)
+            seen_at = None if s[6] else pd.Timestamp(s[4], unit="us")
+            out.append((key[0], k, s[0], s[1], s[2], s[3], seen_at, s[5], s[6]))
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for k, s in [(k[0], tuple(v)) for k, v in self.rows.iterator()]:
+            if s[6] and s[4] < passed:
+                self.rows.removeKey((k,))
         if out:
             names = [c.split()[0] for c in STATE.split(", ")]
             frame = pd.DataFrame(out, columns=names)
@@ -86,7 +89,7 @@ def fold_stream(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return (
         events.withColumn("scope", dismissal_group(F.col("key"))).withWatermark("ts", lateness)
         .groupBy("profile_id", "scope")
-        .transformWithStateInPandas(statefulProcessor=WatchFold(), outputStructType=STATE, outputMode="Update", timeMode="None")
+        .transformWithStateInPandas(statefulProcessor=WatchFold(), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -65,7 +66,7 @@ def main() -> int:
 
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     parts = sys.argv[2:]
-    spark = build()
+    spark = build(scratch=tempfile.mkdtemp(prefix="spark-"))
     con = connect(sf_dir)
     oracles = entry.oracle_sql()
     bad = 0

@@ -4,5 +4,5 @@ from shelf.session import build
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return build(8, "shelf-tests")
+def spark(tmp_path_factory):
+    return build(8, "shelf-tests", str(tmp_path_factory.mktemp("scratch")))

@@ -20,7 +20,7 @@ def test_chunked_equals_plain(spark, rows):
         lag=("lag", F.col("v")), lead=("lead", F.col("v")),
     )
     plain = windows.ordered_columns(rows, ["k"], ["t"], **specs)
-    hot = windows.ordered_columns(rows, ["k"], ["t"], hot_rows=100, **specs)
+    hot = windows.ordered_columns(rows, ["k"], ["t"], spread=True, **specs)
     assert hot.select(windows.chunk_column(["k"], ["t"])).distinct().count() > 1
     a = sorted(map(tuple, plain.select("k", "t", *specs).collect()), key=str)
     b = sorted(map(tuple, hot.select("k", "t", *specs).collect()), key=str)
@@ -29,7 +29,7 @@ def test_chunked_equals_plain(spark, rows):
 
 def test_null_keys(spark):
     df = spark.range(400).select(F.when(F.col("id") % 2 == 0, 1).alias("k"), F.col("id").alias("t"))
-    hot = windows.ordered_columns(df, ["k"], ["t"], hot_rows=10, rn=("row_number",))
+    hot = windows.ordered_columns(df, ["k"], ["t"], spread=True, rn=("row_number",))
     assert sorted(r["rn"] for r in hot.collect()) == sorted([*range(1, 201), *range(1, 201)])
 
 
@@ -39,7 +39,7 @@ def test_renditions_of_a_hot_work(spark):
         F.lit("m").alias("mime"), (F.col("id") * 37 % 101).alias("size"), F.lit(1).alias("duration_ms"), (F.col("id") % 4).cast("int").alias("width"), F.lit(10).alias("height"),
     )
     a = merge.renditions(df, merge.movie_keys())
-    b = merge.renditions(df, merge.movie_keys(), hot_rows=50)
+    b = merge.renditions(df, merge.movie_keys(), spread=True)
     pick = lambda d: sorted((r["file_id"], r["quality_rank"]) for r in d.collect())
     assert pick(a) == pick(b)
 
@@ -55,14 +55,14 @@ def test_hot_watch_key(spark):
     assert isinstance(events.schema, T.StructType)
     for n in (499, 480, 333, 100, 17):
         part = events.filter(F.col("event_id") <= n)
-        assert watch.fold(part).collect() == watch.fold(part, hot_rows=20).collect()
+        assert watch.fold(part).collect() == watch.fold(part, spread=True).collect()
 
 
 def test_frames_literals(spark):
     pics = [(19, 0), (1, 4), (1, 2), (0, 1), (0, 3), (19, 0), (1, 2), (0, 1)]
     df = spark.createDataFrame([(1, i, n, l) for i, (n, l) in enumerate(pics)], "file_id long, idx long, nal_type int, poc_lsb int")
-    for hot in (10**6, 2):
-        r = frames.display_ranks(df, 8, hot_rows=hot).orderBy("idx").collect()
+    for hot in (False, True):
+        r = frames.display_ranks(df, 8, spread=hot).orderBy("idx").collect()
         assert [x["rank"] for x in r] == [0, 4, 2, 1, 3, 5, 7, 6]
         assert max(x["cvs"] for x in r) == 1
 
@@ -83,4 +83,4 @@ def test_hot_neighbours(spark):
         (F.col("id") % 2).alias("disc_no"), (F.col("id") * 7 % 300).alias("track_no"), F.lit("t").alias("title"),
     )
     pick = lambda d: sorted(map(tuple, d.collect()), key=str)
-    assert pick(listings.track_neighbours(t)) == pick(listings.track_neighbours(t, hot_rows=30))
+    assert pick(listings.track_neighbours(t)) == pick(listings.track_neighbours(t, spread=True))
