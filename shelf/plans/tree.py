@@ -180,6 +180,13 @@ def _movie_rows(lib: Library) -> DataFrame:
     return rows.unionByName(m.join(genre.unionByName(director), "file_id").select(*cols, "node_id"))
 
 
+def section_items(lib: Library) -> DataFrame:
+    """Items of the All Movies view alone, as ``node_items`` has them: what a search below the movies looks through."""
+    c = F.col
+    film = merge_renditions(lib.movies, movie_keys(), listings.MOVIE_FIELDS, [c("file_id")])
+    return _shaped(film, F.lit("mv:all"), "movies", K.with_year(c("title"), c("year")), {"k3": F.lower("sort_title")})
+
+
 def node_items(lib: Library, recent: int = 25) -> DataFrame:
     """Items of every leaf listing, merged as that listing merges them, with its order columns and titles.
 
@@ -299,7 +306,7 @@ def node_counts(lib: Library, recent: int = 25) -> DataFrame:
     for df in out[1:]:
         result = result.unionByName(df)
     # a bucket nothing falls into still shows a zero
-    return result.unionByName(empty.join(result.select("count_id"), "count_id", "left_anti"))
+    return result.unionByName(empty).groupBy("count_id").agg(F.max("n").alias("n"))
 
 
 def scopes() -> Column:

@@ -245,7 +245,7 @@ TITLED = "title || CASE WHEN year IS NULL THEN '' ELSE ' (' || year || ')' END"
 
 def movie_scope(spark, sf):
     """Items under the movie section, flattened."""
-    works = tree.node_items(library(spark, sf)).filter("node_id = 'mv:all'")
+    works = tree.section_items(library(spark, sf))
     return works.withColumn("scope", F.lit("mv"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelf.functions.names import let
 from shelf.functions.text import audio_label, frame_rate
 
 PROBE = """
@@ -20,8 +21,6 @@ def _probe(json: Column) -> Column:
     return F.from_json(json, PROBE)
 
 
-
-
 def tech_columns(probes: DataFrame) -> DataFrame:
     """(file_id, json) probe output with the technical columns of a catalog file; unreadable JSON gives nulls."""
     p = probes.withColumn("p", _probe(F.col("json")))
@@ -70,24 +69,32 @@ def streams(listings: DataFrame) -> DataFrame:
     blocks = F.regexp_extract_all("text", F.lit(r"(?s)\[STREAM\](.*?)\[/STREAM\]"), 1)
     df = listings.select("file_id", F.posexplode(blocks).alias("idx", "block"))
 
-    def text(key: str) -> Column:
-        there = F.col("block").rlike(rf"(?i)(?:^|\n)[ \t]*{key}=")
-        return F.when(there, F.trim(F.regexp_extract("block", rf"(?is)^(?:.*\n)?[ \t]*{key}=([^\r\n]*)", 1)))
-
-    flag = lambda key: F.coalesce(text(key) == "1", F.lit(False))
-    handler, own = text("TAG:handler_name"), text("TAG:title")
-    language = text("TAG:language")
-    kind = text("codec_type")
-    return df.select(
-        "file_id", "idx", F.coalesce(text("index").try_cast("int"), F.col("idx")).alias("stream_index"),
-        F.when(kind.isin("video", "audio", "subtitle"), kind).otherwise("other").alias("kind"),
-        F.coalesce(text("codec_name"), F.lit("")).alias("codec"), F.coalesce(text("channels").try_cast("int"), F.lit(0)).alias("channels"),
-        language.alias("language"), F.coalesce(own, F.when(handler != "SubtitleHandler", handler)).alias("title"), own.alias("own_title"),
-        F.concat(F.coalesce(F.concat(own, F.lit(" ")), F.lit("")), F.coalesce(F.concat(handler, F.lit(" ")), F.lit(""))).alias("label"),
-        flag("DISPOSITION:default").alias("is_default"), flag("DISPOSITION:forced").alias("forced"),
-        flag("DISPOSITION:hearing_impaired").alias("hearing_impaired"),
-        F.col("block").rlike(r"(?i)side_data_type=[^\n]*dovi").alias("dolby_vision"),
-    )
+    def pair(line: Column) -> Column:
+        value = F.substr(line, F.instr(line, "=") + 1)
+        return F.struct(
+            F.lower(F.ltrim(F.substring_index(line, "=", 1), F.lit(" \t"))).alias("key"), F.trim(F.substring_index(value, "\r", 1)).alias("value")
+        )
+
+    def read(pairs: Column) -> Column:
+        def text(key: str) -> Column:
+            return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key.lower()), F.lit(-1))["value"]
+
+        flag = lambda key: F.coalesce(text(key) == "1", F.lit(False))
+        handler, own = text("TAG:handler_name"), text("TAG:title")
+        kind = text("codec_type")
+        return F.struct(
+            F.coalesce(text("index").try_cast("int"), F.col("idx")).alias("stream_index"),
+            F.when(kind.isin("video", "audio", "subtitle"), kind).otherwise("other").alias("kind"),
+            F.coalesce(text("codec_name"), F.lit("")).alias("codec"), F.coalesce(text("channels").try_cast("int"), F.lit(0)).alias("channels"),
+            text("TAG:language").alias("language"), F.coalesce(own, F.when(handler != "SubtitleHandler", handler)).alias("title"), own.alias("own_title"),
+            F.concat(F.coalesce(F.concat(own, F.lit(" ")), F.lit("")), F.coalesce(F.concat(handler, F.lit(" ")), F.lit(""))).alias("label"),
+            flag("DISPOSITION:default").alias("is_default"), flag("DISPOSITION:forced").alias("forced"),
+            flag("DISPOSITION:hearing_impaired").alias("hearing_impaired"),
+            F.coalesce(F.exists(pairs, lambda p: (p["key"] == "side_data_type") & F.lower(p["value"]).contains("dovi")), F.lit(False)).alias("dolby_vision"),
+        )
+
+    lines = F.filter(F.split("block", "\n"), lambda line: line.contains("="))
+    return df.select("file_id", "idx", let(F.transform(lines, pair), read).alias("s")).select("file_id", "idx", "s.*")
 
 
 def meter_levels(summaries: DataFrame) -> DataFrame:

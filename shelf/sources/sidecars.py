@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelf.functions.names import base_name, folders
+from shelf.functions.names import base_name, folders, let
 from shelf.functions.text import clean, iso_date
 
 NFO_XML = (
@@ -22,7 +22,11 @@ NFO_XML = (
 
 def nfo_fields(text: Column) -> Column:
     """Description XML as typed columns; malformed text gives nulls and empty lists."""
-    x = F.from_xml(text, NFO_XML, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = F.from_xml(text, NFO_XML, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return let(parsed, lambda x: _nfo_struct(text, x))
+
+
+def _nfo_struct(text: Column, x: Column) -> Column:
     sound = x["_corrupt_record"].isNull()
 
     def values(name: str) -> Column:
@@ -39,7 +43,10 @@ def nfo_fields(text: Column) -> Column:
         return F.try_element_at(F.filter(array, test), F.lit(1))
 
     year = first("year").try_cast("int")
-    season = F.coalesce(first("season"), first("seasonnumber")).try_cast("int")
+    # two names for one number; the one that stands first in the document counts
+    named = F.regexp_instr(text, F.lit(r"<season[\s>]")) < F.regexp_instr(text, F.lit(r"<seasonnumber[\s>]"))
+    either = F.coalesce(first("season"), first("seasonnumber"))
+    season = F.when(first("season").isNotNull() & first("seasonnumber").isNotNull() & ~named, first("seasonnumber")).otherwise(either).try_cast("int")
     number = first("episode").try_cast("int")
     ratings = F.transform(values("rating"), lambda v: v.try_cast("double"))
     ids = F.when(sound, F.filter(x["uniqueid"], lambda u: (u["_type"] == "imdb") & F.trim(u["_VALUE"]).rlike(r"^tt\d{7,9}$")))
