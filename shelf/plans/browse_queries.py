@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelf.functions import keys, names
+from shelf.functions.keys import display_album, display_artist
 from shelf.operators import counts, items, listings, merge
+from shelf.operators.windows import ordered_columns
 from shelf.plans.registry import query
 from shelf.sources.bridge import view
 
@@ -76,12 +78,15 @@ def _(spark, sf):
     return merge.renditions(movies(spark, sf), merge.movie_keys()).select("k_title", "k_year", "file_id", "size", "quality_rank")
 
 
-@query("l1_recent_movies", f"""
+RECENT_SQL = f"""
 SELECT k, year, title, rating, file_id, size, width, extras, has_art, art_file_id FROM (
 {merge_sql(order='added_at DESC, file_id DESC', src="(SELECT * FROM b_movies WHERE status='ready' ORDER BY added_at DESC, file_id DESC LIMIT 50)")}
 ) m JOIN (SELECT lower(title) AS k2, year AS y2, max(added_at * 1000000000000000000::HUGEINT + file_id) AS newest
   FROM (SELECT * FROM b_movies WHERE status='ready' ORDER BY added_at DESC, file_id DESC LIMIT 50) GROUP BY 1, 2) o
-ON m.k=o.k2 AND m.year IS NOT DISTINCT FROM o.y2 ORDER BY newest DESC LIMIT 25""")
+ON m.k=o.k2 AND m.year IS NOT DISTINCT FROM o.y2 ORDER BY newest DESC LIMIT 25"""
+
+
+@query("l1_recent_movies", RECENT_SQL)
 def _(spark, sf):
     return shown(listings.recent_movies(movies(spark, sf), 25))
 
@@ -96,25 +101,38 @@ def _(spark, sf):
     return listings.recent(tracks(spark, sf), 25).select("file_id", "title", "artist", "added_at")
 
 
-@query("l3_listing_orders", """
-SELECT 'artist' AS listing, file_id, row_number() OVER (ORDER BY lower(coalesce(album_artist, artist, 'Unknown Artist')), lower(coalesce(album, 'Unknown Album')), disc_no, track_no, file_id) AS pos
-FROM b_tracks WHERE status='ready' QUALIFY pos <= 200
-UNION ALL SELECT 'series', file_id, row_number() OVER (ORDER BY lower(series), season, episode, file_id) AS pos FROM b_episodes WHERE status='ready' QUALIFY pos <= 200
-UNION ALL SELECT 'title', file_id, pos FROM (SELECT file_id, row_number() OVER (ORDER BY lower(""" + SORT_KEY + """), file_id) AS pos FROM (""" + merge_sql() + """)) WHERE pos <= 200
-UNION ALL SELECT 'rating', file_id, pos FROM (SELECT file_id, row_number() OVER (ORDER BY rating DESC, lower(""" + SORT_KEY + """), file_id) AS pos FROM (""" + merge_sql("rating >= 0 AND rating < 10.1", "rating DESC, file_id") + """)) WHERE pos <= 200""")
-def _(spark, sf):
-    # top of each order: take(n) rows in order, numbered in one small partition
-    def top(df, listing):
-        return df.select("file_id").limit(200).select(
-            F.lit(listing).alias("listing"), "file_id", (F.monotonically_increasing_id() + 1).alias("pos")
-        )
-
-    return (
-        top(listings.all_tracks(tracks(spark, sf)), "artist")
-        .union(top(listings.all_episodes(episodes(spark, sf)), "series"))
-        .union(top(listings.all_movies(movies(spark, sf)), "title"))
-        .union(top(listings.of_rating(movies(spark, sf), 0.0, 10.1), "rating"))
-    )
+def titled_sql(where: str = "true", order: str = "file_id") -> str:
+    return f"(SELECT *, lower({SORT_KEY}) AS sk FROM ({merge_sql(where, order)}))"
+
+
+SHOWN_ARTIST, SHOWN_ALBUM = "lower(coalesce(album_artist, artist, 'Unknown Artist'))", "lower(coalesce(album, 'Unknown Album'))"
+
+
+@query("l3_listing_orders", f"""
+SELECT 'artist' AS listing, file_id, row_number() OVER (ORDER BY {SHOWN_ARTIST}, {SHOWN_ALBUM}, disc_no NULLS FIRST, track_no NULLS FIRST, file_id) AS pos FROM b_tracks WHERE status='ready'
+UNION ALL SELECT 'series', file_id, row_number() OVER (ORDER BY lower(series), season, episode, file_id) FROM b_episodes WHERE status='ready'
+UNION ALL SELECT 'title', file_id, row_number() OVER (ORDER BY sk, file_id) FROM {titled_sql()}
+UNION ALL SELECT 'rating', file_id, row_number() OVER (ORDER BY rating DESC, sk, file_id) FROM {titled_sql("rating >= 0 AND rating < 10.1", "rating DESC, file_id")}
+UNION ALL SELECT 'year', file_id, row_number() OVER (ORDER BY year NULLS FIRST, sk, file_id) FROM {titled_sql("lower(collection) = (SELECT min(lower(collection)) FROM b_movies WHERE status='ready' AND collection <> '')")}
+UNION ALL SELECT 'added', file_id, row_number() OVER (ORDER BY added_at DESC, file_id DESC) FROM b_episodes WHERE status='ready'
+UNION ALL SELECT 'album', file_id, row_number() OVER (ORDER BY disc_no NULLS FIRST, track_no NULLS FIRST, lower(title), file_id) FROM b_tracks WHERE status='ready'
+ AND ({SHOWN_ARTIST}, {SHOWN_ALBUM}) = (SELECT min(({SHOWN_ARTIST}, {SHOWN_ALBUM})) FROM b_tracks WHERE status='ready')""")
+def _(spark, sf):
+    m, e, t = movies(spark, sf), episodes(spark, sf), tracks(spark, sf)
+    first_set = m.filter("collection <> ''").agg(F.min(F.lower("collection")).alias("c")).first()["c"]
+    album = t.select(display_artist(F.col("album_artist"), F.col("artist")).alias("artist"), display_album(F.col("album")).alias("album"))
+    named = album.agg(F.min_by(F.struct("artist", "album"), F.struct(F.lower("artist"), F.lower("album"))).alias("a")).first()["a"]
+    lists = {
+        "artist": listings.all_tracks(t), "series": listings.all_episodes(e), "title": listings.all_movies(m), "rating": listings.of_rating(m, 0.0, 10.1),
+        "year": listings.of_franchise(m, first_set), "added": listings.recent(e, e.count()), "album": listings.tracks_of_album(t, named["artist"], named["album"]),
+    }
+    out = None
+    for name, df in lists.items():
+        # sorted partitions follow each other, so ids given in them ascend with the listing
+        seen = df.select(F.lit(name).alias("listing"), "file_id", F.monotonically_increasing_id().alias("at"))
+        placed = ordered_columns(seen, ["listing"], ["at"], True, pos=("row_number",)).select("listing", "file_id", "pos")
+        out = placed if out is None else out.unionByName(placed)
+    return out
 
 
 @query("f2_movies_of_year", merge_sql("year = 1999"))

@@ -9,7 +9,7 @@ from shelf.operators import export, items, listings, reconcile
 from shelf.plans.browse_queries import episodes, merge_sql, movies, shown, tracks
 from shelf.plans.registry import query
 from shelf.plans.tree import dimension_id
-from shelf.plans.tree_queries import any_items
+from shelf.plans.tree_queries import TITLES_SQL, any_items
 from shelf.sources.bridge import view
 
 
@@ -117,10 +117,10 @@ def _(spark, sf):
 
 @query("p16_fact_formats", """
 SELECT file_id, (duration_ms//3600000) || ':' || lpad((duration_ms//60000%60)::VARCHAR, 2, '0') || ':' || lpad((duration_ms//1000%60)::VARCHAR, 2, '0') AS duration,
- CASE WHEN size < 1048576 THEN printf('%.2f KB', size/1024.0) ELSE printf('%.2f MB', size/1048576.0) END AS size, CASE WHEN season IS NULL THEN NULL ELSE CAST(day(CAST(aired AS DATE)) AS VARCHAR) || ' ' || monthname(CAST(aired AS DATE)) || ' ' || year(CAST(aired AS DATE)) END AS aired,
- CASE WHEN file_id % 3 = 0 THEN '25' WHEN file_id % 3 = 1 THEN '23.976' ELSE '12.5' END AS fps FROM b_episodes WHERE size >= 1024""")
+ CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.2f KB', size/1024.0) ELSE printf('%.2f MB', size/1048576.0) END AS size, CASE WHEN season IS NULL THEN NULL ELSE CAST(day(CAST(aired AS DATE)) AS VARCHAR) || ' ' || monthname(CAST(aired AS DATE)) || ' ' || year(CAST(aired AS DATE)) END AS aired,
+ CASE WHEN file_id % 3 = 0 THEN '25' WHEN file_id % 3 = 1 THEN '23.976' ELSE '12.5' END AS fps FROM b_episodes""")
 def _(spark, sf):
-    e = view(spark, sf, "b_episodes").filter("size >= 1024")
+    e = view(spark, sf, "b_episodes")
     fps = F.when(F.col("file_id") % 3 == 0, 25.0).when(F.col("file_id") % 3 == 1, 24000 / 1001).otherwise(12.5)
     return e.select(
         "file_id", formats.human_duration(F.col("duration_ms")).alias("duration"), formats.human_size(F.col("size")).alias("size"),
@@ -129,13 +129,13 @@ def _(spark, sf):
 
 
 @query("p11_share_titles", """
-SELECT doc_id, CASE WHEN length(text) <= 300 THEN trim(text) ELSE CASE WHEN contains(substr(trim(text), 1, 300), ' ') THEN regexp_replace(substr(trim(text), 1, 300), ' [^ ]*$', '', 's') ELSE substr(trim(text), 1, 300) END || '…' END AS story,
+SELECT doc_id, CASE WHEN trim(text) = '' THEN NULL WHEN length(trim(text)) <= 300 THEN trim(text) ELSE CASE WHEN contains(substr(trim(text), 1, 300), ' ') THEN regexp_replace(substr(trim(text), 1, 300), ' [^ ]*$', '', 's') ELSE substr(trim(text), 1, 300) END || '…' END AS story,
  source || ' S0' || (doc_id % 9) || 'E' || CASE WHEN doc_id % 20 < 10 THEN '0' ELSE '' END || (doc_id % 20) || ' — T' AS share, 'T (S0' || (doc_id % 9) || ' - ' || source || ')' AS tab
-FROM documents WHERE trim(text) = text AND (length(text) > 300 OR length(text) > 0)""")
+FROM documents""")
 def _(spark, sf):
     from shelf.sources.bridge import table
 
-    d = table(spark, sf, "documents").filter("trim(text) = text and length(text) > 0")
+    d = table(spark, sf, "documents")
     c, lit = F.col, F.lit
     null = lit(None).cast("string")
     return d.select(
@@ -220,7 +220,8 @@ def _(spark, sf):
     return export.caption_inventory(view(spark, sf, "b_files"), view(spark, sf, "b_roots"), caption_disk(spark, sf))
 
 
-@query("s19_playlist", """
-SELECT file_id, '#EXTINF:' || (duration_ms//1000) || ',' || series || ' S' || lpad(season::VARCHAR, 2, '0') || 'E' || lpad(episode::VARCHAR, 2, '0') || ' - ' || title || chr(10) || 'http://h/media/' || file_id AS entry FROM b_episodes WHERE status='ready'""")
+@query("s19_playlist", f"""
+SELECT p.file_id, '#EXTINF:' || coalesce(CAST(f.duration_ms//1000 AS VARCHAR), '-1') || ',' || translate(p.title, chr(10) || chr(13), '  ') || chr(10) || 'http://h/media/' || p.file_id AS entry
+FROM ({TITLES_SQL}) p JOIN (SELECT DISTINCT file_id, duration_ms FROM b_files WHERE status='ready') f ON f.file_id = p.file_id""")
 def _(spark, sf):
-    return export.playlist_lines(any_items(spark, sf).filter("kind = 'tv'"), "http://h").select("file_id", "entry")
+    return export.playlist_lines(any_items(spark, sf), "http://h").select("file_id", "entry")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelf.functions import keys as K
 from shelf.operators import items, listings, search
 from shelf.plans import tree
-from shelf.plans.browse_queries import MERGE_SQL, SORT_KEY, episodes, movies, tracks
+from shelf.plans.browse_queries import MERGE_SQL, RECENT_SQL, SORT_KEY, episodes, movies, tracks
 from shelf.plans.registry import query
 from shelf.sources.bridge import view
 
@@ -131,6 +131,7 @@ folder AS (SELECT f.file_id, f.root_id, f.kind, CASE WHEN contains(f.rel_path, '
 ni AS (
  SELECT node_id, 'movies' AS kind, file_id, CASE WHEN node_id LIKE 'mv:rating:%' AND rating IS NOT NULL THEN printf('%.1f', rating) || ' · ' ELSE '' END || title
     || CASE WHEN node_id LIKE 'mv:year:%' THEN '' ELSE {YEARED} END AS title, NULL::BIGINT AS root_id, NULL AS rel FROM film
+ UNION ALL SELECT * FROM (SELECT 'mv:recent', 'movies', m.file_id, m.title || CASE WHEN m.year IS NULL THEN '' ELSE ' (' || m.year || ')' END, NULL, NULL FROM ({RECENT_SQL}) m)
  UNION ALL SELECT 'mu:album:' || {enc(ART)} || ':' || {enc(ALB)}, 'music', file_id, title, NULL, NULL FROM t
  UNION ALL SELECT 'mu:genre:' || {dim('genre')}, 'music', file_id, title, NULL, NULL FROM t WHERE genre IS NOT NULL
  UNION ALL SELECT * FROM (SELECT 'mu:recent', 'music', file_id, artist || ' - ' || coalesce(album || ' - ', '') || title, NULL, NULL FROM t ORDER BY added_at DESC, file_id DESC LIMIT 25)
@@ -144,16 +145,16 @@ ni AS (
 @query("c2_node_items", ITEMS_SQL + """
 SELECT node_id, count(*) AS n, CAST(sum(file_id % 1000003) AS BIGINT) AS ids, min(title) AS first_title, max(title) AS last_title FROM ni GROUP BY 1""")
 def _(spark, sf):
-    found = tree.node_items(library(spark, sf)).filter("node_id <> 'mv:recent'")
+    found = tree.node_items(library(spark, sf))
     return found.groupBy("node_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.expr("file_id % 1000003")).alias("ids"), F.min("title").alias("first_title"), F.max("title").alias("last_title")
     )
 
 
-@query("p9_listing_titles", ITEMS_SQL + "SELECT node_id, file_id, title FROM ni WHERE node_id NOT LIKE 'dir:%'")
+@query("p9_listing_titles", ITEMS_SQL + "SELECT node_id, file_id, title FROM ni")
 def _(spark, sf):
     found = tree.node_items(library(spark, sf))
-    return found.filter("node_id <> 'mv:recent' and node_id not like 'dir:%'").select("node_id", "file_id", "title")
+    return found.select("node_id", "file_id", "title")
 
 
 UP = "list_transform(range(0, least(depth, 5) + 1), lambda i: " + (
@@ -169,14 +170,14 @@ x AS (SELECT *, CASE WHEN node_id='mv:all' THEN ['mv:all', 'mv', '0']
   WHEN len(p) = 3 THEN [node_id, p[1] || ':' || p[2]] ELSE [node_id] END AS scopes FROM sc)
 SELECT scope, count(DISTINCT file_id) AS n, CAST(sum(DISTINCT file_id % 1000003) AS BIGINT) AS ids FROM (SELECT file_id, unnest(scopes) AS scope FROM x) GROUP BY 1""")
 def _(spark, sf):
-    flat = tree.flatten(tree.node_items(library(spark, sf)).filter("node_id <> 'mv:recent'"))
+    flat = tree.flatten(tree.node_items(library(spark, sf)))
     return flat.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum_distinct(F.expr("file_id % 1000003")).alias("ids"))
 
 
 WORKS = "count(DISTINCT lower(title) || chr(31) || coalesce(CAST(year AS VARCHAR), ''))"
 
 
-@query("a9_node_counts", f"""
+COUNTS_SQL = f"""
 WITH m AS (SELECT * FROM b_movies WHERE status='ready'), t AS (SELECT * FROM b_tracks WHERE status='ready'),
 e AS (SELECT lower(series) AS s, season, episode, bool_or(width > 1920 OR height > 1080) AS uhd FROM b_episodes WHERE status='ready' GROUP BY 1, 2, 3),
 f AS (SELECT * FROM b_files WHERE status='ready'),
@@ -203,12 +204,21 @@ UNION ALL SELECT 'tv:ser:' || {enc('s')}, count(*) FROM e GROUP BY s UNION ALL S
 UNION ALL SELECT CASE kind WHEN 'movies' THEN 'mv' WHEN 'music' THEN 'mu' ELSE 'tv' END || ':dir', count(*) FROM f GROUP BY kind
 UNION ALL SELECT 'dir:' || root_id, count(*) FROM f GROUP BY root_id
 UNION ALL SELECT {dir_sql('root_id', 'rel')}, count(*) FROM (
-  SELECT root_id, array_to_string(parts[1:i], '/') AS rel FROM (SELECT root_id, parts, unnest(range(1, len(parts))) AS i FROM (SELECT root_id, string_split(rel_path, '/') AS parts FROM f))) GROUP BY root_id, rel""")
+  SELECT root_id, array_to_string(parts[1:i], '/') AS rel FROM (SELECT root_id, parts, unnest(range(1, len(parts))) AS i FROM (SELECT root_id, string_split(rel_path, '/') AS parts FROM f))) GROUP BY root_id, rel"""
+
+
+@query("a9_node_counts", COUNTS_SQL)
 def _(spark, sf):
     return tree.node_counts(library(spark, sf))
 
 
-@query("c4_counted_nodes")
+FOLDED = "decode(from_base64(rpad(replace(replace(p[3], '-', '+'), '_', '/'), CAST(ceil(len(p[3]) / 4.0) * 4 AS INT), '=')))"
+
+
+@query("c4_counted_nodes", f"""
+SELECT node_id, parent_id, title, c.n FROM (
+ SELECT *, CASE WHEN p[1] || ':' || p[2] IN ('tv:ser', 'mv:set') AND len(p) > 2 THEN p[1] || ':' || p[2] || ':' || {enc("lower(" + FOLDED + ")")} || CASE WHEN len(p) > 3 THEN ':' || p[4] ELSE '' END ELSE node_id END AS count_id
+ FROM (SELECT *, string_split(node_id, ':') AS p FROM ({NODES_SQL}))) LEFT JOIN ({COUNTS_SQL}) c USING (count_id)""")
 def _(spark, sf):
     lib = library(spark, sf)
     return tree.node_detail(tree.nodes(lib), tree.node_counts(lib)).select("node_id", "parent_id", "title", "n")
@@ -304,13 +314,16 @@ def _(spark, sf):
     return listings.folder_view(any_items(spark, sf), 1, "ECONOMY")
 
 
-@query("p10_playlist_titles", """
+TITLES_SQL = """
 SELECT file_id, CASE WHEN kind='movies' THEN title || CASE WHEN year IS NOT NULL THEN ' (' || year || ')' ELSE '' END
  WHEN kind='tv' THEN series || ' S' || lpad(season::VARCHAR, 2, '0') || 'E' || lpad(episode::VARCHAR, 2, '0') || ' - ' || title
  ELSE artist || ' - ' || coalesce(album || ' - ', '') || title END AS title
 FROM (SELECT file_id, 'movies' AS kind, title, year, NULL AS series, NULL AS season, NULL AS episode, NULL AS artist, NULL AS album FROM b_movies WHERE status='ready'
  UNION ALL SELECT file_id, 'tv', title, NULL, series, season, episode, NULL, NULL FROM b_episodes WHERE status='ready'
- UNION ALL SELECT -file_id, 'music', title, year, NULL, NULL, NULL, artist, album FROM b_tracks WHERE status='ready')""")
+ UNION ALL SELECT -file_id, 'music', title, year, NULL, NULL, NULL, artist, album FROM b_tracks WHERE status='ready')"""
+
+
+@query("p10_playlist_titles", TITLES_SQL)
 def _(spark, sf):
     got = any_items(spark, sf)
     title = K.playlist_title(*[F.col(c) for c in ("kind", "title", "year", "series", "season", "episode", "artist", "album")])
