@@ -6,19 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: words dropped from the end of a movie title
-MOVIE_TAIL_WORDS = (
-    "remastered unrated extended uncut repack proper imax theatrical criterion restored bluray "
-    "brrip webrip hdrip dvdrip 2160p 1080p 720p 4k x264 x265 hevc"
-).split()
-
-# fixed values: patterns of the words an episode title is cut at
-EPISODE_CUT_WORDS = [
-    "2160p", "1080p", "720p", "480p", "4k", "webrip", "web-?dl", "web", "bluray", "blu-ray", "brrip", "bdrip",
-    "hdtv", "hdrip", "dvdrip", "hevc", "x264", "x265", r"h\.?264", r"h\.?265", "av1", r"aac\d*", "ac3",
-    r"dd[p+]?[\d\.]*", "dts(-?hd)?", "atmos", "repack", "proper", "internal", "remastered", "extended", "uncut",
-    "unrated", "amzn", "nf", "hulu", "dsnp", "hmax", "10bit", "8bit", r"hdr\d*", "dv", "sdr", "multi", "dubbed", "subbed",
+MOVIE_TAIL_WORDS = [
+    "remastered", "unrated", "extended", "uncut", "repack", "proper", "imax", "theatrical", "criterion", "restored", "bluray",
+    "brrip", "webrip", "hdrip", "dvdrip", "2160p", "1080p", "720p", "4k", "x264", "x265", "hevc",
 ]
 
+# fixed value: pattern of the words an episode title is cut at
+EPISODE_CUT_WORDS = (
+    r"2160p|1080p|720p|480p|4k|webrip|web-?dl|web|bluray|blu-ray|brrip|bdrip|hdtv|hdrip|dvdrip|hevc|x264|x265|h\.?264|h\.?265|av1|aac\d*|ac3|"
+    r"dd[p+]?[\d\.]*|dts(-?hd)?|atmos|repack|proper|internal|remastered|extended|uncut|unrated|amzn|nf|hulu|dsnp|hmax|10bit|8bit|hdr\d*|dv|sdr|"
+    r"multi|dubbed|subbed"
+)
+
 # what comes before the mark, season and number in either spelling, what comes after
 EPISODE_SHAPE = r"(?is)^(.*?)(?:S(\d{1,2})[. _-]*E(\d{1,3})(?:[. _-]*E\d{1,3})*|(\d{1,2})x(\d{2,3}))(.*)$"
 PIECE = "\u0001"
@@ -104,7 +103,7 @@ def without_series_year(series: Column) -> Column:
 
 def episode_title(text: Column) -> Column:
     """Text up to the first release word, stray separators off both ends."""
-    cut = rf"(?is)(?:^| )[(\[]*(?:{'|'.join(EPISODE_CUT_WORDS)})\b.*$"
+    cut = rf"(?is)(?:^| )[(\[]*(?:{EPISODE_CUT_WORDS})\b.*$"
     return F.regexp_replace(F.regexp_replace(squeeze(text), cut, ""), r"^[-( \[]+|[-( \[]+$", "")
 
 

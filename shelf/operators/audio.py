@@ -21,10 +21,12 @@ AUDIO_TWIN = ["ac3", "eac3"]
 
 # fixed values: language tags by the name shown to viewers
 LANGUAGES = {
-    "English": "eng en", "French": "fre fra fr", "German": "ger deu de", "Spanish": "spa es", "Italian": "ita it", "Portuguese": "por pt",
-    "Dutch": "dut nld nl", "Swedish": "swe sv", "Norwegian": "nor nob no", "Danish": "dan da", "Finnish": "fin fi", "Polish": "pol pl",
-    "Czech": "cze ces cs", "Hungarian": "hun hu", "Greek": "gre ell el", "Russian": "rus ru", "Ukrainian": "ukr uk", "Turkish": "tur tr",
-    "Hebrew": "heb he", "Arabic": "ara ar", "Hindi": "hin hi", "Japanese": "jpn ja", "Korean": "kor ko", "Chinese": "chi zho zh", "Thai": "tha th",
+    "English": ["eng", "en"], "French": ["fre", "fra", "fr"], "German": ["ger", "deu", "de"], "Spanish": ["spa", "es"],
+    "Italian": ["ita", "it"], "Portuguese": ["por", "pt"], "Dutch": ["dut", "nld", "nl"], "Swedish": ["swe", "sv"],
+    "Norwegian": ["nor", "nob", "no"], "Danish": ["dan", "da"], "Finnish": ["fin", "fi"], "Polish": ["pol", "pl"],
+    "Czech": ["cze", "ces", "cs"], "Hungarian": ["hun", "hu"], "Greek": ["gre", "ell", "el"], "Russian": ["rus", "ru"],
+    "Ukrainian": ["ukr", "uk"], "Turkish": ["tur", "tr"], "Hebrew": ["heb", "he"], "Arabic": ["ara", "ar"], "Hindi": ["hin", "hi"],
+    "Japanese": ["jpn", "ja"], "Korean": ["kor", "ko"], "Chinese": ["chi", "zho", "zh"], "Thai": ["tha", "th"],
 }
 
 
@@ -98,7 +100,7 @@ def dialogue_stream(streams: DataFrame) -> DataFrame:
 def language_name(tag: Column) -> Column:
     out = None
     for name, tags in LANGUAGES.items():
-        hit = F.lower(tag).isin(*tags.split())
+        hit = F.lower(tag).isin(*tags)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 

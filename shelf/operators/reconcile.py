@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelf.functions import names
@@ -169,7 +169,8 @@ def untouched_roots(known: DataFrame, reachable: DataFrame) -> DataFrame:
 def sync_roots(existing: DataFrame, configured: DataFrame) -> DataFrame:
     """The roots table after matching the configured list (path, kind), with what happened to each.
 
-    Known paths keep their id, new ones get a stable one, dropped ones are listed so their files can go.
+    Known paths keep their id, new ones get a stable one of 63 bits, dropped ones are listed so their files can go. Two roots
+    that would share an id stop the job, since their files would merge.
     """
     old = existing.select("path", "root_id", F.col("kind").alias("_old"))
     new = configured.select("path", "kind").distinct().withColumn("_in", F.lit(True))
@@ -178,8 +179,11 @@ def sync_roots(existing: DataFrame, configured: DataFrame) -> DataFrame:
         F.when(F.col("_in").isNull(), "removed").when(F.col("root_id").isNull(), "added")
         .when(F.col("_old") != F.col("kind"), "updated").otherwise("kept")
     )
-    made = F.abs(F.xxhash64("path") % F.lit(2**31)).cast("long")
-    return joined.select(F.coalesce(F.col("root_id").cast("long"), made).alias("root_id"), "path", F.coalesce("kind", "_old").alias("kind"), change.alias("change"))
+    made = F.xxhash64("path").bitwiseAND(F.lit(2**63 - 1))
+    found = joined.select(F.coalesce(F.col("root_id").cast("long"), made).alias("root_id"), "path", F.coalesce("kind", "_old").alias("kind"), change.alias("change"))
+    same = F.count(F.lit(1)).over(Window.partitionBy("root_id"))
+    clash = F.raise_error(F.concat(F.lit("two roots share the id of "), "path")).cast("long")
+    return found.withColumn("root_id", F.when(same > 1, clash).otherwise(F.col("root_id")))
 
 
 def ensure_names(dimension: DataFrame, found: DataFrame) -> DataFrame:

@@ -224,9 +224,15 @@ def _(spark, sf):
     return tree.node_detail(tree.nodes(lib), tree.node_counts(lib)).select("node_id", "parent_id", "title", "n")
 
 
-@query("c2_browse_children", NODES_SQL.replace("SELECT '0' AS node_id", "SELECT * FROM (SELECT '0' AS node_id", 1) + ") WHERE parent_id = 'tv' AND node_id <> 'tv'")
+@query("c2_browse_children", f"""
+WITH nodes AS (SELECT * FROM ({NODES_SQL}))
+SELECT parent_id AS node, * FROM nodes WHERE parent_id <> node_id AND parent_id NOT LIKE 'mu:artist:%'
+UNION ALL SELECT 'mu:album', * FROM nodes WHERE class = '{tree.ALBUM}'""")
 def _(spark, sf):
-    return tree.children(tree.nodes(library(spark, sf)).drop("count_id"), "tv")
+    """Every node but the artists, opened at once."""
+    nodes = tree.nodes(library(spark, sf)).drop("count_id")
+    asked = nodes.filter(~F.col("node_id").startswith("mu:artist:")).select(F.col("node_id").alias("node"))
+    return tree.children_of(nodes, asked)
 
 
 @query("p12_node_ids", f"SELECT DISTINCT {ALB} AS name, {enc(ALB)} AS code, 'mu:album:' || {enc(ART)} || ':' || {enc(ALB)} AS node_id, {ART} AS arg1, {ALB} AS arg2 FROM b_tracks")

@@ -36,6 +36,10 @@ def scan(spark: SparkSession, roots: DataFrame, paths: list[str]) -> DataFrame:
     return locate(listed, roots)
 
 
+#: Roots up to this many are sent to every task as one map.
+MAPPED_ROOTS = 1000
+
+
 def locate(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Each path under its longest matching root; paths outside every root and hidden ones drop out.
 
@@ -45,13 +49,22 @@ def locate(files: DataFrame, roots: DataFrame) -> DataFrame:
     above = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
     )
-    candidates = files.withColumn("_p", F.col("path")).withColumn("_root", F.explode(above))
-    named = roots.select(F.regexp_replace("path", "/+$", "").alias("_root"), "root_id", "kind")
+    named = roots.groupBy(F.regexp_replace("path", "/+$", "").alias("_root")).agg(F.min(F.struct("root_id", "kind")).alias("r"))
     keep = [c for c in files.columns if c != "path"]
-    found = candidates.join(named, "_root").groupBy("_p", *keep).agg(
-        F.max_by(F.struct("root_id", "kind", "_root"), F.length("_root")).alias("r")
-    )
-    out = found.select("r.root_id", "r.kind", F.substr("_p", F.length("r._root") + 2).alias("rel_path"), *keep)
+    few = named.limit(MAPPED_ROOTS + 1).collect()
+    if not few:
+        return files.limit(0).select(F.lit(0).cast("long").alias("root_id"), F.lit("").alias("kind"), F.lit("").alias("rel_path"), *keep)
+    if len(few) <= MAPPED_ROOTS:
+        # configured roots are few: a literal map of them goes to every task, and no file is shuffled
+        known = F.create_map(*[x for r in few for x in (F.lit(r["_root"]), F.struct(F.lit(r["r"]["root_id"]).alias("root_id"), F.lit(r["r"]["kind"]).alias("kind")))])
+        fits = F.filter(above, lambda p: F.map_contains_key(known, p))
+        found = files.withColumn("_root", F.try_element_at(fits, F.lit(-1))).filter("_root is not null").withColumn("r", F.try_element_at(known, F.col("_root")))
+    else:
+        # numbered, so that equal rows stay apart
+        listed = files.withColumn("_nr", F.monotonically_increasing_id()).withColumn("_root", F.explode(above)).join(named, "_root")
+        best = listed.groupBy("_nr").agg(F.max_by(F.struct(*files.columns, "_root", "r"), F.length("_root")).alias("b"))
+        found = best.select("b.*")
+    out = found.select("r.root_id", "r.kind", F.substr("path", F.length("_root") + 2).alias("rel_path"), *keep)
     return out.filter((F.col("rel_path") != "") & ~F.col("rel_path").rlike(r"(^|/)\."))
 
 

@@ -169,3 +169,80 @@ def test_catalog_sink_is_idempotent(spark, tmp_path):
     sink(spark.createDataFrame([(1, 3, 1, "a.mkv", 10, 5, "movies", "video/x-matroska", False)], schema), 1)
     sink(batch, 0)
     assert [r["rel_path"] for r in catalog.read_table(spark, base, "files").collect()] == ["b.mkv"]
+
+
+def test_a_stream_on_an_older_catalog_keeps_every_table(spark, tmp_path):
+    base = f"{tmp_path}/cat"
+    schema = "ts long, event_id long, root_id long, rel_path string, size long, mtime long, kind string, mime string, present boolean"
+    files = spark.createDataFrame([(7, 1, "old.mkv", 10, 5, "movies", "ready"), (8, 1, "gone.mkv", 10, 5, "movies", "ready")], "file_id long, root_id long, rel_path string, size long, mtime long, kind string, status string")
+    catalog.write_snapshot(spark, base, {
+        "files": files, "movies": spark.createDataFrame([(7, "Old"), (8, "Gone")], "file_id long, title string"),
+        "watch": spark.createDataFrame([(1, "k", 8)], "profile_id long, key string, file_id long"),
+        "segment_prints": spark.createDataFrame([(7, 10, 5, 1)], "file_id long, size long, mtime long, ver int"),
+    })
+    catalog.write_snapshot(spark, base, {"genres": spark.createDataFrame([(1, "Drama")], "id long, name string")})
+    catalog.write_snapshot(spark, base, {"roots": spark.createDataFrame([(1, "/m", "movies")], "root_id long, path string, kind string")})
+    sink = arrivals.catalog_sink(base, F.lit(100))
+    first = spark.createDataFrame([(0, 1, 1, "new.mkv", 1, 1, "movies", "video/x-matroska", True)], schema)
+    second = spark.createDataFrame([(1, 2, 1, "gone.mkv", 10, 5, "movies", "video/x-matroska", False)], schema)
+    sink(first, 0)
+    assert {r["rel_path"] for r in catalog.read_table(spark, base, "files").collect()} == {"old.mkv", "gone.mkv", "new.mkv"}
+    sink(second, 1)
+    version = catalog.current_version(spark, base)
+    sink(second, 1)
+    sink(first, 0)
+    assert catalog.current_version(spark, base) == version == 5 and catalog.last_batch(spark, base, "events") == 1
+    assert {r["rel_path"] for r in catalog.read_table(spark, base, "files").collect()} == {"old.mkv", "new.mkv"}
+    counts = {name: df.count() for name, df in tables(spark, base).items()}
+    assert {n: c for n, c in counts.items() if c} == {"files": 2, "movies": 1, "watch": 1, "segment_prints": 1, "genres": 1, "roots": 1}
+
+
+def test_a_version_has_one_writer(spark, tmp_path):
+    base = f"{tmp_path}/cat"
+    catalog.write_snapshot(spark, base, {"genres": spark.createDataFrame([(1, "Drama")], "id long, name string")})
+
+    class Late:
+        """A frame whose write lets another writer commit first."""
+        columns = ["id", "name"]
+
+        def select(self, *cols):
+            catalog.write_snapshot(spark, base, {"genres": spark.createDataFrame([(2, "Crime")], "id long, name string")})
+            return spark.createDataFrame([(3, "Noir")], "id long, name string")
+
+    with pytest.raises(catalog.CommitConflict):
+        catalog.write_snapshot(spark, base, {"genres": Late()})
+    assert [r["name"] for r in catalog.read_table(spark, base, "genres").collect()] == ["Crime"]
+    # a marker that a writer left unfinished is no version
+    open(f"{base}/_versions/3", "w").close()
+    assert catalog.current_version(spark, base) == 2
+    assert catalog.write_snapshot(spark, base, {"genres": spark.createDataFrame([(4, "War")], "id long, name string")}) == 4
+
+
+def test_forgotten_programs_stay_forgotten(spark, tmp_path):
+    from shelf.streaming import watch
+
+    names = ["event_id", "ts", "profile_id", "key", "file_id", "event", "position_ms", "duration_ms", "seen"]
+    batches = [[(1, 100, 1, "mv|a|1", 5, "position", 10, 100, False)], [(2, 200, 1, "mv|a|1", 5, "forget", 0, 100, False)], [(3, 150, 1, "mv|a|1", 5, "position", 20, 100, False)]]
+    frames = [[(e, t, *rest) for e, t, *rest in b] for b in batches]
+    base = write_events(spark, tmp_path, frames, names)
+    schema = "event_id long, ts timestamp, profile_id long, key string, file_id long, event string, position_ms long, duration_ms long, seen boolean"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out = f"{tmp_path}/changes"
+    q = watch.fold_stream(stream).writeStream.foreachBatch(watch.change_sink(out)).option("checkpointLocation", f"{tmp_path}/state").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert watch.latest_states(spark.read.parquet(f"{out}/batch=*")).count() == 0
+
+
+def test_a_library_with_all_arrivals_spreads_over_days(spark):
+    times = spark.range(4000).select(F.lit("lib").alias("library"), F.timestamp_seconds(F.lit(1_000_000) + F.col("id") * F.when(F.col("id") % 3 == 0, 61).otherwise(59)).alias("ts"))
+    found = arrivals.bursts(times, bin_s=3600).orderBy("begin_at").collect()
+    at = sorted(r["ts"].timestamp() for r in times.collect())
+    want = []
+    for t in at:
+        if want and t - want[-1][1] < 60:
+            want[-1][1] = t
+            want[-1][2] += 1
+        else:
+            want.append([t, t, 1])
+    assert [(r["begin_at"].timestamp(), r["quiet_at"].timestamp() - 60, r["arrivals"]) for r in found] == [tuple(w) for w in want]
