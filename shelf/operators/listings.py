@@ -74,11 +74,11 @@ def of_franchise(items: DataFrame, name: str) -> DataFrame:
     return merged_movies(chosen).orderBy("year", F.lower("sort_title"), "file_id")
 
 
-def franchises(items: DataFrame) -> DataFrame:
+def franchises(items: DataFrame, ordered: bool = True) -> DataFrame:
     """Collections with at least two files, pictured by the earliest pictured member."""
     member = items.filter("collection is not null and collection <> ''")
     pictured = F.when(F.col("has_art"), F.struct(F.coalesce("year", F.lit(-(2**31))).alias("y"), "file_id"))
-    return (
+    listed = (
         member.groupBy(F.lower("collection").alias("k_collection"))
         .agg(
             F.min_by("collection", "file_id").alias("name"),
@@ -86,8 +86,13 @@ def franchises(items: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("files"),
         )
         .filter("files >= 2")
-        .orderBy("k_collection")
     )
+    return in_order(listed, ordered, "k_collection")
+
+
+def in_order(df: DataFrame, ordered: bool, *order: Column | str) -> DataFrame:
+    """The listing in its order; unordered where the caller unites or joins it, which would throw a sort away."""
+    return df.orderBy(*order) if ordered else df
 
 
 def distinct_values(items: DataFrame, value: Column, name: str) -> DataFrame:
@@ -95,12 +100,12 @@ def distinct_values(items: DataFrame, value: Column, name: str) -> DataFrame:
     return items.select(value.alias(name)).filter(F.col(name).isNotNull()).distinct()
 
 
-def years(items: DataFrame) -> DataFrame:
-    return distinct_values(items, F.col("year"), "year").orderBy(F.desc("year"))
+def years(items: DataFrame, ordered: bool = True) -> DataFrame:
+    return in_order(distinct_values(items, F.col("year"), "year"), ordered, F.desc("year"))
 
 
-def decades(items: DataFrame) -> DataFrame:
-    return distinct_values(items, decade(F.col("year")), "decade").orderBy(F.desc("decade"))
+def decades(items: DataFrame, ordered: bool = True) -> DataFrame:
+    return in_order(distinct_values(items, decade(F.col("year")), "decade"), ordered, F.desc("decade"))
 
 
 def names_in_use(items: DataFrame, bridge: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
@@ -114,17 +119,13 @@ def artists(tracks: DataFrame) -> DataFrame:
     return distinct_values(tracks, shown, "artist").orderBy(F.lower("artist"), "artist")
 
 
-def albums(tracks: DataFrame) -> DataFrame:
+def albums(tracks: DataFrame, ordered: bool = True) -> DataFrame:
     """Every album with its artist and the picture of its first pictured track."""
     pictured = F.when(F.col("has_art"), F.struct(F.coalesce("track_no", F.lit(-(2**31))).alias("t"), "file_id"))
-    return (
-        tracks.groupBy(
-            display_artist(F.col("album_artist"), F.col("artist")).alias("artist"),
-            display_album(F.col("album")).alias("album"),
-        )
-        .agg(F.min_by("file_id", pictured).alias("art_file_id"), F.count(F.lit(1)).alias("tracks"))
-        .orderBy(F.lower("album"), F.lower("artist"))
-    )
+    listed = tracks.groupBy(
+        display_artist(F.col("album_artist"), F.col("artist")).alias("artist"), display_album(F.col("album")).alias("album"),
+    ).agg(F.min_by("file_id", pictured).alias("art_file_id"), F.count(F.lit(1)).alias("tracks"))
+    return in_order(listed, ordered, F.lower("album"), F.lower("artist"))
 
 
 def artist_art(tracks: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def merged_episodes(episodes: DataFrame) -> DataFrame:
     return merge_renditions(episodes, episode_keys(), EPISODE_FIELDS)
 
 
-def series_list(episodes: DataFrame, tv_series: DataFrame) -> DataFrame:
+def series_list(episodes: DataFrame, tv_series: DataFrame, ordered: bool = True) -> DataFrame:
     """Every series with art and year: the premiere's year, else the earliest air date's."""
     first = F.struct("season", "episode", "file_id")
     listed = episodes.groupBy(F.lower("series").alias("k_series")).agg(
@@ -169,25 +170,21 @@ def series_list(episodes: DataFrame, tv_series: DataFrame) -> DataFrame:
         F.min(F.substring("aired", 1, 4)).alias("_aired"),
     )
     shown = tv_series.select(F.lower("name").alias("k_series"), F.substring("premiered", 1, 4).alias("_premiered"))
-    return (
-        listed.join(shown, "k_series", "left")
-        .select("k_series", "series", "art_file_id", year_of(F.coalesce("_premiered", "_aired")).alias("year"))
-        .orderBy("k_series")
+    dated = listed.join(shown, "k_series", "left").select(
+        "k_series", "series", "art_file_id", year_of(F.coalesce("_premiered", "_aired")).alias("year")
     )
+    return in_order(dated, ordered, "k_series")
 
 
-def seasons(episodes: DataFrame) -> DataFrame:
+def seasons(episodes: DataFrame, ordered: bool = True) -> DataFrame:
     """Every season with the art of its first pictured episode and its earliest year."""
     first = F.struct("episode", "file_id")
-    return (
-        episodes.groupBy(F.lower("series").alias("k_series"), "season")
-        .agg(
-            F.min_by("series", "file_id").alias("series"),
-            F.min_by("file_id", F.when(F.col("has_art"), first)).alias("art_file_id"),
-            year_of(F.min(F.substring("aired", 1, 4))).alias("year"),
-        )
-        .orderBy("k_series", "season")
+    listed = episodes.groupBy(F.lower("series").alias("k_series"), "season").agg(
+        F.min_by("series", "file_id").alias("series"),
+        F.min_by("file_id", F.when(F.col("has_art"), first)).alias("art_file_id"),
+        year_of(F.min(F.substring("aired", 1, 4))).alias("year"),
     )
+    return in_order(listed, ordered, "k_series", "season")
 
 
 def with_series_facts(works: DataFrame, tv_series: DataFrame, tv_seasons: DataFrame) -> DataFrame:

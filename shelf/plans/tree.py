@@ -91,8 +91,8 @@ def nodes(lib: Library) -> DataFrame:
     out = [_made(top, c("node"), c("parent"), c("name")), _made(fixed, c("node"), c("parent"), c("name"))]
 
     m = lib.movies
-    out.append(_made(listings.years(m), K.node_id("mv:year", c("year")), F.lit("mv:year"), c("year")))
-    out.append(_made(listings.decades(m), K.node_id("mv:decade", c("decade")), F.lit("mv:decade"), F.concat(c("decade").cast("string"), F.lit("s"))))
+    out.append(_made(listings.years(m, ordered=False), K.node_id("mv:year", c("year")), F.lit("mv:year"), c("year")))
+    out.append(_made(listings.decades(m, ordered=False), K.node_id("mv:decade", c("decade")), F.lit("mv:decade"), F.concat(c("decade").cast("string"), F.lit("s"))))
     for bridge, key, prefix, cls in (
         (lib.movie_genres, "genre_id", "mv:genre", MOVIE_GENRE),
         (lib.movie_directors, "director_id", "mv:director", PERSON),
@@ -102,7 +102,7 @@ def nodes(lib: Library) -> DataFrame:
         used = bridge.join(visible.select("file_id"), "file_id", "left_semi").groupBy(key).agg(F.min("name").alias("name"))
         out.append(_made(used, K.node_id(prefix, c(key)), F.lit(prefix), c("name"), cls))
     out.append(_made(
-        listings.franchises(m), K.node_id("mv:set", K.encode(c("name"))), F.lit("mv:set"), c("name"),
+        listings.franchises(m, ordered=False), K.node_id("mv:set", K.encode(c("name"))), F.lit("mv:set"), c("name"),
         art=c("art_file_id"), canonical=K.node_id("mv:set", K.encode(c("k_collection"))),
     ))
     buckets = spark.range(K.UNRATED + 1).select(c("id").cast("int").alias("b"))
@@ -111,13 +111,13 @@ def nodes(lib: Library) -> DataFrame:
     album_node = K.node_id("mu:album", K.encode(c("artist")), K.encode(c("album")))
     artist_node = K.node_id("mu:artist", K.encode(c("artist")))
     out.append(_made(listings.artist_art(lib.tracks), artist_node, F.lit("mu:artist"), c("artist"), ARTIST, art=c("art_file_id")))
-    out.append(_made(listings.albums(lib.tracks), album_node, artist_node, c("album"), ALBUM, art=c("art_file_id")))
+    out.append(_made(listings.albums(lib.tracks, ordered=False), album_node, artist_node, c("album"), ALBUM, art=c("art_file_id")))
 
-    shows = listings.series_list(lib.episodes, lib.tv_series)
+    shows = listings.series_list(lib.episodes, lib.tv_series, ordered=False)
     series_node, folded = K.node_id("tv:ser", K.encode(c("series"))), K.node_id("tv:ser", K.encode(c("k_series")))
     out.append(_made(shows, series_node, F.lit("tv"), K.with_year(c("series"), c("year")), art=c("art_file_id"), canonical=folded))
     # a season stands under its series' spelling
-    seasons = listings.seasons(lib.episodes).drop("series").join(shows.select("k_series", "series"), "k_series")
+    seasons = listings.seasons(lib.episodes, ordered=False).drop("series").join(shows.select("k_series", "series"), "k_series")
     out.append(_made(
         seasons, K.node_id("tv:ser", K.encode(c("series")), c("season")), series_node, K.season_title(c("season"), c("year")),
         art=c("art_file_id"), canonical=K.node_id("tv:ser", K.encode(c("k_series")), c("season")),
