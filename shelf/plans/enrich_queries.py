@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelf.operators import audio, enrich, reconcile
 from shelf.plans.caption_queries import streams
 from shelf.plans.registry import query
-from shelf.sources import metadata
+from shelf.session import checkpoint_dir
+from shelf.sources import metadata, sidecars
 from shelf.sources.bridge import table, view
 
 TARGET, MIN_GAIN = -24.0, 4.0
@@ -117,6 +120,16 @@ def ratings(spark, sf):
     return s.select(F.concat(F.lit("tt"), (F.col("s_suppkey") + 1000000).cast("string")).alias("tconst"), F.round(F.col("s_suppkey") % 100 / 10, 1).alias("averageRating"), F.lit(10).cast("long").alias("numVotes"))
 
 
+@query("s13_ratings", """SELECT 'tt' || (s_suppkey + 1000000) AS tconst, round(s_suppkey % 100 / 10, 1) AS rating, CAST(10 AS BIGINT) AS votes FROM supplier
+ UNION ALL SELECT 'tt' || n_nationkey, NULL, NULL FROM nation""")
+def _(spark, sf):
+    """A ratings list written as published (gzip, tab separated, a header, null as a mark) and read back."""
+    unrated = table(spark, sf, "nation").select(F.concat(F.lit("tt"), F.col("n_nationkey").cast("string")), F.lit(None).cast("double"), F.lit(None).cast("long"))
+    path = f"{checkpoint_dir(spark)}/ratings-{uuid.uuid4().hex}"
+    ratings(spark, sf).union(unrated).write.csv(path, sep="\t", header=True, compression="gzip", nullValue="\\N")
+    return metadata.read_ratings(spark, path).select("tconst", F.col("averageRating").alias("rating"), F.col("numVotes").alias("votes"))
+
+
 @query("j19_attach_ratings", """
 SELECT l.file_id, CASE WHEN l.file_id % 3 = 0 AND s_suppkey IS NOT NULL THEN round(s_suppkey % 100 / 10, 1) END AS found_rating
 FROM b_levels l LEFT JOIN supplier ON s_suppkey = l.file_id % 10000 AND s_suppkey % 2 = 0""")
@@ -292,3 +305,19 @@ def _(spark, sf):
     null = F.lit(None).cast("string")
     c = F.col
     return e.select("file_id", enrich.episode_nfo(c("series"), c("season"), c("episode"), c("title"), c("aired"), null, c("rating"), null).alias("nfo"))
+
+
+@query("s20_show_sidecars", """
+SELECT c_custkey, c_name || ' <&> "co"' AS title, 'in ' || c_mktsegment AS plot, CASE WHEN c_custkey % 3 > 0 THEN '2001-02-03' END AS premiered, CASE WHEN c_custkey % 2 = 0 THEN 7.5 END AS rating,
+ CASE WHEN c_custkey % 5 > 0 THEN 'tt' || (1000000 + c_custkey) END AS imdb_id, CAST(c_custkey % 9 AS INT) AS season, c_name AS show_title FROM customer""")
+def _(spark, sf):
+    """Show and season sidecars written as text and read back."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    show = enrich.show_nfo(
+        F.concat("c_name", F.lit(' <&> "co"')), F.concat(F.lit("in "), "c_mktsegment"), F.when(k % 2 == 0, 7.5), F.when(k % 5 > 0, F.concat(F.lit("tt"), (k + 1000000).cast("string"))),
+        F.when(k % 3 > 0, "2001-02-03"),
+    )
+    season = enrich.season_nfo(F.col("c_name"), k % 9, F.lit("S"))
+    shows = sidecars.read_nfo(c.select("c_custkey", show.alias("text"))).select("c_custkey", "title", "plot", "premiered", "rating", "imdb_id")
+    seasons = sidecars.read_nfo(c.select("c_custkey", season.alias("text"))).select("c_custkey", "season", "show_title")
+    return shows.join(seasons, "c_custkey")
