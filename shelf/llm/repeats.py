@@ -16,6 +16,8 @@ from shelf.llm import common
 
 WINDOW = 35
 ROUNDS = 40
+#: Words before a symbol that count towards it.
+LEAD = 5
 #: Words parsed together by one numpy call (one text at least).
 BLOCK_WORDS = 400_000
 U = np.uint64
@@ -114,22 +116,29 @@ def anchors(h: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray,
 
 
 def runs(texts: list[list[bytes]], keys: list[int], window: int) -> pa.RecordBatch:
-    """Stretches of consecutive windows with one symbol. The first of a symbol in the block has salt 0, the others are known repeats."""
+    """Stretches of consecutive windows with one symbol. The first of a symbol in the block has salt 0, the others are known repeats.
+
+    A short symbol recurs by chance, so it is told apart by words that the window holds for certain: the LEAD words before it, or
+    those from it on where it stands nearer than that to the window's start.
+    """
     h = np.concatenate([hashes(t) for t in texts])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), sizes)
     at, symbol, place = anchors(h, owner, window)
     if not len(at):
         return pa.RecordBatch.from_pylist([], schema=SEEN)
+    after = place - at >= LEAD
     new = np.ones(len(at), bool)
-    new[1:] = (place[1:] != place[:-1]) | (symbol[1:] != symbol[:-1]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (place[1:] != place[:-1]) | (symbol[1:] != symbol[:-1]) | (at[1:] != at[:-1] + 1) | (after[1:] != after[:-1])
     first = np.nonzero(new)[0]
     count = np.diff(np.append(first, len(at)))
-    start, sym = at[first], symbol[first]
+    start, at_symbol, after = at[first], place[first], after[first]
+    lead = stretches(h, np.where(after, at_symbol - LEAD, at_symbol), np.where(after, at_symbol, at_symbol + window - 2 * LEAD), ROOTS[1])
+    sym = mixed(symbol[first] ^ lead)
     rng = stretches(h, start, start + count + window - 1, ROOTS[0])
-    _, lead, back, often = np.unique(sym, return_index=True, return_inverse=True, return_counts=True)
+    _, leaders, back, often = np.unique(sym, return_index=True, return_inverse=True, return_counts=True)
     salt = np.arange(1, len(sym) + 1, dtype=np.int32)
-    salt[lead] = 0
+    salt[leaders] = 0
     doc = owner[start]
     begin = np.concatenate([[0], np.cumsum(sizes)])[doc]
     return pa.RecordBatch.from_arrays([
