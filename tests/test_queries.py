@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from shelf.plans import load
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.01"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
@@ -23,12 +23,14 @@ def test_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert len(QUERIES[name](spark, SF).columns) > 0
-    QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    df = QUERIES[name](spark, SF)
+    assert len(df.columns) > 0
+    df.write.format("noop").mode("overwrite").save()
 
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
