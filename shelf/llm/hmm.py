@@ -27,7 +27,7 @@ ADD = 0.1
 #: Weight of the corpus's own class shares in each state's, in tokens.
 PRIOR = 50.0
 #: Words that share one dictionary, words that one numpy batch holds, tokens after which a text trains as another sequence.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 2_000_000
 BATCH = 400_000
 SEGMENT = 100_000
 
@@ -45,21 +45,17 @@ def unplaned(data: bytes, kind: type) -> np.ndarray:
 def _encode(id_type: pa.DataType):
     schema = pa.schema([("chunk", pa.int64()), ("id", id_type), ("held", pa.bool_()), ("ids", pa.binary()), ("pos", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
 
-    def flush(chunk: int, ids: list, held: list, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        """The texts as numbers of a dictionary of their own, frequent words first, and the dictionary with its training counts."""
-        seen: dict[bytes, int] = {}
-        number = seen.setdefault
-        flat = np.fromiter((number(w, len(seen)) for t in texts for w in t), np.int32, sum(map(len, texts)))
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        train = np.repeat(~np.array(held, bool), sizes)
-        n = np.bincount(flat[train], minlength=len(seen))
+    def flush(chunk: int, ids: list, held: list, texts: list[np.ndarray], seen: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        """The texts as numbers of their dictionary, frequent words first, and the dictionary with its training counts."""
+        none = len(texts)
+        flat = np.concatenate(texts)
+        train = np.concatenate([x for x, out in zip(texts, held) if not out] or [flat[:0]])
+        n = np.bincount(train, minlength=len(seen))
         order = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")
         rank = np.empty(len(seen), np.int32)
         rank[order] = np.arange(len(seen), dtype=np.int32)
-        parts = np.split(rank[flat], np.cumsum(sizes)[:-1])
-        none = len(texts)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(none, chunk)), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array([planes(p) for p in parts], pa.binary()),
+            pa.array(np.full(none, chunk)), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array([planes(rank[x]) for x in texts], pa.binary()),
             pa.nulls(none, pa.int32()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64()),
         ], schema=schema)
         spelt = list(seen)
@@ -72,18 +68,20 @@ def _encode(id_type: pa.DataType):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        ids, held, texts, size = [], [], [], 0
+        ids, held, texts, seen, size = [], [], [], {}, 0
         for batch in batches:
             for id, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                texts.append((text.as_py() or "").encode().lower().split())
+                found = (text.as_py() or "").encode().lower().split()
+                number = seen.setdefault
+                texts.append(np.fromiter((number(w, len(seen)) for w in found), np.int32, len(found)))
                 ids.append(id)
                 held.append(out)
-                size += len(texts[-1])
+                size += len(found)
                 if size >= CHUNK_WORDS:
-                    yield from flush(chunk, ids, held, texts)
-                    chunk, ids, held, texts, size = chunk + 1, [], [], [], 0
+                    yield from flush(chunk, ids, held, texts, seen)
+                    chunk, ids, held, texts, seen, size = chunk + 1, [], [], [], {}, 0
         if texts:
-            yield from flush(chunk, ids, held, texts)
+            yield from flush(chunk, ids, held, texts, seen)
 
     return encode
 
