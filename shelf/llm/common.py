@@ -55,19 +55,17 @@ def before(
     """Add the sum of ``value`` over the rows that stand before each row in its group, and the group's sum as ``whole`` if named.
 
     ``sums`` holds the ``total`` of each (group, bucket); ``order`` must agree with the buckets' order. No task sorts more
-    than one bucket of a group, so a group with a third of all rows is dealt over 4096 pieces. Group columns may be null.
+    than one bucket of a group, so a group with a third of all rows is dealt over 4096 pieces. Group columns must not be null.
     """
     start, all_ = fresh(df, "_start"), fresh(df, "_all")
     cells = [*group, bucket]
     ahead = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     right = sums.select(
-        *[F.col(c).alias(f"_r_{i}") for i, c in enumerate(cells)], F.coalesce(F.sum(total).over(ahead), F.lit(0)).alias(start),
-        *([F.sum(total).over(Window.partitionBy(*group)).alias(all_)] if whole else []),
+        *cells, F.coalesce(F.sum(total).over(ahead), F.lit(0)).alias(start), *([F.sum(total).over(Window.partitionBy(*group)).alias(all_)] if whole else [])
     )
-    on = [F.col(c).eqNullSafe(F.col(f"_r_{i}")) for i, c in enumerate(cells)]
+    # joined and numbered on the same columns, so the rows are shuffled once
     inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(right, on).drop(*[f"_r_{i}" for i in range(len(cells))])
-    placed = joined.withColumn(into, (F.col(start) + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop(start)
+    placed = df.join(right, cells).withColumn(into, (F.col(start) + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop(start)
     return placed.withColumn(whole, F.col(all_)).drop(all_) if whole else placed
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from shelf.llm import common
 
 WEIGHTS = (5, 2, 1)
+#: Sources up to this many are sent to every task; a row of one is a few dozen bytes.
+BROADCAST_SOURCES = 10_000
 CAP = 3
 
 
@@ -56,11 +58,14 @@ def mix(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id).alias("id"), F.col(source).alias("source"),
         F.coalesce(size, F.lit(0)).cast("long").alias("size"),
     ).withColumn("key", common.order_key(seed, F.col("id"))).withColumn("bucket", common.bucket_of("key"))
-    sums = common.saved(base.groupBy("source", "bucket").agg(F.sum("size").alias("total")), "mix-sums")
-    plan = targets(sums.groupBy("source").agg(F.sum("total").alias("source_size")), weights, share, cap)
-    plan = common.saved(plan, "mix-targets").withColumnRenamed("source", "s")
-    placed = common.before(base, sums, ["source"], "bucket", "total", ["key", "id", "size"], "size", "ahead")
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    named = [F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed")]  # a key without nulls
+    base = base.select("*", *named)
+    sums = common.saved(base.groupBy("name", "unnamed", "bucket").agg(F.sum("size").alias("total")), "mix-sums")
+    totals = sums.groupBy("name", "unnamed").agg(F.sum("total").alias("source_size"))
+    plan = targets(totals.select(F.when(~F.col("unnamed"), F.col("name")).alias("source"), "source_size"), weights, share, cap)
+    plan = common.saved(plan.select(*named, "source_size", "target", "budget"), "mix-targets")
+    placed = common.before(base, sums, ["name", "unnamed"], "bucket", "total", ["key", "id", "size"], "size", "ahead")
+    placed = placed.join(F.broadcast(plan), ["name", "unnamed"]) if plan.count() <= BROADCAST_SOURCES else placed.join(plan, ["name", "unnamed"])
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
     rest = F.col("budget") - F.col("copies") * F.col("source_size") - F.col("ahead")
     return (
