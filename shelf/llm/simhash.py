@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations
-from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +15,9 @@ from pyspark.sql import types as T
 from shelf.llm import common
 
 BITS = 64
-#: The mean number of fingerprints that may share a key, as a power of two; more blocks (more and longer keys) keep below it.
-KEY_SLACK = 10
+#: Blocks that two close fingerprints share at least. One more makes keys longer, for corpora whose keys would hold too many
+#: prints to compare, and more numerous; none loses a pair.
+SHARED = 2
 #: Fingerprints of one key that one task compares; a larger key is dealt over pairs of tiles of half as many.
 TILE = 20_000
 PRINTS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -54,17 +54,12 @@ def _fingerprints(size: int, seeds: Sequence[int]):
     return prints
 
 
-def masks(near: int, n: int) -> list[int]:
-    """Masks of the keys: of m blocks, two prints that differ in at most ``near`` bits share m - near; one mask for each such choice.
-
-    m is the least number of blocks whose keys are long enough for ``n`` fingerprints. Each choice of m loses no pair.
-    """
-    for m in range(near + 1, BITS + 1):
-        if (m - near) * BITS / m >= log2(max(n, 2)) - KEY_SLACK:
-            break
+def masks(near: int, shared: int = SHARED) -> list[int]:
+    """Masks of the keys: of near + shared blocks, two prints at ``near`` bits or fewer share ``shared``; one mask for each such choice."""
+    m = near + shared
     edges = [BITS * i // m for i in range(m + 1)]
     block = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(block, m - near)]
+    return [sum(c) for c in combinations(block, shared)]
 
 
 def _signed(x: int) -> int:
@@ -82,7 +77,8 @@ def spanning(key: np.ndarray, a: np.ndarray, b: np.ndarray, near: int, near_all:
         far = np.bitwise_count(a[at] ^ a[at + step])
         close = far <= near
         if near_all < 2 * BITS:
-            close &= far.astype(np.int64) + np.bitwise_count(b[at] ^ b[at + step]) <= near_all
+            other = np.bitwise_count(b[at] ^ b[at + step])
+            close = (close | (other <= near)) & (far + other <= near_all)  # at most 128, so bytes hold the sum
         x = at[close]
         x = x[up[x] != up[x + step]]
         for i in x.tolist():
@@ -125,14 +121,14 @@ def _linked(near: int, near_all: int):
     return link
 
 
-def links(classes: DataFrame, near: int, near_all: int) -> DataFrame:
+def links(classes: DataFrame, near: int, near_all: int, shared: int = SHARED) -> DataFrame:
     """Edges (a, b) between nodes of ``classes`` (node, a, b) that connect all pairs at ``near`` or fewer bits of a.
 
-    With ``near_all`` under 128, the bits of a and b together must not differ in more than that either. A key that holds more than
+    With ``near_all`` under 128, ``near`` bits of either print will do, and both together must not differ in more than ``near_all``. A key that holds more than
     TILE fingerprints is dealt over all pairs of its tiles, so no task holds a hot key and no pair is missed.
     """
-    keys = masks(near, classes.count())
-    key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("a").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(keys)]))
+    cut = [(c, i, _signed(m)) for c in (["a", "b"] if near_all < 2 * BITS else ["a"]) for i, m in enumerate(masks(near, shared))]
+    key = F.explode(F.array(*[F.xxhash64(F.lit(c), F.lit(i), F.col(c).bitwiseAND(F.lit(m))) for c, i, m in cut]))
     keyed = classes.select(key.alias("key"), "a", "b", "node")
     hot = keyed.groupBy("key").count().filter(F.col("count") > TILE).select("key", F.ceil(F.col("count") * 2 / TILE).cast("int").alias("tiles"))
     hot = common.saved(hot, "simhash-hot")
@@ -146,12 +142,12 @@ def links(classes: DataFrame, near: int, near_all: int) -> DataFrame:
 
 def grouped(
     docs: DataFrame, keep: Sequence[str], id: str = "doc_id", text: str = "text", shingle: int = 4, near: int = 4,
-    seeds: Sequence[int] = (42,), near_all: int = 2 * BITS,
+    seeds: Sequence[int] = (42,), near_all: int = 2 * BITS, shared: int = SHARED,
 ) -> DataFrame:
     """(row, nr, a, first): ``keep`` columns as a struct, a number of the row, its fingerprint, and its group's first row (id, nr).
 
-    Rows link where their fingerprints (of the first seed) differ in at most ``near`` bits, and those of both seeds together in at
-    most ``near_all``; groups are the connected components. A text without words (null, empty) has fingerprint 0 and links like
+    Rows link where their fingerprints differ in at most ``near`` bits; with two seeds, where those of either do and both together
+    differ in at most ``near_all``. Groups are the connected components. A text without words (null, empty) has fingerprint 0 and links like
     any other. The first row is that with the smallest id (a null one last), of repeated ids any one. No rows: no groups.
     """
     prints = _fingerprints(shingle, seeds)(F.col(text))
@@ -159,18 +155,18 @@ def grouped(
     rows = common.saved(rows.select("row", "nr", F.struct(F.col("id").isNull().alias("none"), "id", "nr").alias("first"), "p.a", "p.b"), "simhash-rows")
     classes = rows.groupBy("a", "b").agg(F.min("first").alias("first")).withColumn("node", F.monotonically_increasing_id())
     classes = common.saved(classes, "simhash-classes")
-    roots = common.components(common.saved(links(classes.select("node", "a", "b"), near, near_all), "simhash-links"), "simhash-parts")
+    roots = common.components(common.saved(links(classes.select("node", "a", "b"), near, near_all, shared), "simhash-links"), "simhash-parts")
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
     placed = placed.drop("first").join(firsts, "root").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "first")
     return rows.drop("first").join(placed, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))).select("row", "nr", "a", "first")
 
 
-def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, near: int = 8, near_all: int = 20) -> DataFrame:
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, near: int = 8, near_all: int = 22) -> DataFrame:
     """One row of each group of near duplicates, that with the smallest id; columns unchanged.
 
     Made for five-word shingles at a similarity of 0.8: such a pair differs in 0.15 of the bits on average, 19 of the 128 of two
-    fingerprints. Pairs are found by 64 of them at ``near`` bits or fewer, so of pairs just at 0.8 a part is missed.
+    fingerprints. Pairs are found by 64 of them at ``near`` bits or fewer, so of pairs just at 0.8 about half is missed.
     """
     groups = grouped(docs, docs.columns, id, text, shingle, near, (42, 43), near_all)
     return groups.filter(F.col("nr") == F.col("first.nr")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
