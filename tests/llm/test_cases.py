@@ -163,6 +163,34 @@ def test_hot_key_is_tiled(spark, monkeypatch):
     assert {frozenset(r) for r in _parts(edges)} == want
 
 
+def test_near_dedup_against_all_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+
+    def edited(words, n):
+        at = set(rng.sample(range(len(words)), n))
+        return [f"n{rng.random()}" if i in at else w for i, w in enumerate(words)]
+
+    texts = []
+    for size in (40, 120, 400):
+        for share in (0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.06):
+            for _ in range(5):
+                base = [f"b{rng.random()}" for _ in range(size)]
+                texts += [base, edited(base, max(1, round(share * size)))]
+    base = [f"b{rng.random()}" for _ in range(200)]
+    family = [edited(base, 4) for _ in range(60)]  # each near 0.8 to the base and near 0.65 to the others
+    texts += [*family[:30], base, *family[30:], *[edited(family[0], 2) for _ in range(20)], ["few", "words"], ["few", "words"]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    edges = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert len(edges) > 60
+    want = sorted({*range(len(texts))} - {i for part in _parts(edges) for i in part if i != min(part)})
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == want
+    monkeypatch.setattr(simhash, "SETS", 10)
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == want
+
+
 def _parts(edges):
     root = {}
 

@@ -162,3 +162,16 @@ def test_pipeline_against_its_rules(spark):
     assert kept[4] == kept[3]
     sizes = Counter(r["shard"] for r in step.collect())
     assert max(sizes.values()) - min([*sizes.values(), *([0] if len(sizes) < 40 else [])]) <= 1
+
+
+def test_near_dedup_stage_against_exact_similarity(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = WORD.findall(lowered(r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    want = groups(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
+    got = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
