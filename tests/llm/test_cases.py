@@ -79,6 +79,34 @@ def test_hot_link_fills_shards_within_quotas(spark):
     assert sum(r["hot"] > 0 for r in counts) <= 6  # five shards hold it; one more may keep a rest
 
 
+@pytest.mark.parametrize("rows, mates, split", [(800, 2, 0), (900, 3, 0), (1010, 2, 2), (804, 4, 1)])
+def test_copies_stay_together_where_all_rows_have_one(spark, rows, mates, split):
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), (F.col("id") % (rows // mates)).cast("string").alias("k"))
+    got = sharding.assign(docs, F.col("k"), shards=4 if split else 10).collect()
+    homes, seats = {}, {}
+    for r in got:
+        homes.setdefault(r["row"]["k"], set()).add(r["shard"])
+        seats.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == rows and max(map(len, seats.values())) - min(map(len, seats.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in seats.values())
+    assert sum(len(h) > 1 for h in homes.values()) <= split
+
+
+@pytest.mark.parametrize("sizes, quotas, split", [
+    ({2: 8}, [4, 4, 4, 4], 0), ({3: 2, 2: 4}, [7, 7], 0), ({3: 2, 2: 3}, [6, 6], 0), ({2: 5}, [5, 5], 1), ({25: 1, 2: 5}, [10, 10, 10, 10], 1),
+    ({7: 3, 5: 4, 2: 30}, [25, 25, 25, 26], 1), ({}, [3, 3], 0),
+])
+def test_pack(sizes, quotas, split):
+    parts, loads = {}, [0] * len(quotas)
+    for size, begin, end, shard, n in sharding.pack(sizes, quotas):
+        for k in range(begin, end):
+            parts.setdefault((size, k), []).append(n)
+            loads[shard] += n
+    assert sorted(parts) == sorted((s, k) for s, n in sizes.items() for k in range(n))
+    assert all(sum(ns) == s for (s, _), ns in parts.items()) and all(n <= q for n, q in zip(loads, quotas))
+    assert sum(len(ns) > 1 for ns in parts.values()) <= split
+
+
 def test_quality(docs, none):
     got = quality.measured(docs)
     assert got.columns == [*docs.columns, "quality_"]
