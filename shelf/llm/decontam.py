@@ -36,7 +36,7 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """All windows of the items, as sequences of word numbers."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         import ahocorasick
 
         self.numbers: dict[bytes, int] = {}
@@ -81,11 +81,11 @@ class Automaton:
                     ends.append(chars)
                 out["spans"].append({"start": ends[0], "end": ends[1]})
             out["n_hit"] = sum(last - first for first, last in runs)
-            out["items"] = sorted({self.names[k] for k in owners})
+            out["items"] = sorted({self.names[k] for k in owners} - {None})
         return out
 
 
-def _scan(items: list[tuple[str, str]], window: int):
+def _scan(items: list[tuple[str | None, str]], window: int):
     @F.arrow_udf(returnType=HITS)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = Automaton(items, window)
@@ -95,11 +95,13 @@ def _scan(items: list[tuple[str, str]], window: int):
     return scan
 
 
-def blocks(items: DataFrame, id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:
+def blocks(
+    items: DataFrame, id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS, nameless: bool = False,
+) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks of at most ``block_words`` words (or one longer item), one block in memory at a time."""
-    held: list[tuple[str, str]] = []
+    held: list[tuple[str | None, str]] = []
     size = 0
-    for r in items.filter(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
+    for r in items.filter(F.col(text).isNotNull() & (F.col(id).isNotNull() | F.lit(nameless))).select(F.col(id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         n = len(words(r["t"]))
         if held and size + n > block_words:
             yield held
@@ -112,17 +114,18 @@ def blocks(items: DataFrame, id: str = "item_id", text: str = "text", block_word
 
 def contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-    block_words: int = BLOCK_WORDS, into: str = "hits",
+    block_words: int = BLOCK_WORDS, into: str = "hits", nameless: bool = False,
 ) -> DataFrame:
     """``docs`` with a struct ``into`` (underscores added if taken): n_words, n_hit, items (ids as sorted strings), spans.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. Null and empty texts and items have no
-    words and hit nothing; items that repeat count once by id; an item without id is left out; no items: nothing is hit.
+    words and hit nothing; items that repeat count once by id; an item without id is left out or, if ``nameless``, hits and has
+    spans like any other but is not among the items; no items: nothing is hit.
     Should the items outgrow one automaton, each block of them scans the texts in turn, and the spans are united after it.
     """
     into = common.fresh(docs, into)
     out = None
-    for block in blocks(items, item_id, item_text, block_words):
+    for block in blocks(items, item_id, item_text, block_words, nameless):
         part = _scan(block, window)(F.col(text))
         if out is None:
             out = docs.withColumn(into, part)

@@ -195,7 +195,7 @@ where kind = 'd'
 """)
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), nameless=True)
     return hits.select(
         "doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"),

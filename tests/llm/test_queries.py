@@ -175,3 +175,17 @@ def test_near_dedup_stage_against_exact_similarity(spark):
     want = groups(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
     got = corpus_pipeline.near_dedup(spark, docs, SMALL)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_items_without_id_hit(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "left of a passage without id and right"), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "a passage without id"), ("k", "absent")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = connect(SF)
+    for name in ("documents", "benchmark"):
+        con.execute(f"create or replace view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    diff, _ = compare(spark, con, str(tmp_path), QUERIES["op9_decontamination"], ORACLES["op9_decontamination"])
+    assert diff is None
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
