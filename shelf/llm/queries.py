@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelf.llm import common, decontam, hmm, licenses, mixing, quality, repeats, sharding, simhash, urls, warc
+from shelf.llm import common, decontam, dialogue, fim, hmm, langid, licenses, mixing, quality, repeats, sharding, simhash, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -218,6 +218,56 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).withColumnRenamed("id", "page_id")
 
 
+@query("op11_fim", r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as us,
+    sha256('42:' || coalesce(doc_id::varchar, '')) as hex from documents),
+h as (
+  select doc_id, text, us, len(us)::bigint as n, ('0x' || substr(hex, 1, 8))::bigint as h1, ('0x' || substr(hex, 9, 8))::bigint as h2,
+    ('0x' || substr(hex, 17, 8))::bigint as h3, ('0x' || substr(hex, 25, 8))::bigint as h4
+  from d),
+f as (
+  select doc_id, text, us, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from h),
+p as (
+  select doc_id, text, n, form, array_to_string(us[1:a], '') as head, array_to_string(us[a + 1:b], '') as mid, array_to_string(us[b + 1:n], '') as tail
+  from f)
+select doc_id, n, form, case when form <> 'plain' then length(head) end::bigint as prefix_chars, case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || head || '<S>' || tail || '<M>' || mid else '<S>' || tail || '<P>' || head || '<M>' || mid end)
+    as output_sha256, sha256(text) as restored_sha256
+from p
+""")
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_dialogue_repair")
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    reports, turns = dialogue.repaired(dialogue.damaged(rows))
+    ids, reports, texts = (x.withColumnRenamed(x.columns[0], c) for x, c in ((rows.select("conv_id").distinct(), "conv_id"), (reports, "r"), (dialogue.digests(turns), "t")))
+    found = ids.join(reports, F.col("conv_id").eqNullSafe(F.col("r")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("t")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    docs = docs.withColumn("held_out", held)
+    model = langid.fitted(docs.filter(~F.col("held_out")))
+    return langid.identified(docs, model).select("doc_id", "held_out", "language.lang_pred", "language.score", "language.cross_entropy", "language.rejected")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
