@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
@@ -21,7 +22,7 @@ from shelf.llm import common
 
 ORDER = 5
 #: Grams of all languages and lengths that a model keeps, the most frequent of each language and length; and the most frequent languages it knows.
-ENTRIES, LANGUAGES = 4_000_000, 256
+ENTRIES, LANGUAGES = 1_000_000, 256
 #: One training row in so many is kept from counting; up to so many of them, by the order of a hash, set the temperature and the limits of rejection.
 CALIBRATION_SHARE, CALIBRATION_ROWS = 16, 4_000
 #: Characters that are looked up together, distinct grams that a task gathers before it hands them on.
@@ -183,7 +184,8 @@ def estimated(grams: DataFrame, entries: int = ENTRIES, languages: int = LANGUAG
         back = kept.groupBy("lang", "context").agg((1 - F.sum("share")).alias("back"))
         part = kept.join(back, ["lang", "context"]).select("lang", F.lit(size).alias("size"), "gram", "share", "back")
         out = part if out is None else out.unionByName(part)
-        level = level.groupBy("lang", F.substring("gram", 2, size - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        if size > 1:
+            level = common.saved(level.groupBy("lang", F.substring("gram", 2, size - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "langid-grams")
     return out
 
 
@@ -350,13 +352,15 @@ def fitted(docs: DataFrame, text: str = "text", lang: str = "lang", entries: int
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
     key = F.md5(F.col("text"))
     aside = (F.conv(F.substring(key, 1, 4), 16, 10).cast("int") % CALIBRATION_SHARE == 0) & (F.char_length("text") <= BATCH)
-    by_size: dict[tuple[str, int], tuple[list[str], np.ndarray, np.ndarray]] = {}
     table = estimated(counts(rows.filter(~aside), "text", "lang"), entries, languages).toArrow()
-    frame = table.to_pandas()
-    for (l, size), part in frame.groupby(["lang", "size"], sort=True):
-        by_size[(l, int(size))] = (part["gram"].tolist(), part["share"].to_numpy(), part["back"].to_numpy())
+    kinds = table.select(["lang", "size"]).group_by(["lang", "size"]).aggregate([]).to_pylist()
+    parts = {}
+    for k in kinds:
+        some = table.filter(pc.and_(pc.equal(table["lang"], k["lang"]), pc.equal(table["size"], k["size"])))
+        parts[(k["lang"], k["size"])] = (some["gram"].to_pylist(), some["share"].to_numpy(), some["back"].to_numpy())
+    model = assembled(parts)
     some = rows.filter(aside).withColumn("key", key).orderBy("key", "lang").limit(CALIBRATION_ROWS)
-    return calibrated(assembled(by_size), [(r["text"], r["lang"]) for r in some.toLocalIterator()])
+    return calibrated(model, [(r["text"], r["lang"]) for r in some.toLocalIterator()])
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
