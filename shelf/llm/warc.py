@@ -19,6 +19,8 @@ from shelf.llm import common
 CHUNK = 1 << 16
 #: Bytes after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 30
+#: Tasks that read archives, at most.
+READERS = 20_000
 #: Records of one batch that a reader hands to Spark, and bytes of payload after which it does so earlier.
 BATCH, BATCH_BYTES = 2000, 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -212,5 +214,9 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
 
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of all archives: each archive is read by one task from its start to its end."""
-    return archives.select("path").repartition("path").mapInArrow(_read(payloads), RECORD_SQL)
+    """The records of all archives: each archive is read by one task from its start to its end, and each task reads few archives.
+
+    The number of tasks is that of the archives, at most READERS: a path is a few bytes, and tasks left to be sized by bytes would all be one.
+    """
+    spread = archives.select("path").repartition(max(1, min(archives.count(), READERS)))
+    return spread.mapInArrow(_read(payloads), RECORD_SQL)

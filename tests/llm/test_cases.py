@@ -265,6 +265,14 @@ def test_warc(spark, least):
     assert warc.read(warc.write(pages.filter("page_id > 99"))).count() == 0
 
 
+def test_archives_are_read_by_several_tasks(spark):
+    pages = spark.range(240).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")).repartition(12)
+    archives = warc.write(pages)
+    assert archives.count() == 12
+    tasks = warc.read(archives).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 4 and sum(r["count"] for r in tasks) == 240
+
+
 def test_warc_reader_checks_digests():
     import gzip
     import io

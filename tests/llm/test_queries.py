@@ -133,6 +133,15 @@ def test_shards_are_even_and_keep_copies_together(spark, texts):
     assert all(len(s) == 1 for s in homes.values())
 
 
+def shingles(text):
+    w = WORD.findall(lowered(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
 def test_pipeline_against_its_rules(spark):
     import corpus_pipeline
 
@@ -147,13 +156,7 @@ def test_pipeline_against_its_rules(spark):
             assert step.columns == docs.columns
     good = sorted(r["doc_id"] for r in QUERIES["op3_quality_rules"](spark, SMALL).collect() if r["kept"])
     assert kept[0] == good
-    pairs = {d: (fingerprint(source[d]["text"], 5, 42), fingerprint(source[d]["text"], 5, 43)) for d in good}
-
-    def close(x, y):
-        far = [(p ^ q).bit_count() for p, q in zip(x, y)]
-        return min(far) <= 8 and sum(far) <= 22
-
-    assert kept[1] == sorted(set(groups(pairs, close).values()))
+    assert kept[1] == sorted(set(groups({d: shingles(source[d]["text"]) for d in good}, alike).values()))
     hit = {r["doc_id"] for r in QUERIES["op9_decontamination"](spark, SMALL).collect() if r["contaminated"]}
     assert kept[2] == [d for d in kept[1] if d not in hit]
     assert set(kept[3]) <= set(kept[2]) and max(Counter(kept[3]).values()) <= 3
@@ -168,11 +171,7 @@ def test_near_dedup_stage_against_exact_similarity(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    sets = {}
-    for r in docs.collect():
-        w = WORD.findall(lowered(r["text"] or ""))
-        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    want = groups(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
+    want = groups({r["doc_id"]: shingles(r["text"]) for r in docs.collect()}, alike)
     got = corpus_pipeline.near_dedup(spark, docs, SMALL)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
 
