@@ -195,19 +195,23 @@ def ensure_names(dimension: DataFrame, found: DataFrame) -> DataFrame:
     return dimension.select("id", "name").unionByName(missing.select(stable.alias("id"), "name"))
 
 
-def delete_under(files: DataFrame, removed: DataFrame) -> DataFrame:
-    """Files left after removing paths (root_id, path): the path itself and all beneath it.
+def under(files: DataFrame, removed: DataFrame) -> DataFrame:
+    """(root_id, rel_path) of the files at or beneath removed paths (root_id, path).
 
     Each file meets removals by equality on itself and every folder above it.
     """
     parts = F.split("rel_path", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    hit = (
+    return (
         files.select("root_id", "rel_path", F.explode(up).alias("path"))
         .join(removed.select("root_id", "path").distinct(), ["root_id", "path"], "left_semi")
         .select("root_id", "rel_path").distinct()
     )
-    return files.join(hit, ["root_id", "rel_path"], "left_anti")
+
+
+def delete_under(files: DataFrame, removed: DataFrame) -> DataFrame:
+    """Files left after removing paths (root_id, path): the path itself and all beneath it."""
+    return files.join(under(files, removed), ["root_id", "rel_path"], "left_anti")
 
 
 def affected_media(events: DataFrame, files: DataFrame) -> DataFrame:

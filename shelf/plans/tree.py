@@ -1,4 +1,8 @@
-"""The browse tree as two tables: nodes, and the items each leaf listing shows."""
+"""The browse tree as two tables: nodes, and the items each leaf listing shows, both with the keys of their order.
+
+An order key is a string whose text order is the listing's order; behind the keys of its ancestors it places a row in the whole tree,
+so a flattened container is sorted by one column. Names hold no control characters, which part the keys.
+"""
 
 from __future__ import annotations
 
@@ -33,36 +37,45 @@ FIXED_NODES = [
 ITEM_FIELDS = ["kind", "title", "year", "rating", "genre", "director", "artist", "album", "series", "season", "episode",
                "size", "duration_ms", "width", "height", "extras", "art_file_id"]
 FOLDER_FIELDS = ["folder_root", "folder"]
-ORDER_FIELDS = ["k0", "n1", "n2", "k3", "file_id"]
+MARK = "\u0001"
 
 
 @dataclass
 class Library:
-    """Frames of one catalog snapshot, visible rows only."""
+    """Frames of one catalog snapshot, visible rows only, each written once so that it may be read several times."""
 
-    movies: DataFrame  # movie items with sort_title, genre, director, collection, added_at
-    movie_genres: DataFrame  # file_id, genre_id, name
-    movie_directors: DataFrame  # file_id, director_id, name
+    movies: DataFrame  # movie items with sort_title, collection, added_at, and genres and directors as arrays of (id, name)
     episodes: DataFrame
     tv_series: DataFrame
-    tracks: DataFrame
-    track_genres: DataFrame  # file_id, genre_id, name
+    tracks: DataFrame  # with genres as an array of (id, name)
     files: DataFrame  # any_items: every visible file of any kind
     roots: DataFrame  # root_id, kind, path
 
 
+def with_names(items: DataFrame, bridge: DataFrame, key: str, out: str) -> DataFrame:
+    """Items with an array ``out`` of (id, name) from a bridge (file_id, key, name); a file has few names by nature."""
+    listed = bridge.groupBy("file_id").agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), "name")).alias(out))
+    return items.join(listed, "file_id", "left").withColumn(out, F.coalesce(out, F.array().cast("array<struct<id:bigint,name:string>>")))
+
+
 def dimension_id(name: Column) -> Column:
     """Stable id of a genre or director name, whatever its case."""
     return F.conv(F.substring(F.md5(F.lower(F.trim(name))), 1, 15), 16, 10).cast("long")
 
 
-def _made(df: DataFrame, node: Column, parent: Column, title: Column, cls: str = FOLDER, art: Column | None = None,
-          canonical: Column | None = None) -> DataFrame:
-    null = F.lit(None).cast("long")
-    return df.select(
-        node.alias("node_id"), parent.alias("parent_id"), title.cast("string").alias("title"), F.lit(cls).alias("class"),
-        (null if art is None else art).alias("art_file_id"), (node if canonical is None else canonical).alias("count_id"),
-    )
+def number_key(value: Column) -> Column:
+    """Text that sorts as the numbers do, to a thousandth, nulls first; for numbers below 4e15."""
+    return F.coalesce(F.lpad((F.floor(value.cast("double") * 1000 + 0.5) + (1 << 62)).cast("string"), 19, "0"), F.lit("0"))
+
+
+def id_key(value: Column) -> Column:
+    """Text that sorts as the ids do, for ids of 62 bits."""
+    return F.lpad((value.cast("long") + (1 << 62)).cast("string"), 19, "0")
+
+
+def joined_key(*parts: Column) -> Column:
+    """Keys one after another, each ended by a mark that sorts before any letter; a null is an empty key."""
+    return F.concat(*[x for p in parts for x in (F.coalesce(p.cast("string"), F.lit("")), F.lit(MARK))])
 
 
 def root_titles(roots: DataFrame) -> DataFrame:
@@ -73,7 +86,7 @@ def root_titles(roots: DataFrame) -> DataFrame:
     above = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
     named = roots.withColumn("base", base).join(same, ["kind", "base"])
     return named.select(
-        "root_id", "kind", F.when(F.col("same") > 1, F.concat("base", F.lit(" ("), above, F.lit(")"))).otherwise(F.col("base")).alias("title")
+        "root_id", "kind", "path", F.when(F.col("same") > 1, F.concat("base", F.lit(" ("), above, F.lit(")"))).otherwise(F.col("base")).alias("title")
     )
 
 
@@ -81,53 +94,72 @@ def section_of(kind: Column) -> Column:
     return F.when(kind == "movies", "mv").when(kind == "music", "mu").when(kind == "tv", "tv")
 
 
+def _made(df: DataFrame, node: Column, parent: Column, title: Column, key: Column, cls: str | Column = FOLDER, art: Column | None = None,
+          canonical: Column | None = None) -> DataFrame:
+    null = F.lit(None).cast("long")
+    return df.select(
+        node.alias("node_id"), parent.alias("parent_id"), title.cast("string").alias("title"), (F.lit(cls) if isinstance(cls, str) else cls).alias("class"),
+        (null if art is None else art).alias("art_file_id"), (node if canonical is None else canonical).alias("count_id"), key.alias("key"),
+    )
+
+
+def _names_in_use(items: DataFrame, names: str) -> DataFrame:
+    """(id, name) of the genres or directors of visible items: distinct pairs first, which are few."""
+    pairs = items.select(F.explode(names).alias("x")).select("x.id", "x.name").distinct()
+    return pairs.groupBy("id").agg(F.min("name").alias("name"))
+
+
+def _series_names(lib: Library) -> DataFrame:
+    """The spelling that each series goes by."""
+    return lib.episodes.groupBy(F.lower("series").alias("k_series")).agg(F.min_by("series", "file_id").alias("series"))
+
+
 def nodes(lib: Library) -> DataFrame:
-    """Every container: id, parent, title, class, picture and the id its count hangs on."""
+    """Every container: id, parent, title, class, picture, the id its count hangs on, and ``key``, its place among its siblings."""
     spark = lib.roots.sparkSession
-    fixed = spark.createDataFrame(FIXED_NODES, "node string, parent string, name string, kind string")
-    fixed = fixed.join(lib.roots.select("kind").distinct(), "kind", "left_semi")
     c = F.col
+    fixed = spark.createDataFrame([(*n, i) for i, n in enumerate(FIXED_NODES)], "node string, parent string, name string, kind string, nr int")
+    fixed = fixed.join(lib.roots.select("kind").distinct(), "kind", "left_semi")
     top = spark.createDataFrame([("0", "0", "Media")], "node string, parent string, name string")
-    out = [_made(top, c("node"), c("parent"), c("name")), _made(fixed, c("node"), c("parent"), c("name"))]
+    out = [_made(top, c("node"), c("parent"), c("name"), F.lit("")), _made(fixed, c("node"), c("parent"), c("name"), number_key(c("nr")))]
+    buckets = spark.range(K.UNRATED + 1).select(c("id").cast("int").alias("b"))
+    out.append(_made(buckets, K.node_id("mv:rating", c("b")), F.lit("mv:rating"), K.bucket_title(c("b")), number_key(c("b"))))
+    roots = root_titles(lib.roots)
+    out.append(_made(roots, K.dir_id(c("root_id"), F.lit("")), F.concat(section_of(c("kind")), F.lit(":dir")), c("title"), joined_key(c("path"))))
 
     m = lib.movies
-    out.append(_made(listings.years(m, ordered=False), K.node_id("mv:year", c("year")), F.lit("mv:year"), c("year")))
-    out.append(_made(listings.decades(m, ordered=False), K.node_id("mv:decade", c("decade")), F.lit("mv:decade"), F.concat(c("decade").cast("string"), F.lit("s"))))
-    for bridge, key, prefix, cls in (
-        (lib.movie_genres, "genre_id", "mv:genre", MOVIE_GENRE),
-        (lib.movie_directors, "director_id", "mv:director", PERSON),
-        (lib.track_genres, "genre_id", "mu:genre", MUSIC_GENRE),
+    dates = m.select("year").distinct()
+    for found, column, text in (
+        (listings.years(dates, ordered=False), "year", c("year").cast("string")),
+        (listings.decades(dates, ordered=False), "decade", F.concat(c("decade").cast("string"), F.lit("s"))),
+    ):
+        view = f"mv:{column}"
+        out.append(_made(found, K.node_id(view, c(column)), F.lit(view), text, number_key(-c(column))))
+    for items, names, view, cls in (
+        (m, "genres", "mv:genre", MOVIE_GENRE), (m, "directors", "mv:director", PERSON), (lib.tracks, "genres", "mu:genre", MUSIC_GENRE),
     ):
-        visible = lib.tracks if prefix.startswith("mu") else m
-        used = bridge.join(visible.select("file_id"), "file_id", "left_semi").groupBy(key).agg(F.min("name").alias("name"))
-        out.append(_made(used, K.node_id(prefix, c(key)), F.lit(prefix), c("name"), cls))
+        out.append(_made(_names_in_use(items, names), K.node_id(view, c("id")), F.lit(view), c("name"), joined_key(c("name")), cls))
     out.append(_made(
-        listings.franchises(m, ordered=False), K.node_id("mv:set", K.encode(c("name"))), F.lit("mv:set"), c("name"),
+        listings.franchises(m, ordered=False), K.node_id("mv:set", K.encode(c("name"))), F.lit("mv:set"), c("name"), joined_key(c("k_collection")),
         art=c("art_file_id"), canonical=K.node_id("mv:set", K.encode(c("k_collection"))),
     ))
-    buckets = spark.range(K.UNRATED + 1).select(c("id").cast("int").alias("b"))
-    out.append(_made(buckets, K.node_id("mv:rating", c("b")), F.lit("mv:rating"), K.bucket_title(c("b"))))
-
-    album_node = K.node_id("mu:album", K.encode(c("artist")), K.encode(c("album")))
-    artist_node = K.node_id("mu:artist", K.encode(c("artist")))
-    out.append(_made(listings.artist_art(lib.tracks), artist_node, F.lit("mu:artist"), c("artist"), ARTIST, art=c("art_file_id")))
-    out.append(_made(listings.albums(lib.tracks, ordered=False), album_node, artist_node, c("album"), ALBUM, art=c("art_file_id")))
+    artist = K.node_id("mu:artist", K.encode(c("artist")))
+    out.append(_made(listings.artist_art(lib.tracks), artist, F.lit("mu:artist"), c("artist"), joined_key(F.lower("artist"), c("artist")), ARTIST, c("art_file_id")))
+    out.append(_made(listings.albums(lib.tracks, ordered=False), K.node_id("mu:album", K.encode(c("artist")), K.encode(c("album"))), artist, c("album"),
+                     album_key(c("artist"), c("album")), ALBUM, c("art_file_id")))
 
     shows = listings.series_list(lib.episodes, lib.tv_series, ordered=False)
-    series_node, folded = K.node_id("tv:ser", K.encode(c("series"))), K.node_id("tv:ser", K.encode(c("k_series")))
-    out.append(_made(shows, series_node, F.lit("tv"), K.with_year(c("series"), c("year")), art=c("art_file_id"), canonical=folded))
+    series, folded = K.node_id("tv:ser", K.encode(c("series"))), K.node_id("tv:ser", K.encode(c("k_series")))
+    out.append(_made(shows, series, F.lit("tv"), K.with_year(c("series"), c("year")), series_key(c("k_series")), art=c("art_file_id"), canonical=folded))
     # a season stands under its series' spelling
-    seasons = listings.seasons(lib.episodes, ordered=False).drop("series").join(shows.select("k_series", "series"), "k_series")
+    seasons = listings.seasons(lib.episodes, ordered=False).drop("series").join(_series_names(lib), "k_series")
     out.append(_made(
-        seasons, K.node_id("tv:ser", K.encode(c("series")), c("season")), series_node, K.season_title(c("season"), c("year")),
+        seasons, K.node_id("tv:ser", K.encode(c("series")), c("season")), series, K.season_title(c("season"), c("year")), number_key(c("season")),
         art=c("art_file_id"), canonical=K.node_id("tv:ser", K.encode(c("k_series")), c("season")),
     ))
-
-    out.append(_made(root_titles(lib.roots), K.dir_id(c("root_id"), F.lit("")), F.concat(section_of(c("kind")), F.lit(":dir")), c("title")))
-    dirs = lib.files.select("root_id", F.explode(counts.ancestors(c("rel_path"))).alias("rel_dir")).distinct()
-    inner = c("rel_dir").contains("/")
-    above = F.when(inner, F.regexp_replace(c("rel_dir"), "/[^/]*$", "")).otherwise(F.lit(""))
-    out.append(_made(dirs, K.dir_id(c("root_id"), c("rel_dir")), K.dir_id(c("root_id"), above), F.regexp_extract(c("rel_dir"), "([^/]*)$", 1)))
+    dirs = lib.files.select("root_id", folder_of(c("rel_path")).alias("d")).distinct().select("root_id", F.explode(counts.ancestors(F.concat("d", F.lit("/")))).alias("rel_dir")).distinct()
+    above, name = folder_of(c("rel_dir")), F.substring_index("rel_dir", "/", -1)
+    out.append(_made(dirs, K.dir_id(c("root_id"), c("rel_dir")), K.dir_id(c("root_id"), above), name, joined_key(F.lower(name), name)))
 
     result = out[0]
     for df in out[1:]:
@@ -135,16 +167,30 @@ def nodes(lib: Library) -> DataFrame:
     return result
 
 
-def _shaped(df: DataFrame, node: Column, kind: str | Column, title: Column, order: dict[str, Column], **known: Column) -> DataFrame:
-    """One listing's rows with every item column, nulls where the listing has none."""
+def folder_of(path: Column) -> Column:
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+
+
+def series_key(k_series: Column) -> Column:
+    """Series come after the fixed views of their section."""
+    return F.concat(number_key(F.lit(len(FIXED_NODES))), joined_key(k_series))
+
+
+def album_key(artist: Column, album: Column) -> Column:
+    return joined_key(F.lower(album), F.lower(artist), album, artist)
+
+
+def _shaped(df: DataFrame, node: Column, kind: str | Column, title: Column, order: list[Column], at: Column | None = None, view: Column | None = None, **known: Column) -> DataFrame:
+    """One listing's rows with every item column, nulls where the listing has none.
+
+    ``key`` orders the listing. ``at`` is its node's place among all nodes that a container above shows, ``view`` that in a wider
+    view, where the order is another; a folder has its root's place in ``view`` and gets the rest in ``scopes``.
+    """
     types = {"year": "int", "rating": "double", "season": "int", "episode": "int", "size": "long", "duration_ms": "long",
              "width": "int", "height": "int", "extras": "long", "art_file_id": "long"}
-    cols = [node.alias("node_id")]
-    defaults = {"k0": F.lit(""), "n1": F.lit(0.0), "n2": F.lit(0.0), "k3": F.lit("")}
-    for name in ("k0", "n1", "n2", "k3"):
-        cols.append(F.coalesce(order.get(name, defaults[name]), F.lit(-1e18) if name[0] == "n" else F.lit("")).cast(
-            "double" if name[0] == "n" else "string").alias(name))
-    cols.append(F.col("file_id"))
+    none = F.lit("")
+    cols = [node.alias("node_id"), F.col("file_id"), F.concat(joined_key(*order), id_key(F.col("file_id"))).alias("key"),
+            (none if at is None else at).alias("at"), (none if view is None else view).alias("view")]
     for name in ITEM_FIELDS:
         if name == "kind":
             value = F.lit(kind) if isinstance(kind, str) else kind
@@ -162,76 +208,76 @@ def _shaped(df: DataFrame, node: Column, kind: str | Column, title: Column, orde
     return df.select(*cols)
 
 
-def _movie_rows(lib: Library) -> DataFrame:
-    """Movie copies once per node they belong to."""
-    m, c = lib.movies, F.col
-    big = counts.big_franchises(m).select("k_collection", F.col("name").alias("set_name"))
-    marked = m.join(big, F.lower("collection") == c("k_collection"), "left")
-    own = F.array_compact(F.array(
-        F.lit("mv:all"),
-        F.when(K.is_uhd(c("width"), c("height")), "mv:4k"),
-        F.when(c("set_name").isNotNull(), K.node_id("mv:set", K.encode(c("set_name")))),
-        F.when(K.rating_bucket(c("rating")).isNotNull(), K.node_id("mv:rating", K.rating_bucket(c("rating")))),
-    ))
-    cols = [*m.columns]
-    rows = marked.select(*cols, F.explode(own).alias("node_id"))
-    genre = lib.movie_genres.select("file_id", K.node_id("mv:genre", c("genre_id")).alias("node_id"))
-    director = lib.movie_directors.select("file_id", K.node_id("mv:director", c("director_id")).alias("node_id"))
-    return rows.unionByName(m.join(genre.unionByName(director), "file_id").select(*cols, "node_id"))
-
-
-def section_items(lib: Library) -> DataFrame:
-    """Items of the All Movies view alone, as ``node_items`` has them: what a search below the movies looks through."""
+def _movie_works(lib: Library) -> DataFrame:
+    """Works of every movie listing but the newest: copies stand once for each of their groups and are merged in one aggregate."""
     c = F.col
-    film = merge_renditions(lib.movies, movie_keys(), listings.MOVIE_FIELDS, [c("file_id")])
-    return _shaped(film, F.lit("mv:all"), "movies", K.with_year(c("title"), c("year")), {"k3": F.lower("sort_title")})
+    m = lib.movies.drop("genres", "directors")
+    group = lambda tag, v: F.struct(F.lit(tag).alias("tag"), v.cast("string").alias("v"))
+    null, rated, named = F.lit(None), K.rating_bucket(c("rating")), F.nullif(F.lower("collection"), F.lit(""))
+    own = F.array(
+        group("mv:all", null), F.when(K.is_uhd(c("width"), c("height")), group("mv:4k", null)), F.when(rated.isNotNull(), group("mv:rating", rated)),
+        F.when(named.isNotNull(), group("mv:set", named)),
+    )
+    rows = m.select("*", F.lit(None).cast("string").alias("v_name"), F.explode(own).alias("_g")).filter("_g is not null").select("*", "_g.tag", "_g.v").drop("_g")
+    for names, tag in (("genres", "mv:genre"), ("directors", "mv:director")):
+        more = lib.movies.select("*", F.explode(names).alias("_x")).drop("genres", "directors")
+        rows = rows.unionByName(more.select("*", c("_x.name").alias("v_name"), F.lit(tag).alias("tag"), c("_x.id").cast("string").alias("v")).drop("_x"))
+    rows = rows.withColumn("_r", F.coalesce(F.when(c("tag") == "mv:rating", -c("rating")), F.lit(0.0)))
+    film = merge_renditions(rows, {"tag": c("tag"), "v": c("v"), **movie_keys()}, [*listings.MOVIE_FIELDS, "v_name"], [c("_r"), c("file_id")])
+    big = counts.big_franchises(lib.movies).select(c("k_collection").alias("k_set"), c("name").alias("set_name"))
+    film = film.join(big, (c("tag") == "mv:set") & (c("v") == c("k_set")), "left").filter("tag <> 'mv:set' or set_name is not null")
+    # the year is part of a work, so All Movies' works serve the year and decade views too
+    dated = F.when((c("tag") == "mv:all") & c("year").isNotNull(), F.array(
+        F.struct("tag", "v"), group("mv:year", c("year")), group("mv:decade", K.decade(c("year"))))).otherwise(F.array(F.struct("tag", "v")))
+    return film.withColumn("_g", F.explode(dated)).drop("tag", "v").select("*", "_g.tag", "_g.v").drop("_g")
 
 
 def node_items(lib: Library, recent: int = 25) -> DataFrame:
-    """Items of every leaf listing, merged as that listing merges them, with its order columns and titles.
+    """Items of every leaf listing, merged as that listing merges them, with its titles and the keys of its order.
 
-    Ordering a listing is ``orderBy(ORDER_FIELDS)``; no row is numbered here, so the
-    listing that holds the whole library never has to pass through one task.
+    Ordering a listing is ``orderBy("key")``; no row is numbered here, so the listing that holds the whole library never has to pass
+    through one task.
     """
     c = F.col
-    rated = c("node_id").startswith("mv:rating:")
-    by_year = c("node_id").startswith("mv:set:") | c("node_id").startswith("mv:director:")
-    rows = _movie_rows(lib).withColumn("_r", F.when(rated, -c("rating")).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("_r", F.coalesce("_r", F.lit(0.0)))
-    film = merge_renditions(rows, {"node_id": c("node_id"), **movie_keys()}, listings.MOVIE_FIELDS, [c("_r"), c("file_id")])
-    # the year is part of a work, so All Movies' works serve the year and decade views too
-    dated = F.when((c("node_id") == "mv:all") & c("year").isNotNull(), F.array(
-        F.lit("mv:all"), K.node_id("mv:year", c("year")), K.node_id("mv:decade", K.decade(c("year"))))).otherwise(F.array("node_id"))
-    film = film.withColumn("node_id", F.explode(dated))
+    film = _movie_works(lib)
+    tag, v = c("tag"), c("v")
+    rated, by_year = tag == "mv:rating", tag.isin("mv:set", "mv:director")
     title = F.when(rated, K.with_score(c("title"), c("rating"))).otherwise(c("title"))
-    title = F.when(c("node_id").startswith("mv:year:"), title).otherwise(K.with_year(title, c("year")))
-    n1 = F.when(rated, -c("rating")).when(by_year, c("year").cast("double")).otherwise(F.lit(0.0))
-    n1 = F.when(rated & c("rating").isNull(), F.lit(0.0)).otherwise(n1)
-    out = [_shaped(film, c("node_id"), "movies", title, {"n1": n1, "k3": F.lower("sort_title")})]
+    title = F.when(tag == "mv:year", title).otherwise(K.with_year(title, c("year")))
+    n1 = F.when(rated, F.coalesce(-c("rating"), F.lit(0.0))).when(by_year, c("year").cast("double")).otherwise(F.lit(0.0))
+    node = F.when(v.isNull(), tag).when(tag == "mv:set", K.node_id("mv:set", K.encode(c("set_name")))).otherwise(F.concat_ws(":", tag, v))
+    place = (
+        F.when(tag.isin("mv:year", "mv:decade"), number_key(-v.cast("int"))).when(rated, number_key(v.cast("int")))
+        .when(tag == "mv:set", joined_key(v)).when(v.isNotNull(), joined_key(c("v_name"))).otherwise(F.lit(""))
+    )
+    sorted_ = F.lower("sort_title")
+    out = [_shaped(film, node, "movies", title, [number_key(n1), sorted_], place)]
 
+    newest = [number_key(-c("added_at")), id_key(-c("file_id"))]
     fresh = listings.recent_movies(lib.movies, recent)
-    out.append(_shaped(fresh, F.lit("mv:recent"), "movies", K.with_year(c("title"), c("year")), {"n1": c("_ord.o0"), "n2": c("_ord.o1")}))
+    out.append(_shaped(fresh, F.lit("mv:recent"), "movies", K.with_year(c("title"), c("year")), [number_key(c("_ord.o0")), id_key(c("_ord.o1"))]))
 
     t = lib.tracks
-    shown_artist, shown_album = K.display_artist(c("album_artist"), c("artist")), K.display_album(c("album"))
-    on_album = {"n1": c("disc_no"), "n2": c("track_no"), "k3": F.lower("title")}
-    out.append(_shaped(t, K.node_id("mu:album", K.encode(shown_artist), K.encode(shown_album)), "music", c("title"), on_album))
-    genre = lib.track_genres.select("file_id", "genre_id")
-    out.append(_shaped(t.join(genre, "file_id"), K.node_id("mu:genre", c("genre_id")), "music", c("title"), {"k3": F.lower("title")}))
-    newest = {"n1": -c("added_at"), "n2": -c("file_id")}
+    artist, album = K.display_artist(c("album_artist"), c("artist")), K.display_album(c("album"))
+    on_album = [number_key(c("disc_no")), number_key(c("track_no")), F.lower("title")]
+    out.append(_shaped(t, K.node_id("mu:album", K.encode(artist), K.encode(album)), "music", c("title"), on_album,
+                       F.concat(joined_key(F.lower(artist), artist), album_key(artist, album)), album_key(artist, album)))
+    genre = t.select("*", F.explode("genres").alias("_x"))
+    out.append(_shaped(genre, K.node_id("mu:genre", c("_x.id")), "music", c("title"), [F.lower("title")], joined_key(c("_x.name"))))
     out.append(_shaped(listings.recent(t, recent), F.lit("mu:recent"), "music", K.qualified_track(c("artist"), c("album"), c("title")), newest))
 
     e = lib.episodes
-    names = e.groupBy(F.lower("series").alias("k_series")).agg(F.min_by("series", "file_id").alias("series_name"))
-    works = merge_renditions(e, episode_keys(), listings.EPISODE_FIELDS).join(names, "k_series")
+    works = merge_renditions(e, episode_keys(), listings.EPISODE_FIELDS).join(_series_names(lib).withColumnRenamed("series", "series_name"), "k_series")
     numbered = F.concat(K.two_digits(c("episode")), F.lit(" - "), c("title"))
-    out.append(_shaped(works, K.node_id("tv:ser", K.encode(c("series_name")), c("season")), "tv", numbered, {"n1": c("episode")}))
+    season = F.concat(series_key(c("k_series")), number_key(c("season")))
+    out.append(_shaped(works, K.node_id("tv:ser", K.encode(c("series_name")), c("season")), "tv", numbered, [number_key(c("episode"))], season))
     full = K.qualified_episode(c("series"), c("season"), c("episode"), c("title"))
-    out.append(_shaped(listings.uhd(e), F.lit("tv:4k"), "tv", full, {"k0": F.lower("series"), "n1": c("season"), "n2": c("episode")}))
+    out.append(_shaped(listings.uhd(e), F.lit("tv:4k"), "tv", full, [F.lower("series"), number_key(c("season")), number_key(c("episode"))]))
     out.append(_shaped(listings.recent(e, recent), F.lit("tv:recent"), "tv", full, newest))
 
-    folder = F.when(c("rel_path").contains("/"), F.regexp_replace(c("rel_path"), "/[^/]*$", "")).otherwise(F.lit(""))
-    out.append(_shaped(lib.files, K.dir_id(c("root_id"), folder), c("kind"), c("title"), {"k3": F.lower("title")}, folder_root=c("root_id"), folder=folder))
+    folder = folder_of(c("rel_path"))
+    placed = lib.files.join(lib.roots.select("root_id", joined_key(c("path")).alias("root_key")), "root_id")
+    out.append(_shaped(placed, K.dir_id(c("root_id"), folder), c("kind"), c("title"), [F.lower("title")], view=c("root_key"), folder_root=c("root_id"), folder=folder))
 
     result = out[0]
     for df in out[1:]:
@@ -240,14 +286,13 @@ def node_items(lib: Library, recent: int = 25) -> DataFrame:
 
 
 def children(tree: DataFrame, node: str) -> DataFrame:
-    """Containers directly under a node; the album view lists every album."""
-    if node == "mu:album":
-        return tree.filter(F.col("class") == ALBUM)
-    return tree.filter((F.col("parent_id") == node) & (F.col("node_id") != node))
+    """Containers directly under a node in their order; the album view lists every album."""
+    below = (F.col("class") == ALBUM) if node == "mu:album" else (F.col("parent_id") == node) & (F.col("node_id") != node)
+    return tree.filter(below).orderBy("key", "node_id")
 
 
 def children_of(tree: DataFrame, asked: DataFrame) -> DataFrame:
-    """Containers under each of the nodes ``asked`` (node): what ``children`` gives, for any number of them at once."""
+    """Containers under each of the nodes ``asked`` (node): what ``children`` gives, for any number of them at once; ``key`` is their order."""
     below = tree.filter(F.col("parent_id") != F.col("node_id")).withColumn("node", F.col("parent_id"))
     every = tree.filter(F.col("class") == ALBUM).withColumn("node", F.lit("mu:album"))
     return below.unionByName(every).join(asked.select("node"), "node", "left_semi")
@@ -255,7 +300,7 @@ def children_of(tree: DataFrame, asked: DataFrame) -> DataFrame:
 
 def listing(items: DataFrame, node: str) -> DataFrame:
     """Items of one leaf node in its order."""
-    return items.filter(F.col("node_id") == node).orderBy(*ORDER_FIELDS)
+    return items.filter(F.col("node_id") == node).orderBy("key")
 
 
 def node_counts(lib: Library, recent: int = 25) -> DataFrame:
@@ -316,28 +361,42 @@ def node_counts(lib: Library, recent: int = 25) -> DataFrame:
     return result.unionByName(empty).groupBy("count_id").agg(F.max("n").alias("n"))
 
 
+SECTIONS = ["mv", "mu", "tv"]
+
+
 def scopes() -> Column:
-    """Containers whose subtree shows a leaf listing when one exhaustive view stands for each section.
+    """(scope, place) of the containers whose subtree shows a leaf listing when one exhaustive view stands for each section.
 
-    A folder is reached from at most five levels up.
+    ``place`` is where the listing stands among those of the container. A folder is reached from at most five levels up.
     """
     node, kind = F.col("node_id"), F.col("kind")
+    at, view = F.col("at"), F.col("view")
+    names = F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.split("folder", "/"))
+    # folders stand before the files beside them
+    inside = F.concat(F.array_join(F.transform(names, lambda x: F.concat(F.lit("0"), joined_key(F.lower(x), x))), ""), F.lit("1"))
     parts = F.split(node, ":")
     head = F.concat_ws(":", F.slice(parts, 1, 2))
     artist = K.node_id("mu:artist", F.get(parts, F.lit(2)))
     series = K.node_id("tv:ser", F.get(parts, F.lit(2)))
     levels = F.when(F.col("folder") == "", F.lit(0)).otherwise(F.size(F.split("folder", "/")))
+
+    def pair(scope: Column, place: Column) -> Column:
+        return F.struct(scope.alias("scope"), place.alias("place"))
+
+    def top(section: str, place: Column) -> Column:
+        return pair(F.lit("0"), F.concat(F.lit(str(SECTIONS.index(section))), place))
+
     # the folder itself and up to five above it, by cutting names off the end
-    up = [F.when(levels >= i, K.dir_id(F.col("folder_root"), F.when(levels == i, F.lit("")).otherwise(
-        F.regexp_replace("folder", rf"(/[^/]*){{{i}}}$", "") if i else F.col("folder")))) for i in range(6)]
-    view = F.when(levels <= 4, F.concat(section_of(kind), F.lit(":dir")))
+    up = [F.when(levels >= i, pair(K.dir_id(F.col("folder_root"), F.when(levels == i, F.lit("")).otherwise(
+        F.regexp_replace("folder", rf"(/[^/]*){{{i}}}$", "") if i else F.col("folder"))), inside)) for i in range(6)]
+    whole = F.when(levels <= 4, pair(F.concat(section_of(kind), F.lit(":dir")), F.concat(view, inside)))
     return (
-        F.when(node == "mv:all", F.array(F.lit("mv:all"), F.lit("mv"), F.lit("0")))
-        .when(head == "mu:album", F.array(node, artist, F.lit("mu:artist"), F.lit("mu:album"), F.lit("mu"), F.lit("0")))
-        .when(head == "tv:ser", F.array(node, series, F.lit("tv"), F.lit("0")))
-        .when(F.col("folder").isNotNull(), F.array_compact(F.array(*up, view)))
-        .when(F.size(parts) == 3, F.array(node, head))
-        .otherwise(F.array(node))
+        F.when(node == "mv:all", F.array(pair(node, at), pair(F.lit("mv"), at), top("mv", at)))
+        .when(head == "mu:album", F.array(pair(node, at), pair(artist, at), pair(F.lit("mu:artist"), at), pair(F.lit("mu:album"), view), pair(F.lit("mu"), view), top("mu", view)))
+        .when(head == "tv:ser", F.array(pair(node, at), pair(series, at), pair(F.lit("tv"), at), top("tv", at)))
+        .when(F.col("folder").isNotNull(), F.array_compact(F.array(*up, whole)))
+        .when(F.size(parts) == 3, F.array(pair(node, at), pair(head, at)))
+        .otherwise(F.array(pair(node, at)))
     )
 
 
@@ -345,26 +404,29 @@ def scopes() -> Column:
 SHARED_SCOPES = ["mv:genre", "mv:director", "mu:genre"]
 
 
-def flatten(items: DataFrame) -> DataFrame:
-    """Items under every container, each file once per container at its first place.
+LEAF = ["node_id", "kind", "at", "view", "folder_root", "folder"]
 
-    Only a few containers have overlapping children; the rest need no shuffle at all.
-    """
-    spread = items.select(F.explode(scopes()).alias("scope"), "*")
-    place = F.struct("node_id", *ORDER_FIELDS)
-    plain = spread.filter(~F.col("scope").isin(SHARED_SCOPES)).select("scope", "file_id", *ITEM_FIELDS, place.alias("place"))
-    return plain.unionByName(_first_places(spread.filter(F.col("scope").isin(SHARED_SCOPES)), ["scope", "file_id"]))
 
+def flatten(items: DataFrame, *carry: str) -> DataFrame:
+    """(scope, file_id, place): items under every container, each file once per container, where a walk of the tree first meets it.
 
-def _first_places(rows: DataFrame, key: list[str]) -> DataFrame:
-    place = F.struct("node_id", *ORDER_FIELDS)
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*ITEM_FIELDS), place).alias("i"), F.min(place).alias("place")).select(*key, "i.*", "place")
+    ``place`` sorts as the walk goes; ``carry`` names columns to bring along from there. The containers of a listing are worked out
+    once a listing. Only a few containers have overlapping children; the rest need no shuffle of items but by listing.
+    """
+    leaves = items.select(*LEAF).distinct().select("node_id", scopes().alias("scopes"))
+    spread = items.select("node_id", "file_id", "key", *carry).join(leaves, "node_id").select("file_id", "key", *carry, F.explode("scopes").alias("s"))
+    spread = spread.select("s.scope", "file_id", *carry, F.concat("s.place", "key").alias("place"))
+    shared = F.col("scope").isin(SHARED_SCOPES)
+    first = spread.filter(shared).groupBy("scope", "file_id").agg(*[F.min_by(x, "place").alias(x) for x in carry], F.min("place").alias("place"))
+    return spread.filter(~shared).unionByName(first)
 
 
 def flatten_scope(items: DataFrame, scope: str) -> DataFrame:
-    """Items under one container in listing order."""
-    inside = items.filter(F.array_contains(scopes(), scope))
-    return _first_places(inside, ["file_id"]).orderBy("place")
+    """Items under one container in the order of a walk."""
+    leaves = items.select(*LEAF).distinct().select("node_id", F.explode(scopes()).alias("s")).filter(F.col("s.scope") == scope).select("node_id", "s.place")
+    inside = items.join(leaves, "node_id").withColumn("place", F.concat("place", "key"))
+    first = inside.groupBy("file_id").agg(F.min_by(F.struct(*ITEM_FIELDS), "place").alias("i"), F.min("place").alias("place"))
+    return first.select("file_id", "i.*", "place").orderBy("place")
 
 
 def node_detail(tree: DataFrame, totals: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from shelf.functions import keys as K
 from shelf.operators import items, listings, search
+from shelf.operators.windows import ordered_columns
 from shelf.plans import tree
 from shelf.plans.browse_queries import MERGE_SQL, RECENT_SQL, SORT_KEY, episodes, movies, tracks
 from shelf.plans.registry import query
-from shelf.sources.bridge import view
+from shelf.session import written
+from shelf.sources.bridge import table, view
 
 
 def any_items(spark, sf):
@@ -23,19 +25,25 @@ def any_items(spark, sf):
 
 
 def library(spark, sf) -> tree.Library:
-    m = movies(spark, sf)
-    t = tracks(spark, sf).withColumn("file_id", -F.col("file_id"))
-    return tree.Library(
-        movies=m,
-        movie_genres=m.select("file_id", tree.dimension_id(F.col("genre")).alias("genre_id"), F.col("genre").alias("name")),
-        movie_directors=m.select("file_id", tree.dimension_id(F.col("director")).alias("director_id"), F.col("director").alias("name")),
-        episodes=episodes(spark, sf),
-        tv_series=view(spark, sf, "b_tv_series"),
-        tracks=t,
-        track_genres=t.filter("genre is not null").select("file_id", tree.dimension_id(F.col("genre")).alias("genre_id"), F.col("genre").alias("name")),
-        files=any_items(spark, sf),
-        roots=view(spark, sf, "b_roots"),
-    )
+    """The bridge's catalog as a snapshot: movies, episodes and tracks written once, files made of them."""
+    def one(name):
+        return F.when(F.col(name).isNotNull(), F.array(F.struct(tree.dimension_id(F.col(name)).alias("id"), F.col(name).alias("name")))).otherwise(
+            F.array().cast("array<struct<id:bigint,name:string>>"))
+
+    copy = ["file_id", "root_id", "rel_path", "mime", "size", "duration_ms", "width", "height", "has_art", "added_at", "title"]
+    m = movies(spark, sf).select(*copy, "updated_at", "sort_title", "year", "rating", "collection", "genre", "director", one("genre").alias("genres"), one("director").alias("directors"))
+    t = tracks(spark, sf).withColumns({"file_id": -F.col("file_id"), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int")})
+    t = t.select(*copy, "artist", "album_artist", "album", "disc_no", "track_no", "year", "genre", one("genre").alias("genres"))
+    e = episodes(spark, sf).select(*copy, "series", "season", "episode", "aired", "rating")
+    m, t, e = (written(df, name) for df, name in ((m, "movies"), (t, "tracks"), (e, "episodes")))
+    # each of the bridge's files has one fact row, so what ``items.any_items`` joins is at hand
+    held = ["file_id", "kind", "root_id", "rel_path", "size", "duration_ms", "width", "height", "title"]
+    parts = [df.withColumn("kind", F.lit(kind)).select(*held, *known) for df, kind, known in (
+        (m, "movies", ["year", "rating"]), (e, "tv", ["rating", "series", "season", "episode"]), (t, "music", ["year", "artist", "album"]))]
+    files = parts[0]
+    for df in parts[1:]:
+        files = files.unionByName(df, allowMissingColumns=True)
+    return tree.Library(movies=m, episodes=e, tv_series=view(spark, sf, "b_tv_series"), tracks=t, files=files, roots=view(spark, sf, "b_roots"))
 
 
 def enc(x: str) -> str:
@@ -97,58 +105,73 @@ UNION ALL SELECT {dir_sql('root_id', 'rel')}, {dir_sql('root_id', 'up')}, name,
 
 @query("c3_nodes", NODES_SQL)
 def _(spark, sf):
-    return tree.nodes(library(spark, sf)).drop("count_id")
+    return tree.nodes(library(spark, sf)).drop("count_id", "key")
 
 
 QUAL = "series || ' S' || lpad(season::VARCHAR, 2, '0') || 'E' || lpad(episode::VARCHAR, 2, '0') || ' - ' || title"
 YEARED = "CASE WHEN year IS NULL THEN '' ELSE ' (' || year || ')' END"
+NEWEST_SQL = RECENT_SQL.replace("art_file_id FROM", "art_file_id, newest FROM")
 ITEMS_SQL = f"""
 WITH m AS (SELECT * FROM b_movies WHERE status='ready'),
 t AS (SELECT * REPLACE (-file_id AS file_id) FROM b_tracks WHERE status='ready'),
 e AS (SELECT * FROM b_episodes WHERE status='ready'),
 sets AS (SELECT lower(collection) AS k, arg_min(collection, file_id) AS name FROM m WHERE collection <> '' GROUP BY 1 HAVING count(*) >= 2),
 mm AS (
-  SELECT 'mv:all' AS node_id, * FROM m
-  UNION ALL SELECT 'mv:4k', * FROM m WHERE width > 1920 OR height > 1080
-  UNION ALL SELECT 'mv:year:' || year, * FROM m WHERE year IS NOT NULL
-  UNION ALL SELECT 'mv:decade:' || (year//10*10), * FROM m WHERE year IS NOT NULL
-  UNION ALL SELECT 'mv:genre:' || {dim('genre')}, * FROM m
-  UNION ALL SELECT 'mv:director:' || {dim('director')}, * FROM m
-  UNION ALL SELECT 'mv:set:' || {enc('sets.name')}, m.* FROM m JOIN sets ON lower(m.collection)=sets.k
-  UNION ALL SELECT 'mv:rating:' || {BUCKET}, * FROM m),
-film AS (SELECT node_id, max(title) FILTER (WHERE r1=1) AS title, k_year AS year, max(rating) FILTER (WHERE r1=1) AS rating, max(file_id) FILTER (WHERE r2=1) AS file_id
+  SELECT 'mv:all' AS node_id, [] AS p, * FROM m
+  UNION ALL SELECT 'mv:4k', [], * FROM m WHERE width > 1920 OR height > 1080
+  UNION ALL SELECT 'mv:year:' || year, [printf('%09d', 100000 - year)], * FROM m WHERE year IS NOT NULL
+  UNION ALL SELECT 'mv:decade:' || (year//10*10), [printf('%09d', 100000 - year//10*10)], * FROM m WHERE year IS NOT NULL
+  UNION ALL SELECT 'mv:genre:' || {dim('genre')}, [genre], * FROM m
+  UNION ALL SELECT 'mv:director:' || {dim('director')}, [director], * FROM m
+  UNION ALL SELECT 'mv:set:' || {enc('sets.name')}, [sets.k], m.* FROM m JOIN sets ON lower(m.collection)=sets.k
+  UNION ALL SELECT 'mv:rating:' || {BUCKET}, [{BUCKET}], * FROM m),
+film AS (SELECT node_id, any_value(p) AS p, max(title) FILTER (WHERE r1=1) AS title, k_year AS year, max(rating) FILTER (WHERE r1=1) AS rating, max(file_id) FILTER (WHERE r2=1) AS file_id,
+   max(genre) FILTER (WHERE r1=1) AS genre, max(director) FILTER (WHERE r1=1) AS director
   FROM (SELECT *, lower(title) AS k, year AS k_year,
      row_number() OVER (PARTITION BY node_id, lower(title), year ORDER BY CASE WHEN node_id LIKE 'mv:rating:%' THEN coalesce(-rating, 0) ELSE 0 END, file_id) AS r1,
      row_number() OVER (PARTITION BY node_id, lower(title), year ORDER BY coalesce(width,0)*coalesce(height,0) DESC, size DESC, CASE WHEN node_id LIKE 'mv:rating:%' THEN coalesce(-rating, 0) ELSE 0 END, file_id) AS r2 FROM mm)
   GROUP BY node_id, k, k_year),
 names AS (SELECT lower(series) AS k, arg_min(series, file_id) AS name FROM e GROUP BY 1),
-works AS (SELECT lower(series) AS k, season, episode, max(title) FILTER (WHERE r1=1) AS title, max(file_id) FILTER (WHERE r2=1) AS file_id
+works AS (SELECT lower(series) AS k, season, episode, max(series) FILTER (WHERE r1=1) AS series, max(title) FILTER (WHERE r1=1) AS title, max(file_id) FILTER (WHERE r2=1) AS file_id
   FROM (SELECT *, row_number() OVER (PARTITION BY lower(series), season, episode ORDER BY file_id) AS r1,
      row_number() OVER (PARTITION BY lower(series), season, episode ORDER BY width*height DESC, size DESC, file_id) AS r2 FROM e) GROUP BY 1, 2, 3),
-folder AS (SELECT f.file_id, f.root_id, f.kind, CASE WHEN contains(f.rel_path, '/') THEN regexp_replace(f.rel_path, '/[^/]*$', '') ELSE '' END AS rel,
+folder AS (SELECT f.file_id, f.root_id, f.kind, r.path, e.series, e.season, e.episode, t.artist, t.album, coalesce(m.year, t.year) AS year, CASE WHEN contains(f.rel_path, '/') THEN regexp_replace(f.rel_path, '/[^/]*$', '') ELSE '' END AS rel,
    coalesce(m.title, t.title, e.title) AS title
-  FROM b_files f LEFT JOIN m ON m.file_id=f.file_id LEFT JOIN t ON t.file_id=f.file_id LEFT JOIN e ON e.file_id=f.file_id WHERE f.status='ready'),
+  FROM b_files f JOIN b_roots r USING (root_id) LEFT JOIN m ON m.file_id=f.file_id LEFT JOIN t ON t.file_id=f.file_id LEFT JOIN e ON e.file_id=f.file_id WHERE f.status='ready'),
+walked AS (SELECT *, list_concat(flatten(list_transform(CASE WHEN rel = '' THEN [] ELSE string_split(rel, '/') END, lambda x: ['0' || lower(x), x])), ['1']) AS p FROM folder),
 ni AS (
  SELECT node_id, 'movies' AS kind, file_id, CASE WHEN node_id LIKE 'mv:rating:%' AND rating IS NOT NULL THEN printf('%.1f', rating) || ' · ' ELSE '' END || title
-    || CASE WHEN node_id LIKE 'mv:year:%' THEN '' ELSE {YEARED} END AS title, NULL::BIGINT AS root_id, NULL AS rel FROM film
- UNION ALL SELECT * FROM (SELECT 'mv:recent', 'movies', m.file_id, m.title || CASE WHEN m.year IS NULL THEN '' ELSE ' (' || m.year || ')' END, NULL, NULL FROM ({RECENT_SQL}) m)
- UNION ALL SELECT 'mu:album:' || {enc(ART)} || ':' || {enc(ALB)}, 'music', file_id, title, NULL, NULL FROM t
- UNION ALL SELECT 'mu:genre:' || {dim('genre')}, 'music', file_id, title, NULL, NULL FROM t WHERE genre IS NOT NULL
- UNION ALL SELECT * FROM (SELECT 'mu:recent', 'music', file_id, artist || ' - ' || coalesce(album || ' - ', '') || title, NULL, NULL FROM t ORDER BY added_at DESC, file_id DESC LIMIT 25)
- UNION ALL SELECT 'tv:ser:' || {enc('names.name')} || ':' || season, 'tv', file_id, lpad(episode::VARCHAR, 2, '0') || ' - ' || title, NULL, NULL FROM works JOIN names ON names.k=works.k
- UNION ALL SELECT 'tv:4k', 'tv', file_id, {QUAL}, NULL, NULL FROM e WHERE width > 1920 OR height > 1080
- UNION ALL SELECT * FROM (SELECT 'tv:recent', 'tv', file_id, {QUAL}, NULL, NULL FROM e ORDER BY added_at DESC, file_id DESC LIMIT 25)
- UNION ALL SELECT {dir_sql('root_id', 'rel')}, kind, file_id, title, root_id, rel FROM folder)
+    || CASE WHEN node_id LIKE 'mv:year:%' THEN '' ELSE {YEARED} END AS title, NULL::BIGINT AS root_id, NULL AS rel, p, []::VARCHAR[] AS pv,
+   '' AS s0, CASE WHEN node_id LIKE 'mv:rating:%' THEN coalesce(-rating, 0) WHEN node_id LIKE 'mv:set:%' OR node_id LIKE 'mv:director:%' THEN year ELSE 0 END AS n1, 0::DOUBLE AS n2,
+   lower({SORT_KEY}) AS s3, NULL AS series, NULL::INT AS season, NULL::INT AS episode, NULL AS artist, NULL AS album, genre, director, year FROM film
+ UNION ALL SELECT 'mv:recent', 'movies', file_id, title || {YEARED}, NULL, NULL, [], [], '', row_number() OVER (ORDER BY newest DESC), 0, '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, year FROM ({NEWEST_SQL})
+ UNION ALL SELECT 'mu:album:' || {enc(ART)} || ':' || {enc(ALB)}, 'music', file_id, title, NULL, NULL, [lower({ART}), {ART}, lower({ALB}), {ALB}],
+   [lower({ALB}), lower({ART}), {ALB}, {ART}], '', disc_no, track_no, lower(title), NULL, NULL, NULL, artist, album, genre, NULL, year FROM t
+ UNION ALL SELECT 'mu:genre:' || {dim('genre')}, 'music', file_id, title, NULL, NULL, [genre], [], '', 0, 0, lower(title), NULL, NULL, NULL, artist, album, genre, NULL, year FROM t WHERE genre IS NOT NULL
+ UNION ALL SELECT * FROM (SELECT 'mu:recent', 'music', file_id, artist || ' - ' || coalesce(album || ' - ', '') || title, NULL, NULL, [], [], '', -added_at, -file_id, '', NULL, NULL, NULL, artist, album, genre, NULL, year FROM t ORDER BY added_at DESC, file_id DESC LIMIT 25)
+ UNION ALL SELECT 'tv:ser:' || {enc('names.name')} || ':' || season, 'tv', file_id, lpad(episode::VARCHAR, 2, '0') || ' - ' || title, NULL, NULL,
+   [names.k, printf('%09d', season + 1000)], [], '', episode, 0, '', series, season, episode, NULL, NULL, NULL, NULL, NULL FROM works JOIN names ON names.k=works.k
+ UNION ALL SELECT 'tv:4k', 'tv', file_id, {QUAL}, NULL, NULL, [], [], lower(series), season, episode, '', series, season, episode, NULL, NULL, NULL, NULL, NULL FROM e WHERE width > 1920 OR height > 1080
+ UNION ALL SELECT * FROM (SELECT 'tv:recent', 'tv', file_id, {QUAL}, NULL, NULL, [], [], '', -added_at, -file_id, '', series, season, episode, NULL, NULL, NULL, NULL, NULL FROM e ORDER BY added_at DESC, file_id DESC LIMIT 25)
+ UNION ALL SELECT {dir_sql('root_id', 'rel')}, kind, file_id, title, root_id, rel, p, list_concat([path], p), '', 0, 0, lower(title), series, season, episode, artist, album, NULL, NULL, year FROM walked)
 """
+LISTED = "s0, n1 NULLS FIRST, n2 NULLS FIRST, s3, file_id"
 
 
-@query("c2_node_items", ITEMS_SQL + """
-SELECT node_id, count(*) AS n, CAST(sum(file_id % 1000003) AS BIGINT) AS ids, min(title) AS first_title, max(title) AS last_title FROM ni GROUP BY 1""")
+@query("c2_node_items", ITEMS_SQL + f"""
+SELECT node_id, file_id, title, row_number() OVER (PARTITION BY node_id ORDER BY {LISTED}) AS place FROM ni""")
 def _(spark, sf):
-    found = tree.node_items(library(spark, sf))
-    return found.groupBy("node_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.expr("file_id % 1000003")).alias("ids"), F.min("title").alias("first_title"), F.max("title").alias("last_title")
-    )
+    """Every leaf node opened at once: its items with their places."""
+    found = tree.node_items(library(spark, sf)).select("node_id", "file_id", "title", "key")
+    return ordered_columns(found, ["node_id"], ["key"], True, place=("row_number",)).select("node_id", "file_id", "title", "place")
+
+
+@query("c2_listings", ITEMS_SQL + f"SELECT node_id, file_id, title FROM ni WHERE node_id IN ('mv:recent', 'mv:rating:0', 'tv:4k', 'mv:4k') ORDER BY node_id, {LISTED}")
+def _(spark, sf):
+    """Single nodes opened one by one."""
+    found = written(tree.node_items(library(spark, sf)), "items")
+    out = [tree.listing(found, node).select("node_id", "file_id", "title") for node in ("mv:recent", "mv:rating:0", "tv:4k", "mv:4k")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query("p9_listing_titles", ITEMS_SQL + "SELECT node_id, file_id, title FROM ni")
@@ -157,21 +180,36 @@ def _(spark, sf):
     return found.select("node_id", "file_id", "title")
 
 
-UP = "list_transform(range(0, least(depth, 5) + 1), lambda i: " + (
-    "'dir:' || root_id || CASE WHEN depth = i THEN '' ELSE ':' || " + enc("array_to_string(string_split(rel, '/')[1:(depth - i)], '/')") + " END") + ")"
+def up_sql() -> str:
+    """A folder and up to five above it, each with the place of the listing in it."""
+    code = enc("array_to_string(string_split(rel, '/')[1:(depth - i)], '/')")
+    return f"list_transform(range(0, least(depth, 5) + 1), lambda i: struct_pack(s := 'dir:' || root_id || CASE WHEN depth = i THEN '' ELSE ':' || {code} END, p := p))"
+
+
+FLAT_SQL = ITEMS_SQL + f"""
+, sc AS (SELECT *, string_split(node_id, ':') AS q, CASE WHEN rel = '' THEN 0 ELSE len(string_split(rel, '/')) END AS depth FROM ni),
+x AS (SELECT *, CASE WHEN node_id='mv:all' THEN [struct_pack(s := 'mv:all', p := p), struct_pack(s := 'mv', p := p), struct_pack(s := '0', p := list_concat(['0'], p))]
+  WHEN node_id LIKE 'mu:album:%' THEN [struct_pack(s := node_id, p := p), struct_pack(s := 'mu:artist:' || q[3], p := p), struct_pack(s := 'mu:artist', p := p),
+    struct_pack(s := 'mu:album', p := pv), struct_pack(s := 'mu', p := pv), struct_pack(s := '0', p := list_concat(['1'], pv))]
+  WHEN node_id LIKE 'tv:ser:%' THEN [struct_pack(s := node_id, p := p), struct_pack(s := 'tv:ser:' || q[3], p := p), struct_pack(s := 'tv', p := p), struct_pack(s := '0', p := list_concat(['2'], p))]
+  WHEN node_id LIKE 'dir:%' THEN list_concat({up_sql()}, CASE WHEN depth <= 4 THEN [struct_pack(s := CASE kind WHEN 'movies' THEN 'mv:dir' WHEN 'music' THEN 'mu:dir' ELSE 'tv:dir' END, p := pv)] ELSE [] END)
+  WHEN len(q) = 3 THEN [struct_pack(s := node_id, p := p), struct_pack(s := q[1] || ':' || q[2], p := p)] ELSE [struct_pack(s := node_id, p := p)] END AS scopes FROM sc),
+y AS (SELECT sp.s AS scope, sp.p AS path, * EXCLUDE (sp) FROM (SELECT * EXCLUDE (scopes), unnest(scopes) AS sp FROM x)),
+flat AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY scope, file_id ORDER BY path, {LISTED}) = 1)
+"""
 
 
-@query("u2_flatten", ITEMS_SQL + f"""
-, sc AS (SELECT *, string_split(node_id, ':') AS p, CASE WHEN rel = '' THEN 0 ELSE len(string_split(rel, '/')) END AS depth FROM ni),
-x AS (SELECT *, CASE WHEN node_id='mv:all' THEN ['mv:all', 'mv', '0']
-  WHEN node_id LIKE 'mu:album:%' THEN [node_id, 'mu:artist:' || p[3], 'mu:artist', 'mu:album', 'mu', '0']
-  WHEN node_id LIKE 'tv:ser:%' THEN [node_id, 'tv:ser:' || p[3], 'tv', '0']
-  WHEN node_id LIKE 'dir:%' THEN list_concat({UP}, CASE WHEN depth <= 4 THEN [CASE kind WHEN 'movies' THEN 'mv:dir' WHEN 'music' THEN 'mu:dir' ELSE 'tv:dir' END] ELSE [] END)
-  WHEN len(p) = 3 THEN [node_id, p[1] || ':' || p[2]] ELSE [node_id] END AS scopes FROM sc)
-SELECT scope, count(DISTINCT file_id) AS n, CAST(sum(DISTINCT file_id % 1000003) AS BIGINT) AS ids FROM (SELECT file_id, unnest(scopes) AS scope FROM x) GROUP BY 1""")
+@query("u2_flatten", FLAT_SQL + f"SELECT scope, file_id, row_number() OVER (PARTITION BY scope ORDER BY path, {LISTED}) AS place FROM flat")
 def _(spark, sf):
+    """Every container flattened at once: its files in the order in which a walk of the tree meets them."""
     flat = tree.flatten(tree.node_items(library(spark, sf)))
-    return flat.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum_distinct(F.expr("file_id % 1000003")).alias("ids"))
+    return ordered_columns(flat.withColumnRenamed("place", "key"), ["scope"], ["key"], True, place=("row_number",)).select("scope", "file_id", "place")
+
+
+@query("u2_flatten_genres", FLAT_SQL + "SELECT file_id, title FROM flat WHERE scope = 'mv:genre'")
+def _(spark, sf):
+    """One container flattened, with what its items show where they are first met."""
+    return tree.flatten_scope(tree.node_items(library(spark, sf)), "mv:genre").select("file_id", "title")
 
 
 WORKS = "count(DISTINCT lower(title) || chr(31) || coalesce(CAST(year AS VARCHAR), ''))"
@@ -225,14 +263,23 @@ def _(spark, sf):
 
 
 @query("c2_browse_children", f"""
-WITH nodes AS (SELECT * FROM ({NODES_SQL}))
-SELECT parent_id AS node, * FROM nodes WHERE parent_id <> node_id AND parent_id NOT LIKE 'mu:artist:%'
-UNION ALL SELECT 'mu:album', * FROM nodes WHERE class = '{tree.ALBUM}'""")
+WITH nodes AS (SELECT * FROM ({NODES_SQL})),
+c AS (SELECT parent_id AS node, * FROM nodes WHERE parent_id <> node_id UNION ALL SELECT 'mu:album', * FROM nodes WHERE class = '{tree.ALBUM}'),
+o AS (SELECT *, string_split(node_id, ':') AS q,
+  CASE WHEN node IN ('0', 'mv', 'mu') OR node = 'tv' AND node_id NOT LIKE 'tv:ser:%' THEN list_position([{", ".join(f"'{n}'" for n, *_ in tree.FIXED_NODES)}], node_id)
+    WHEN node = 'tv' THEN 1000 WHEN node IN ('mv:year', 'mv:decade') THEN -CAST(string_split(node_id, ':')[3] AS INT)
+    WHEN node = 'mv:rating' THEN CAST(string_split(node_id, ':')[3] AS INT) WHEN node LIKE 'tv:ser:%' THEN CAST(string_split(node_id, ':')[4] AS INT) ELSE 0 END AS n FROM c)
+SELECT o.* EXCLUDE (q, n), row_number() OVER (PARTITION BY node ORDER BY n,
+  CASE WHEN node IN ('mv:genre', 'mv:director', 'mu:genre') THEN title WHEN node LIKE '%:dir' THEN r.path WHEN node LIKE 'mv:set' THEN lower(title)
+    WHEN node = 'tv' AND n = 1000 THEN lower(decode(from_base64(rpad(replace(replace(q[3], '-', '+'), '_', '/'), CAST(ceil(len(q[3]) / 4.0) * 4 AS INT), '='))))
+    WHEN node = 'mu:artist' OR node LIKE 'mu:artist:%' OR node = 'mu:album' OR node LIKE 'dir:%' THEN lower(title) ELSE '' END,
+  CASE WHEN node = 'mu:album' THEN lower(decode(from_base64(rpad(replace(replace(q[3], '-', '+'), '_', '/'), CAST(ceil(len(q[3]) / 4.0) * 4 AS INT), '=')))) ELSE '' END, title, node_id) AS place
+FROM o LEFT JOIN b_roots r ON o.node LIKE '%:dir' AND r.root_id = TRY_CAST(q[2] AS INT)""")
 def _(spark, sf):
-    """Every node but the artists, opened at once."""
+    """Every node opened at once: its containers with their places."""
     nodes = tree.nodes(library(spark, sf)).drop("count_id")
-    asked = nodes.filter(~F.col("node_id").startswith("mu:artist:")).select(F.col("node_id").alias("node"))
-    return tree.children_of(nodes, asked)
+    opened = tree.children_of(nodes, nodes.select(F.col("node_id").alias("node")))
+    return ordered_columns(opened, ["node"], ["key", "node_id"], True, place=("row_number",)).drop("key", "_chunk_node_key_node_id")
 
 
 @query("p12_node_ids", f"SELECT DISTINCT {ALB} AS name, {enc(ALB)} AS code, 'mu:album:' || {enc(ART)} || ':' || {enc(ALB)} AS node_id, {ART} AS arg1, {ALB} AS arg2 FROM b_tracks")
@@ -253,48 +300,63 @@ def _(spark, sf):
     return tree.root_titles(view(spark, sf, "b_roots")).select("root_id", "title")
 
 
-HAY = "lower(title || CASE WHEN year IS NULL THEN '' ELSE ' (' || year || ')' END || ' ' || genre || ' ' || director || coalesce(' ' || year, ''))"
+# the text a term is matched against, and the title a hit shows
+HAY = "lower(concat_ws(' ', title, series, artist, album, genre, director, CAST(year AS VARCHAR)))"
+NUMBERED = "' S' || lpad(season::VARCHAR, 2, '0') || 'E' || lpad(episode::VARCHAR, 2, '0') || ' - '"
+SHOWN = f"""CASE kind WHEN 'tv' THEN CASE WHEN starts_with(title, series) THEN title ELSE series || {NUMBERED} ||
+   CASE WHEN starts_with(title, lpad(episode::VARCHAR, 2, '0') || ' - ') THEN substr(title, length(lpad(episode::VARCHAR, 2, '0')) + 4) ELSE title END END
+  WHEN 'music' THEN CASE WHEN starts_with(title, artist) THEN title ELSE artist || ' - ' || coalesce(album || ' - ', '') || title END
+  ELSE title || CASE WHEN year IS NULL OR ends_with(title, '(' || year || ')') THEN '' ELSE ' (' || year || ')' END END"""
 ALL_SQL = MERGE_SQL.format(o="file_id", src="(SELECT * FROM b_movies WHERE status='ready')").replace(
     "count(*)-1 AS extras", "max(genre) FILTER (WHERE r1=1) AS genre, max(director) FILTER (WHERE r1=1) AS director, count(*)-1 AS extras")
-TITLED = "title || CASE WHEN year IS NULL THEN '' ELSE ' (' || year || ')' END"
+SEARCHED = {"mv": ["RING", "199"], "tv": ["show 1", "urgent"], "mu": ["brand#1", "green"], "dir:1": ["brass", "197"], "mu:genre": ["steel", "e"]}
 
 
-def movie_scope(spark, sf):
-    """Items under the movie section, flattened."""
-    works = tree.section_items(library(spark, sf))
-    return works.withColumn("scope", F.lit("mv"))
+def found_sql(scope: str, terms: list[str]) -> str:
+    has = " AND ".join(f"contains(hay, '{t.lower()}')" for t in terms)
+    return f"SELECT * FROM (SELECT scope, file_id, shown AS title FROM s WHERE scope = '{scope}' AND {has} ORDER BY lower(shown), file_id LIMIT 500)"
 
 
-@query("f11_search", f"SELECT file_id, {TITLED} AS title FROM ({ALL_SQL}) WHERE contains({HAY}, 'ring') AND contains({HAY}, '199') ORDER BY lower({TITLED}), file_id LIMIT 500")
-def _(spark, sf):
-    return search.search(movie_scope(spark, sf), ["RING", "199"]).select("file_id", "title")
+SEARCH_SQL = FLAT_SQL + f", s AS (SELECT scope, kind, file_id, {HAY} AS hay, {SHOWN} AS shown FROM flat)"
 
 
-@query("c5_search_many", f"""
-WITH q AS (SELECT p_partkey AS query_id, list_distinct(string_split(lower(p_name) || ' ' || substr(p_type, 1, 2 + p_partkey % 3), ' ')) AS terms FROM part),
-w AS (SELECT file_id, {TITLED} AS title, {HAY} AS hay FROM ({ALL_SQL}))
-SELECT query_id, file_id, title, row_number() OVER (PARTITION BY query_id ORDER BY lower(title), file_id) AS pos
-FROM q JOIN w ON len(list_filter(terms, lambda t: NOT contains(hay, lower(t)))) = 0 QUALIFY pos <= 500""")
+@query("f11_search", SEARCH_SQL + " UNION ALL ".join(found_sql(s, t) for s, t in SEARCHED.items()))
+def _(spark, sf):
+    """A search in a section of each kind, in a folder and in a view whose lists overlap."""
+    found = written(tree.node_items(library(spark, sf)), "items")
+    out = None
+    for scope, terms in SEARCHED.items():
+        hits = search.search(tree.flatten_scope(found, scope), terms).select(F.lit(scope).alias("scope"), "file_id", "title")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query("c5_search_many", SEARCH_SQL + """,
+q AS (SELECT p_partkey AS query_id, ['mv', 'tv', 'mu', '0', 'mv:genre', 'dir:' || (p_partkey % 20)][p_partkey % 6 + 1] AS scope, ['any', 'video', 'audio'][p_partkey % 7 % 3 + 1] AS class,
+  list_distinct(string_split(CASE WHEN p_partkey % 6 = 1 THEN 'show ' || p_partkey % 100 ELSE string_split(lower(p_name), ' ')[1] END || ' ' || lower(substr(p_type, 1, 2 + p_partkey % 3)), ' ')) AS terms FROM part)
+SELECT query_id, file_id, shown AS title, row_number() OVER (PARTITION BY query_id ORDER BY lower(shown), file_id) AS pos
+FROM q JOIN s USING (scope) WHERE len(list_filter(terms, lambda t: NOT contains(hay, t))) = 0 AND (class = 'any' OR (class = 'audio') = (kind = 'music')) QUALIFY pos <= 500""")
 def _(spark, sf):
-    asked = view_queries(spark, sf)
-    return search.search_many(movie_scope(spark, sf), asked)
+    known = search.entries(tree.node_items(library(spark, sf)))
+    known = written(known.select("node_id", "file_id", "key", "at", "view", "folder_root", "folder", "kind", "hay", "shown", "entry"), "search-items")
+    return search.search_many(known, tree.flatten(known, "entry"), view_queries(spark, sf))
 
 
 def view_queries(spark, sf):
-    """A search per part: the words of its name and the start of its type."""
-    from shelf.sources.bridge import table
-
+    """A search per part: a word of its name or a show, and the start of its type; scope and class vary by row."""
     p = table(spark, sf, "part")
-    text = F.concat_ws(" ", "p_name", F.substr("p_type", F.lit(1), (2 + F.col("p_partkey") % 3).cast("int")))
-    return p.select(F.col("p_partkey").alias("query_id"), F.lit("mv").alias("scope"), search.query_terms(text).alias("terms"), F.lit("any").alias("class"))
+    k = F.col("p_partkey")
+    scope = F.get(F.array(*[F.lit(x) for x in ("mv", "tv", "mu", "0", "mv:genre")], F.concat(F.lit("dir:"), (k % 20).cast("string"))), (k % 6).cast("int"))
+    word = F.when(k % 6 == 1, F.concat(F.lit("show "), (k % 100).cast("string"))).otherwise(F.split("p_name", " ")[0])
+    text = F.concat_ws(" ", word, F.substr("p_type", F.lit(1), (2 + k % 3).cast("int")))
+    cls = F.get(F.array(*[F.lit(x) for x in ("any", "video", "audio")]), (k % 7 % 3).cast("int"))
+    return p.select(k.alias("query_id"), scope.alias("scope"), search.query_terms(text).alias("terms"), cls.alias("class"))
 
 
 @query("f12_search_criteria", """
 SELECT p_partkey, least(lower(p_brand), lower(p_name)) || '+' || greatest(lower(p_brand), lower(p_name)) AS terms_up,
  CASE p_partkey % 4 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' WHEN 2 THEN 'nothing' ELSE 'any' END AS class FROM part""")
 def _(spark, sf):
-    from shelf.sources.bridge import table
-
     p = table(spark, sf, "part")
     kind = F.get(F.array(*[F.lit(x) for x in ("object.item.audioItem", "object.item.videoItem", "object.item.imageItem", "object.item")]), (F.col("p_partkey") % 4).cast("int"))
     text = F.concat(F.lit('dc:title contains "'), "p_name", F.lit('" and upnp:class derivedfrom "'), kind, F.lit('" and dc:creator = "'), "p_brand", F.lit('"'))
@@ -308,9 +370,11 @@ def _(spark, sf):
     return listings.page(works, [F.lower("sort_title"), F.col("file_id")], 100, 40).select("file_id", "title", "total")
 
 
-@query("l5_search_cap", f"SELECT file_id, {TITLED} AS title FROM ({ALL_SQL}) WHERE contains({HAY}, 'e') ORDER BY lower({TITLED}), file_id LIMIT 500")
+@query("l5_search_cap", SEARCH_SQL + found_sql("mv", ["e"]) + " UNION ALL " + found_sql("mu", ["a"]))
 def _(spark, sf):
-    return search.search(movie_scope(spark, sf), ["e"]).select("file_id", "title")
+    found = written(tree.node_items(library(spark, sf)), "items")
+    out = [search.search(tree.flatten_scope(found, scope), [term]).select(F.lit(scope).alias("scope"), "file_id", "title") for scope, term in (("mv", "e"), ("mu", "a"))]
+    return out[0].unionByName(out[1])
 
 
 @query("l7_folder_view", """

@@ -42,11 +42,11 @@ def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """A frame cast to a table's columns; missing columns are null."""
+def conform(df: DataFrame, name: str, *more: str) -> DataFrame:
+    """A frame cast to a table's columns; missing columns are null. ``more`` names columns to keep beside them."""
     return df.select(*[
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)
-    ])
+    ], *more)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -102,31 +102,43 @@ def write_snapshot(spark: SparkSession, base: str, tables: dict[str, DataFrame],
     ``stream`` and ``batch`` are recorded with the version. Raises CommitConflict if another writer commits the same version.
     """
     before, known = current(spark, base)
-    version = max([before, *_versions(spark, base)]) + 1
+    version = next_version(spark, base, before)
     folder = f"{base}/data/{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
         writer = conform(df, name).write
         if name in PARTITIONED:
             writer = writer.partitionBy(*PARTITIONED[name])
         writer.parquet(f"{folder}/{name}")
-    said = {
-        "tables": {**known["tables"], **{name: f"{folder.removeprefix(base + '/')}/{name}" for name in tables}},
-        "streams": {**known["streams"], **({stream: batch} if stream else {})},
-    }
+    where = {**known["tables"], **{name: f"{folder.removeprefix(base + '/')}/{name}" for name in tables}}
+    # a table written whole has its deltas in it
+    deltas = {name: d for name, d in known.get("deltas", {}).items() if name not in tables}
+    commit(spark, base, version, where, deltas, {**known["streams"], **({stream: batch} if stream else {})})
+    return version
+
+
+def next_version(spark: SparkSession, base: str, before: int) -> int:
+    return max([before, *_versions(spark, base)]) + 1
+
+
+def commit(spark: SparkSession, base: str, version: int, tables: dict[str, str], deltas: dict[str, list], streams: dict[str, int]) -> None:
+    """Create a version's marker; raises CommitConflict if another writer was first."""
     marker, fs = _hadoop(spark, f"{base}/_versions/{version}")
     try:
         out = fs.create(marker, False)
     except Exception as e:  # the file system says which class; all mean that the marker is there or can't be made
         raise CommitConflict(f"version {version} of {base} was committed by another writer") from e
-    out.write(bytearray(json.dumps(said).encode()))
+    out.write(bytearray(json.dumps({"tables": tables, "deltas": deltas, "streams": streams}).encode()))
     out.close()
-    return version
 
 
 def read_table(spark: SparkSession, base: str, name: str, version: int | None = None) -> DataFrame:
     """A table of the newest (or a given) version; empty where it was never written."""
     said = manifest(spark, base, version) if version else current(spark, base)[1]
     where = (said or {"tables": {}})["tables"].get(name)
-    if where is None:
-        return spark.createDataFrame([], schema(name))
-    return spark.read.schema(schema(name)).parquet(f"{base}/{where}")
+    whole = spark.createDataFrame([], schema(name)) if where is None else spark.read.schema(schema(name)).parquet(f"{base}/{where}")
+    changes = (said or {}).get("deltas", {}).get(name)
+    if not changes:
+        return whole
+    from shelf.sources import deltas
+
+    return deltas.laid_over(spark, base, name, whole, changes)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelf.operators import reconcile
 from shelf.operators.windows import ordered_columns
-from shelf.sources import catalog
+from shelf.sources import catalog, deltas
 
 SETTLE_S = 30  # fixed value: seconds a file must hold still
 MAX_RETRIES = 5  # fixed value
@@ -265,50 +265,63 @@ def latest_events(events: DataFrame) -> DataFrame:
     return events.groupBy("root_id", "rel_path").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("e")).select("root_id", "rel_path", "e.*")
 
 
-def apply_events(files: DataFrame, events: DataFrame, now: Column) -> DataFrame:
-    """The files table after a batch of events (ts, event_id, root_id, rel_path, size, mtime, kind, mime, present).
+FILE_COLUMNS = ["root_id", "rel_path", "file_id", "size", "mtime", "kind", "mime", "status", "added_at", "updated_at"]
+
+
+def event_changes(files: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """What a batch of events (ts, event_id, root_id, rel_path, size, mtime, kind, mime, present) changes in the files table.
 
-    Vanished paths go with all beneath them, after handing their arrival time to a
-    same-stem sibling; present ones become pending unless the catalog already shows them.
+    Rows to put in place of those of the same file, and with ``_gone`` true the rows that leave. Vanished paths go with all beneath
+    them, after handing their arrival time to a same-stem sibling, new or old; present ones become pending unless the catalog
+    already shows them.
     """
+    key = ["root_id", "rel_path"]
     last = latest_events(events)
-    gone = last.filter("not present")
-    vanished = files.join(gone.select("root_id", "rel_path"), ["root_id", "rel_path"], "left_semi")
-    left = reconcile.delete_under(files, gone.select("root_id", F.col("rel_path").alias("path")))
-    news = reconcile.unreflected(last.filter("present"), files).select("root_id", "rel_path", "size", "mtime", "kind", "mime")
-    old = left.select("root_id", "rel_path", "file_id", F.col("added_at").alias("_old"))
-    joined = news.join(old, ["root_id", "rel_path"], "left")
+    removed = last.filter("not present")
+    # those named by an event hand on their time, those beneath one only go
+    vanished = files.join(removed.select(*key), key, "left_semi")
+    lost = reconcile.under(files, removed.select("root_id", F.col("rel_path").alias("path")))
+    news = reconcile.unreflected(last.filter("present"), files).select(*key, "size", "mtime", "kind", "mime")
+    old = files.join(lost, key, "left_anti").select(*key, "file_id", F.col("added_at").alias("_old"))
+    joined = news.join(old, key, "left")
     touched = joined.select(
-        "root_id", "rel_path", F.coalesce("file_id", reconcile.file_id_for(F.col("root_id"), F.col("rel_path"))).alias("file_id"), "size", "mtime", "kind",
+        *key, F.coalesce("file_id", reconcile.file_id_for(F.col("root_id"), F.col("rel_path"))).alias("file_id"), "size", "mtime", "kind",
         "mime", F.lit("pending").alias("status"), F.coalesce(F.col("_old"), now).cast("long").alias("added_at"), now.cast("long").alias("updated_at"),
         F.col("_old").isNull().alias("is_new"),
     )
-    kept = left.join(news.select("root_id", "rel_path"), ["root_id", "rel_path"], "left_anti")
-    cols = ["root_id", "rel_path", "file_id", "size", "mtime", "kind", "mime", "status", "added_at", "updated_at"]
-    rows = kept.select(*cols).withColumn("is_new", F.lit(False)).unionByName(touched.select(*cols, "is_new"))
-    known = files.select("root_id", "rel_path", "added_at")
-    return reconcile.inherited_added_at(rows, known, vanished.select("root_id", "rel_path", "added_at")).select(*cols)
+    stem = reconcile.path_stem(F.col("rel_path")).alias("stem")
+    stems = vanished.select("root_id", stem).filter("stem is not null").distinct()
+    stay = files.join(lost, key, "left_anti").join(news.select(*key), key, "left_anti")
+    heirs = stay.select("*", stem).join(stems, ["root_id", "stem"], "left_semi").select(*FILE_COLUMNS, F.lit(False).alias("is_new"))
+    known = files.select(*key, "added_at")
+    upserts = reconcile.inherited_added_at(touched.select(*FILE_COLUMNS, "is_new").unionByName(heirs), known, vanished.select(*key, "added_at"))
+    upserts = upserts.select(*FILE_COLUMNS, F.lit(False).alias("_gone"))
+    gone = files.join(lost, key, "left_semi").join(news.select(*key), key, "left_anti").select(*FILE_COLUMNS, F.lit(True).alias("_gone"))
+    return upserts.unionByName(gone)
+
+
+def apply_events(files: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """The files table after a batch of events, of which ``event_changes`` says what they change."""
+    changes = event_changes(files, events, now)
+    kept = files.join(changes.select("root_id", "rel_path"), ["root_id", "rel_path"], "left_anti").select(*FILE_COLUMNS, F.lit(False).alias("_gone"))
+    return kept.unionByName(changes).filter("not _gone").select(*FILE_COLUMNS)
 
 
-def catalog_sink(base: str, now: Column, stream: str = "events"):
+def catalog_sink(base: str, now: Column, stream: str = "events", deltas_kept: int = 16):
     """A foreachBatch sink that applies events to the catalog under ``base``; a repeated batch of the stream is written once.
 
-    The catalog records the last batch of each stream beside its version, so other commits don't count. Where files have
-    vanished, their rows leave the tables that hang on them; all other tables stay as they are.
+    A batch is written as a delta in proportion to its events, which takes the rows of vanished files out of the tables that hang on them
+    too; after ``deltas_kept`` of them the tables are written whole again. The catalog records the last batch of each stream
+    beside its version, so other commits don't count.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = catalog.last_batch(spark, base, stream)
         if done is not None and batch_id <= done:
             return
-        version = catalog.current_version(spark, base)
-        files = catalog.read_table(spark, base, "files", version)
-        after = apply_events(files, batch, now).join(files.drop(*APPLIED), "file_id", "left")
-        tables = {"files": after}
-        gone = files.select("file_id").join(after.select("file_id"), "file_id", "left_anti")
-        if gone.take(1):
-            for name in HANGING:
-                tables[name] = catalog.read_table(spark, base, name, version).join(gone, "file_id", "left_anti")
-        catalog.write_snapshot(spark, base, tables, stream, batch_id)
+        files = catalog.read_table(spark, base, "files", catalog.current_version(spark, base))
+        changes = event_changes(files, batch, now).join(files.drop(*APPLIED), "file_id", "left")
+        deltas.write(spark, base, "files", changes, HANGING, stream, batch_id)
+        deltas.compact(spark, base, deltas_kept)
 
     return write

@@ -246,3 +246,34 @@ def test_a_library_with_all_arrivals_spreads_over_days(spark):
         else:
             want.append([t, t, 1])
     assert [(r["begin_at"].timestamp(), r["quiet_at"].timestamp() - 60, r["arrivals"]) for r in found] == [tuple(w) for w in want]
+
+
+def written_bytes(base):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(base) for f in names if f.endswith(".parquet"))
+
+
+def test_a_small_batch_writes_a_small_delta(spark, tmp_path):
+    base = f"{tmp_path}/cat"
+    files = spark.range(200_000).select(
+        F.col("id").alias("file_id"), F.lit(1).cast("long").alias("root_id"), F.concat(F.md5(F.col("id").cast("string")), F.lit(".mkv")).alias("rel_path"),
+        F.lit(10).alias("size"), F.lit(5).alias("mtime"), F.lit("movies").alias("kind"), F.lit("ready").alias("status"), F.lit(7).alias("added_at"), F.lit(90).cast("long").alias("duration_ms"),
+    )
+    catalog.write_snapshot(spark, base, {"files": files, "movies": files.select("file_id", F.lit("t").alias("title")), "movie_genres": files.select("file_id", F.lit(1).alias("genre_id"))})
+    whole = written_bytes(base)
+    some = files.filter("file_id < 10").select(
+        F.lit(0).alias("ts"), F.col("file_id").alias("event_id"), "root_id", "rel_path", "size", F.lit(6).alias("mtime"), "kind", F.lit("video/x-matroska").alias("mime"), (F.col("file_id") < 5).alias("present"))
+    sink = arrivals.catalog_sink(base, F.lit(100), deltas_kept=2)
+    sink(some, 0)
+    assert written_bytes(base) - whole < whole / 50
+    after = catalog.read_table(spark, base, "files")
+    assert after.count() == 199_995 and after.filter("status = 'pending' and duration_ms = 90 and added_at = 7").count() == 5
+    for name in ("movies", "movie_genres"):
+        assert catalog.read_table(spark, base, name).count() == 199_995
+    # a file that went comes back with a later batch; a third delta is one too many, and the tables are written whole
+    sink(some.withColumn("present", F.lit(True)), 1)
+    assert catalog.read_table(spark, base, "files").count() == 200_000 and catalog.read_table(spark, base, "movies").count() == 199_995
+    sink(some.withColumn("present", F.col("event_id") != 9), 2)
+    assert not catalog.current(spark, base)[1]["deltas"].get("files")
+    assert catalog.read_table(spark, base, "files").count() == 199_999 and catalog.last_batch(spark, base, "events") == 2
+    # an older version still reads as it did
+    assert catalog.read_table(spark, base, "files", 2).count() == 199_995
