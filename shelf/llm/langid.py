@@ -325,7 +325,10 @@ def calibrated(model: Model, rows: list[tuple[str, str]]) -> Model:
     all texts where a language has fewer than ten.
     """
     known = [(t, model.langs.index(l)) for t, l in rows if l in model.langs]
-    bits, n = model.entropies([t for t, _ in known]) if known and model.langs else (np.zeros((0, len(model.langs))), np.zeros(0))
+    found = [(np.zeros((0, len(model.langs))), np.zeros(0, np.int64))]
+    for _, some in _batches(pa.RecordBatch.from_arrays([pa.array([t for t, _ in known], pa.string())], ["text"])):
+        found.append(model.entropies(some))
+    bits, n = (np.concatenate(x) for x in zip(*found))
     label = np.array([k for _, k in known], np.int64)[n > 0]
     bits, n = bits[n > 0], n[n > 0]
     own = bits[np.arange(len(label)), label]
