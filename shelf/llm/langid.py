@@ -22,9 +22,9 @@ from shelf.llm import common
 
 ORDER = 5
 #: Grams of all languages and lengths that a model keeps, the most frequent of each language and length; and the most frequent languages it knows.
-ENTRIES, LANGUAGES = 1_000_000, 256
+ENTRIES, LANGUAGES = 250_000, 256
 #: One training row in so many is kept from counting; up to so many of them, by the order of a hash, set the temperature and the limits of rejection.
-CALIBRATION_SHARE, CALIBRATION_ROWS = 16, 4_000
+CALIBRATION_SHARE, CALIBRATION_ROWS = 16, 1_000
 #: Characters that are looked up together, distinct grams that a task gathers before it hands them on.
 BATCH, HELD = 1 << 18, 1 << 20
 UNKNOWN = "und"
