@@ -265,7 +265,7 @@ def _(spark, sf):
 SELECT file_id, lag(file_id) OVER w AS prev_file_id, lead(file_id) OVER w AS next_file_id FROM b_tracks WHERE status='ready'
 WINDOW w AS (PARTITION BY coalesce(album_artist, artist, 'Unknown Artist'), coalesce(album, 'Unknown Album') ORDER BY disc_no, track_no, lower(title), file_id)""")
 def _(spark, sf):
-    return listings.track_neighbours(tracks(spark, sf))
+    return listings.track_neighbours(tracks(spark, sf), spread=True)
 
 
 WORKS = "count(DISTINCT lower(title) || chr(31) || coalesce(CAST(year AS VARCHAR), ''))"

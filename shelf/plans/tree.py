@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shelf.functions import keys as K
 from shelf.operators import counts, listings
 from shelf.operators.merge import episode_keys, merge_renditions, movie_keys
+from shelf.session import written_together
 
 FOLDER = "object.container.storageFolder"
 MOVIE_GENRE = "object.container.genre.movieGenre"
@@ -161,10 +162,7 @@ def nodes(lib: Library) -> DataFrame:
     above, name = folder_of(c("rel_dir")), F.substring_index("rel_dir", "/", -1)
     out.append(_made(dirs, K.dir_id(c("root_id"), c("rel_dir")), K.dir_id(c("root_id"), above), name, joined_key(F.lower(name), name)))
 
-    result = out[0]
-    for df in out[1:]:
-        result = result.unionByName(df)
-    return result
+    return written_together(out, "tree-nodes")
 
 
 def folder_of(path: Column) -> Column:
@@ -279,10 +277,7 @@ def node_items(lib: Library, recent: int = 25) -> DataFrame:
     placed = lib.files.join(lib.roots.select("root_id", joined_key(c("path")).alias("root_key")), "root_id")
     out.append(_shaped(placed, K.dir_id(c("root_id"), folder), c("kind"), c("title"), [F.lower("title")], view=c("root_key"), folder_root=c("root_id"), folder=folder))
 
-    result = out[0]
-    for df in out[1:]:
-        result = result.unionByName(df)
-    return result
+    return written_together(out, "tree-items")
 
 
 def children(tree: DataFrame, node: str) -> DataFrame:
@@ -354,11 +349,8 @@ def node_counts(lib: Library, recent: int = 25) -> DataFrame:
     out.append(made(per.filter("level = 0"), K.dir_id(c("root_id"), F.lit("")), c("n")))
     out.append(made(counts.folder_counts(lib.files), K.dir_id(c("root_id"), c("rel_dir")), c("n")))
 
-    result = out[0]
-    for df in out[1:]:
-        result = result.unionByName(df)
     # a bucket nothing falls into still shows a zero
-    return result.unionByName(empty).groupBy("count_id").agg(F.max("n").alias("n"))
+    return written_together([*out, empty], "tree-counts").groupBy("count_id").agg(F.max("n").alias("n"))
 
 
 SECTIONS = ["mv", "mu", "tv"]

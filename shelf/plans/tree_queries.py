@@ -10,7 +10,7 @@ from shelf.operators.windows import ordered_columns
 from shelf.plans import tree
 from shelf.plans.browse_queries import MERGE_SQL, RECENT_SQL, SORT_KEY, episodes, movies, tracks
 from shelf.plans.registry import query
-from shelf.session import written
+from shelf.session import written, written_each
 from shelf.sources.bridge import table, view
 
 
@@ -35,7 +35,7 @@ def library(spark, sf) -> tree.Library:
     t = tracks(spark, sf).withColumns({"file_id": -F.col("file_id"), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int")})
     t = t.select(*copy, "artist", "album_artist", "album", "disc_no", "track_no", "year", "genre", one("genre").alias("genres"))
     e = episodes(spark, sf).select(*copy, "series", "season", "episode", "aired", "rating")
-    m, t, e = (written(df, name) for df, name in ((m, "movies"), (t, "tracks"), (e, "episodes")))
+    m, t, e = written_each({"movies": m, "tracks": t, "episodes": e}).values()
     # each of the bridge's files has one fact row, so what ``items.any_items`` joins is at hand
     held = ["file_id", "kind", "root_id", "rel_path", "size", "duration_ms", "width", "height", "title"]
     parts = [df.withColumn("kind", F.lit(kind)).select(*held, *known) for df, kind, known in (
@@ -169,7 +169,7 @@ def _(spark, sf):
 @query("c2_listings", ITEMS_SQL + f"SELECT node_id, file_id, title FROM ni WHERE node_id IN ('mv:recent', 'mv:rating:0', 'tv:4k', 'mv:4k') ORDER BY node_id, {LISTED}")
 def _(spark, sf):
     """Single nodes opened one by one."""
-    found = written(tree.node_items(library(spark, sf)), "items")
+    found = tree.node_items(library(spark, sf))
     out = [tree.listing(found, node).select("node_id", "file_id", "title") for node in ("mv:recent", "mv:rating:0", "tv:4k", "mv:4k")]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
@@ -323,7 +323,7 @@ SEARCH_SQL = FLAT_SQL + f", s AS (SELECT scope, kind, file_id, {HAY} AS hay, {SH
 @query("f11_search", SEARCH_SQL + " UNION ALL ".join(found_sql(s, t) for s, t in SEARCHED.items()))
 def _(spark, sf):
     """A search in a section of each kind, in a folder and in a view whose lists overlap."""
-    found = written(tree.node_items(library(spark, sf)), "items")
+    found = tree.node_items(library(spark, sf))
     out = None
     for scope, terms in SEARCHED.items():
         hits = search.search(tree.flatten_scope(found, scope), terms).select(F.lit(scope).alias("scope"), "file_id", "title")
@@ -372,7 +372,7 @@ def _(spark, sf):
 
 @query("l5_search_cap", SEARCH_SQL + found_sql("mv", ["e"]) + " UNION ALL " + found_sql("mu", ["a"]))
 def _(spark, sf):
-    found = written(tree.node_items(library(spark, sf)), "items")
+    found = tree.node_items(library(spark, sf))
     out = [search.search(tree.flatten_scope(found, scope), [term]).select(F.lit(scope).alias("scope"), "file_id", "title") for scope, term in (("mv", "e"), ("mu", "a"))]
     return out[0].unionByName(out[1])
 

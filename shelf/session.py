@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,6 +57,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_each(frames: dict[str, DataFrame], at_once: int = 8) -> dict[str, DataFrame]:
+    """``written`` for several frames, by jobs of their own, several at once."""
+    spark = next(iter(frames.values())).sparkSession
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = {name: pool.submit(inheritable_thread_target(spark)(written), df, name) for name, df in frames.items()}
+        return {name: job.result() for name, job in jobs.items()}
+
+
+def written_together(parts: list[DataFrame], name: str) -> DataFrame:
+    """The union of frames with the same columns, each written by a job of its own.
+
+    A union of many aggregates is one plan that is optimised anew whenever one of its stages ends; small plans are not.
+    """
+    done = list(written_each({f"{name}-{i}": df for i, df in enumerate(parts)}).values())
+    out = done[0]
+    for df in done[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def discard(spark: SparkSession) -> None:
     """Delete what ``written`` has left of this application; frames that still read it fail."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
