@@ -1,9 +1,8 @@
-"""Sharding by balanced label propagation: linked documents begin in whole groups and move to the shard where most of their neighbours
-are, within quotas."""
+"""Sharding by balanced label propagation: linked documents begin in shards cut from a hash-random order of their groups and move in
+rounds to shards where more of their neighbours are, within quotas."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 from itertools import count
 
@@ -28,142 +27,174 @@ def _loads(parts: DataFrame, shards: int) -> list[int]:
     return [found.get(j, 0) for j in range(shards)]
 
 
-def pack(sizes: dict[int, int], quotas: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """Seats of groups, of which ``sizes`` holds the number by size: (size, first, end, shard, n), n rows of the groups first to end - 1.
-
-    The largest groups come first, each size where there is room; a group larger than a quota fills shards that are empty. Where
-    a group fits nowhere, shards exchange a group for a smaller one (or give one away) until it fits; only if no exchange makes
-    it fit is it split, over as few shards as can be. There are at most sqrt(2 * rows) sizes.
+def granted(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """Rows that may go from one shard to another, of the ``asked`` sums by (from, to): into free room first, then around cycles of
+    asking shards, which leave every load as it is. Both arguments have at most shards squared numbers."""
+    left, given, room = dict(asked), Counter(), list(room)
+
+    def give(arcs: list[tuple[int, int]], n: int) -> None:
+        for arc in arcs:
+            left[arc] -= n
+            given[arc] += n
+
+    moved = True
+    while moved:
+        moved = False
+        for i, j in sorted(left, key=lambda arc: (-left[arc], arc)):
+            if (n := min(left[i, j], room[j])) > 0:
+                give([(i, j)], n)
+                room[i] += n
+                room[j] -= n
+                moved = True
+    for i, j in sorted(left, key=lambda arc: (-left[arc], arc)):
+        while left[i, j] and (back := _path(left, j, i)):
+            arcs = [(i, j), *back]
+            give(arcs, min(left[arc] for arc in arcs))
+    return {arc: n for arc, n in given.items() if n}
+
+
+def _path(left: dict[tuple[int, int], int], begin: int, end: int) -> list[tuple[int, int]]:
+    """A shortest way from ``begin`` to ``end`` over arcs on which rows are left; empty if there is none."""
+    after: dict[int, list[int]] = {}
+    for (i, j), n in sorted(left.items()):
+        if n:
+            after.setdefault(i, []).append(j)
+    came, queue = {begin: None}, [begin]
+    for i in queue:
+        for j in after.get(i, ()):
+            if j not in came:
+                came[j] = i
+                queue.append(j)
+    way = []
+    while came.get(end) is not None:
+        way.append((came[end], end))
+        end = came[end]
+    return way[::-1]
+
+
+def _exchanges(asked: DataFrame, split: DataFrame, whole: DataFrame, turn: int) -> list[tuple[str, int, int, int]]:
+    """Exchanges of as many rows of two links between two full shards, as moves (link, shard, to, move).
+
+    A part joins its link's other part and rows of the smallest part there that is as large take its place: what the first gains
+    in edges is more than what the second loses. A turn has one exchange a shard, so at most ``shards`` moves come to the driver.
     """
-    room = list(quotas)
-    held = [Counter() for _ in quotas]  # whole groups by size, and rests of groups larger than a quota
-    big: list[list] = []  # [size, {shard: n}, rest] of a group that no shard holds
-    most = max(quotas, default=0)
-    for size in sorted((s for s in sizes if s > most), reverse=True):
-        for _ in range(sizes[size]):
-            parts: dict[int, int] = {}
-            rest = size
-            for j in sorted(range(len(room)), key=lambda j: -room[j]):
-                if rest > most and room[j] == quotas[j] > 0:
-                    parts[j] = room[j]
-                    rest -= room[j]
-                    room[j] = 0
-            big.append([size, parts, rest])
-    todo = Counter({s: n for s, n in sizes.items() if s <= most}) + Counter(rest for _, _, rest in big if rest)
-    left: list[int] = []
-    for size in sorted(todo, reverse=True):
-        n = todo[size]
-        for j in sorted(range(len(room)), key=lambda j: room[j]):
-            if fit := min(n, room[j] // size):
-                held[j][size] += fit
-                room[j] -= fit * size
-                n -= fit
-        left += [size] * n
-
-    def exchanged(need: int) -> bool:
-        """Places a group of ``need`` rows by an exchange between two shards."""
-        order = [sorted(+h) for h in held]
-        for i in sorted(range(len(room)), key=lambda i: -room[i]):
-            least = need - room[i]
-            for j in range(len(room)):
-                if j == i or room[j] < least:
-                    continue
-                for s in order[i]:
-                    if s < least:
-                        continue
-                    if s <= room[j]:
-                        back = 0
-                    else:
-                        k = bisect_left(order[j], s - room[j])
-                        if k == len(order[j]) or order[j][k] > s - least:
-                            continue
-                        back = order[j][k]
-                    held[i][s] -= 1
-                    held[j][s] += 1
-                    if back:
-                        held[j][back] -= 1
-                        held[i][back] += 1
-                    held[i][need] += 1
-                    room[i] += s - back - need
-                    room[j] -= s - back
-                    return True
-        return False
-
-    split: list[tuple[int, dict[int, int]]] = []
-    for size in left:
-        if (j := next((j for j in range(len(room)) if room[j] >= size), None)) is not None:
-            held[j][size] += 1
-            room[j] -= size
-        elif not exchanged(size):
-            parts, rest = {}, size
-            for j in sorted(range(len(room)), key=lambda j: -room[j]):
-                if n := min(rest, room[j]):
-                    parts[j] = n
-                    rest -= n
-                    room[j] -= n
-            split.append((size, parts))
-    for group in big:  # their rests are groups of their size like others, so any of these will do
-        rest = group[2]
-        if rest:
-            j = next((j for j in range(len(held)) if held[j][rest] > 0), None)
-            if j is not None:
-                held[j][rest] -= 1
-                more = {j: rest}
-            else:
-                k = next(k for k, (size, _) in enumerate(split) if size == rest)
-                more = split.pop(k)[1]
-            for j, n in more.items():
-                group[1][j] = group[1].get(j, 0) + n
-    seats = []
-    at: Counter = Counter()
-    for j, h in enumerate(held):
-        for size, n in sorted((+h).items()):
-            seats.append((size, at[size], at[size] + n, j, size))
-            at[size] += n
-    for size, parts in [*split, *((size, parts) for size, parts, _ in big)]:
-        seats += [(size, at[size], at[size] + 1, j, n) for j, n in parts.items()]
-        at[size] += 1
-    return seats
-
-
-def propagate(parts: DataFrame, quotas: list[int], rounds: int | None = None, seed: str = "shard") -> DataFrame:
-    """Move rows between the (link, shard, n) parts of linked rows; returns the parts where no move is left, or after ``rounds`` if given.
-
-    Rows of one link in one shard are alike, so a round moves counts and no hot link is gathered. A link's parts want to go to its
-    largest part in a shard with room (ties: by hash), if that is not smaller than they are; a shard takes what comes, in a
-    hash-random order, up to its room at the round's start. Cut edges never rise: a part only joins one at least as large.
+    both = asked.select("link", "shard", "to", "n", "held").unionAll(asked.select("link", "to", "shard", "held", "n"))
+    best = F.min_by(F.struct("link", "n", "held"), F.struct("n", F.xxhash64(F.lit(turn), "link")))
+    asks = both.groupBy("shard", "to").agg(best.alias("a")).select("shard", "to", "a.*")
+    # two links of each size a shard, as one may be the asking one
+    sizes = split.unionByName(whole).groupBy(F.col("shard").alias("there"), F.col("n").alias("size")).agg(F.min("link").alias("low"), F.max("link").alias("high"))
+    other = F.when(F.col("low") != F.col("link"), F.col("low")).when(F.col("high") != F.col("link"), F.col("high"))
+    fits = (F.col("there") == F.col("to")) & (F.col("size") >= F.col("n")) & (F.col("size") - F.col("n") < F.col("held"))
+    found = (
+        asks.join(sizes, fits).withColumn("other", other).filter("other is not null")
+        .groupBy("shard", "to", "link", "n", "held").agg(F.min(F.struct("size", "other")).alias("m")).collect()  # at most shards squared rows
+    )
+    used: set = set()
+    moves = []
+    for r in sorted(found, key=lambda r: (-r["n"] * (r["held"] + r["n"] - r["m"]["size"]), r["shard"], r["to"])):
+        takes = {r["shard"], r["to"], r["link"], r["m"]["other"]}
+        if not takes & used:
+            used |= takes
+            moves += [(r["link"], r["shard"], r["to"], r["n"]), (r["m"]["other"], r["to"], r["shard"], r["n"])]
+    return moves
+
+
+def _pieces(parts: DataFrame) -> DataFrame:
+    """Parts with the number of parts of their link, written; a link has one part a shard at most."""
+    return common.saved(parts.select("link", "shard", "n", F.count(F.lit(1)).over(Window.partitionBy("link")).alias("pieces")), "shard-parts")
+
+
+def propagate(parts: DataFrame, quotas: list[int], rounds: int | None = None, seed: str = "shard", log: list | None = None) -> DataFrame:
+    """Move rows between the (link, shard, n) parts of linked rows; returns the parts after two rounds in a row without a move, or
+    after ``rounds`` if given.
+
+    Rows of one link in one shard are alike, so a round moves counts and no hot link is gathered. The smaller parts of a link ask
+    to join its larger ones (the smallest the largest, and so on; ties by a hash that changes with the round); every second round
+    they ask only for shards with room. What may go from shard to shard is settled by sums (``granted``), who goes by a hash-random
+    order; where nothing may, shards exchange rows of two links (``_exchanges``). Each move leaves fewer cut edges, so there is a last
+    one. Links in one piece leave the rounds, unless an exchange takes them up. ``log`` gets a dict a round: turn, moved
+    rows, and the edges that splits cut after it.
     """
-    shards = len(quotas)
-    for turn in count() if rounds is None else range(rounds):  # each move makes the sum of squared parts larger, so there is a last
-        room = [q - n for q, n in zip(quotas, _loads(parts, shards))]
-        rank = Window.partitionBy("link").orderBy(F.desc("n"), F.xxhash64("link", "shard"), "shard")
-        place = F.row_number().over(rank)
-        free = F.when(_pick(room, F.col("shard")) > 0, F.struct("place", "shard"))
+    spark, shards = parts.sparkSession, len(quotas)
+    loads = _loads(parts, shards)
+    parts = _pieces(parts)
+    split, whole = (parts.filter(c).select("link", "shard", "n") for c in ("pieces > 1", "pieces = 1"))
+    idle = 0
+    for turn in count() if rounds is None else range(rounds):
+        room = [q - n for q, n in zip(quotas, loads)]
+        roomy = (_pick(room, F.col("shard")) > 0) if turn % 2 else F.lit(True)
+        order = Window.partitionBy("link").orderBy(F.desc(roomy), F.desc("n"), F.xxhash64(F.lit(turn), "link", "shard"), "shard")
+        all_ = F.collect_list(F.struct("shard", "n")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # one a shard
+        placed = split.filter(F.col("n") < _pick(quotas, F.col("shard"))).withColumn("place", F.row_number().over(order)).withColumn("all", all_)
         asked = (
-            parts.withColumn("place", place)
-            .withColumn("to", F.min(free).over(Window.partitionBy("link")))
-            .filter(F.col("place") > F.col("to.place"))
-            .select("link", "shard", "n", F.col("to.shard").alias("to"), common.order_key(f"{seed}{turn}", F.col("link"), F.col("shard")).alias("key"))
+            placed.filter(2 * F.col("place") > F.size("all") + 1).withColumn("with", F.element_at("all", -F.col("place")))
+            .select("link", "shard", "n", F.col("with.shard").alias("to"), F.col("with.n").alias("held"))
+            .filter("held >= n").withColumn("key", common.order_key(f"{seed}{turn}", F.col("link"), F.col("shard")))
         )
         asked = common.saved(asked, "shard-asked")
-        moves = common.saved(
-            common.ranked(asked, ["to"], "key", "n", "ahead", ["link", "shard"])
-            .withColumn("move", F.greatest(F.lit(0), F.least(F.col("n"), _pick(room, F.col("to")) - F.col("ahead"))).cast("long"))
-            .filter("move > 0").select("link", "shard", "to", "move"),
-            "shard-moves",
-        )
-        if not moves.take(1):
-            break
+        wanted = {(r["shard"], r["to"]): r["n"] for r in asked.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+        given = granted(wanted, room)
+        taken = None
+        if given:
+            gives = spark.createDataFrame([(i, j, n) for (i, j), n in given.items()], "shard int, to int, give long")
+            moves = common.ranked(asked, ["shard", "to"], "key", "n", "ahead", ["link"]).join(F.broadcast(gives), ["shard", "to"])
+            moves = moves.withColumn("move", F.least(F.col("n"), F.col("give") - F.col("ahead"))).filter("move > 0").select("link", "shard", "to", "move")
+        else:
+            pairs = _exchanges(asked, split, whole, turn) if wanted else []
+            if not pairs:
+                idle += 1
+                if idle == 2 or not wanted and turn % 2 == 0:
+                    break
+                continue
+            moves = spark.createDataFrame(pairs, "link string, shard int, to int, move long")
+            links = F.broadcast(moves.select("link").distinct())
+            taken = whole.join(links, "link", "left_semi").select("link", "shard", "n")
+            whole = common.saved(whole.join(links, "link", "left_anti").select("link", "shard", "n"), "shard-whole")
+            given = Counter()
+            for _, i, j, n in pairs:
+                given[i, j] += n
+        idle = 0
+        for (i, j), n in given.items():
+            loads[i] -= n
+            loads[j] += n
         changes = moves.select("link", "shard", (-F.col("move")).alias("n")).unionAll(moves.select("link", F.col("to").alias("shard"), F.col("move").alias("n")))
-        parts = common.saved(parts.select("link", "shard", "n").unionAll(changes).groupBy("link", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "shard-parts")
-    return parts
+        before = split if taken is None else split.unionByName(taken)
+        parts = _pieces(before.unionByName(changes).groupBy("link", "shard").agg(F.sum("n").alias("n")).filter("n > 0"))
+        split = parts.filter("pieces > 1").select("link", "shard", "n")
+        whole = whole.unionByName(parts.filter("pieces = 1").select("link", "shard", "n"))
+        if log is not None:
+            log.append({"turn": turn, "moved": sum(given.values()), "cut": cut_edges(split)})
+    return whole.unionByName(split)
+
+
+def cut_edges(parts: DataFrame) -> int:
+    """Pairs of rows of one link that are not in one shard."""
+    links = parts.groupBy("link").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    return links.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2), F.lit(0))).first()[0]
+
+
+def cut(groups: DataFrame, quotas: list[int]) -> DataFrame:
+    """The first (link, shard, n) parts of ``groups`` (link, mates, key): in hash-random order, cut where each shard has its share.
+
+    At most one group is split at the border of two shards, besides those larger than a share. A shard's share is that part of its
+    quota which linked rows are of all, so each has room for moves as far as there are rows without a neighbour.
+    """
+    linked = groups.agg(F.sum("mates").alias("n")).first()["n"] or 0
+    rows = sum(quotas)
+    begins = [linked * sum(quotas[:j]) // rows if rows else 0 for j in range(len(quotas) + 1)]
+    begun = F.array(*[F.lit(int(b)).cast("long") for b in begins[:-1]])
+    shard = lambda x: F.size(F.filter(begun, lambda b: b <= x)) - 1
+    last = F.col("ahead") + F.col("mates") - 1
+    spread = common.ranked(groups, [], "key", "mates", "ahead", ["link"]).withColumn("shard", F.explode(F.sequence(shard(F.col("ahead")), shard(last))))
+    n = F.least(last + 1, _pick(begins[1:], F.col("shard")).cast("long")) - F.greatest(F.col("ahead"), _pick(begins[:-1], F.col("shard")).cast("long"))
+    return spread.select("link", F.col("shard").cast("int").alias("shard"), n.cast("long").alias("n")).filter("n > 0")
 
 
 def assign(docs: DataFrame, link: Column, id: str = "doc_id", shards: int = SHARDS, rounds: int | None = None, seed: str = "shard") -> DataFrame:
     """All columns of ``docs`` as a struct ``row``, with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in its shard).
 
     Rows are linked when they share a ``link`` value (a hyperedge; null links nothing). Shards differ by one row at most. Linked
-    rows start in whole groups (``pack``) and move by ``propagate``; a row without a neighbour cuts no edge anywhere, so these fill
+    rows start as ``cut`` leaves them and move by ``propagate``; a row without a neighbour cuts no edge anywhere, so these fill
     what the quotas leave. Rows that repeat are rows of their own, a null id counts as an empty one, an empty table gives no rows.
     """
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id).alias("id"), link.alias("link"))
@@ -174,14 +205,10 @@ def assign(docs: DataFrame, link: Column, id: str = "doc_id", shards: int = SHAR
     linked, single = base.filter("mates > 1"), base.filter("mates = 1")
     counts = base.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     quotas = [counts // shards + (j < counts % shards) for j in range(shards)]
-    groups = linked.filter("pos = 0").select("link", F.col("mates").cast("long").alias("mates"), "one", common.order_key(seed, F.col("link")).alias("key"))
+    groups = linked.filter("pos = 0").select("link", F.col("mates").cast("long").alias("mates"), common.order_key(seed, F.col("link")).alias("key"))
     groups = common.saved(groups, "shard-groups")
-    sizes = {r["mates"]: r["n"] for r in groups.groupBy("mates").agg(F.sum("one").alias("n")).toLocalIterator()}
-    plan = base.sparkSession.createDataFrame(pack(sizes, quotas), "size long, begin long, end long, shard int, n long")
-    dealt = common.ranked(groups, ["mates"], "key", "one", "rank", ["link"])
-    here = (F.col("mates") == F.col("size")) & (F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("end"))
-    parts = common.saved(dealt.join(F.broadcast(plan), here).select("link", "shard", "n"), "shard-parts")
-    parts = propagate(parts, quotas, rounds, seed)
+    parts = common.saved(cut(groups, quotas), "shard-parts")
+    parts = common.saved(propagate(parts, quotas, rounds, seed), "shard-settled")
     loads = _loads(parts, shards)
 
     first = F.coalesce(F.sum("n").over(Window.partitionBy("link").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,11 +1,14 @@
 """Nulls, empty and long texts, ties and repeats, empty tables and clashing column names, for each operator."""
 
 import math
+from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelf.llm import common, decontam, hmm, licenses, mixing, quality, repeats, sharding, simhash, urls, warc
+from tests.llm.packing import pack
 
 SCHEMA = "doc_id long, text string, source string, row string, size long, quality string, _words string, hits string, licenses string, shard int"
 LONG = " ".join(f"w{i}" for i in range(60_000))
@@ -98,7 +101,7 @@ def test_copies_stay_together_where_all_rows_have_one(spark, rows, mates, split)
 ])
 def test_pack(sizes, quotas, split):
     parts, loads = {}, [0] * len(quotas)
-    for size, begin, end, shard, n in sharding.pack(sizes, quotas):
+    for size, begin, end, shard, n in pack(sizes, quotas):
         for k in range(begin, end):
             parts.setdefault((size, k), []).append(n)
             loads[shard] += n
@@ -107,6 +110,39 @@ def test_pack(sizes, quotas, split):
     assert sum(len(ns) > 1 for ns in parts.values()) <= split
 
 
+@pytest.mark.parametrize("mates", [2, 3, 7])
+def test_propagation_from_hash_placement(spark, mates):
+    """Every row starts in a shard by hash, all shards are full: loads stay, cut edges fall each round and few groups stay split."""
+    shards, rows = 8, 8 * 126
+    at = F.row_number().over(Window.orderBy(F.md5(F.col("id").cast("string")))) - 1
+    start = spark.range(rows).select((F.col("id") % (rows // mates)).cast("string").alias("link"), (at % shards).cast("int").alias("shard"))
+    start = common.saved(start.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n")), "test-start")
+    log = [{"cut": sharding.cut_edges(start), "moved": 0}]
+    quotas = [rows // shards] * shards
+    end = sharding.propagate(start, quotas, log=log)
+    assert len(log) > 2 and all(b["cut"] < a["cut"] and b["moved"] > 0 for a, b in zip(log, log[1:]))
+    parts = end.collect()
+    loads, homes = Counter(), Counter()
+    for r in parts:
+        loads[r["shard"]] += r["n"]
+        homes[r["link"]] += 1
+    assert [loads[j] for j in range(shards)] == quotas and sum(r["n"] for r in parts) == rows
+    best = sum(n > 1 for n in Counter((size, k) for size, b, e, _, _ in pack({mates: rows // mates}, quotas) for k in range(b, e)).values())
+    assert best == 0 and sum(n > 1 for n in homes.values()) <= shards
+    assert log[-1]["cut"] <= 0.05 * log[0]["cut"]
+
+
+@pytest.mark.parametrize("asked, room, moved", [
+    ({(0, 1): 5, (1, 0): 3}, [0, 0], 6), ({(0, 1): 5, (1, 2): 4, (2, 0): 2}, [0, 0, 0], 6), ({(0, 1): 5}, [0, 2], 2), ({(0, 1): 5, (1, 2): 5}, [0, 0, 5], 10),
+    ({(0, 1): 4}, [9, 0], 0), ({}, [1], 0),
+])
+def test_granted_moves_keep_quotas(asked, room, moved):
+    given = sharding.granted(asked, room)
+    assert sum(given.values()) == moved and all(n <= asked[a] for a, n in given.items())
+    for j, free in enumerate(room):
+        assert sum(n for (_, t), n in given.items() if t == j) - sum(n for (f, _), n in given.items() if f == j) <= free
+
+
 def test_quality(docs, none):
     got = quality.measured(docs)
     assert got.columns == [*docs.columns, "quality_"]
