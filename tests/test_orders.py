@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,33 @@ def test_head_and_tail_are_cut_from_either_end(spark):
     items = spark.range(1000).select(F.lit("s").alias("season"), F.lit(1).alias("file_id"), F.lit(1).alias("episode"), F.col("id").alias("pos"), F.col("id").alias("item"))
     got = segments.head_and_tail(items, segments.Matching(item_s=1.0)).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("low"), F.max("pos").alias("top")).collect()
     assert {r["part"]: (r["n"], r["low"], r["top"]) for r in got} == {"head": (600, 0, 599), "tail": (300, 700, 299)}
+
+
+def test_votes_and_matches_leave_no_pairings_behind(spark):
+    """Sixty files of one season that share frequent hashes: what is shuffled or returned follows the files, not their pairs."""
+    rng = random.Random(5)
+    rows = [("s", "head", f, f, i, rng.randrange(40) << 20) for f in range(60) for i in range(200)]
+    prints = spark.createDataFrame(rows, "season string, part string, file_id long, episode long, pos long, item long")
+    cells = segments.dealt(prints)
+    assert cells.agg(F.sum(F.size("pos"))).first()[0] == len(rows)
+    plan = segments.votes(prints, segments.Matching(min_votes=20))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate explode(met" not in plan
+
+
+def test_places_paired_a_few_at_a_time_agree_with_all_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    file, at, pos = np.repeat(np.arange(9), 50), np.tile(np.arange(50), 9), np.arange(50)
+    key = (rng.integers(0, 12, 450) << 32) + file
+    order = np.argsort(key, kind="stable")
+    call = lambda: np.concatenate(list(segments._agreeing(pos, pos % 12, key[order], at[order], 50, (2, 9), 5)), axis=1)
+    whole = call()
+    monkeypatch.setattr(segments, "PAIRED", 300)
+    assert whole.shape[1] > 50 and call().tolist() == whole.tolist()
+
+
+def test_matches_where_a_print_has_gaps(spark):
+    rows = [("s", "head", f, f, i, i << 8) for f in (1, 2) for i in range(3, 40) if (f, i) not in ((1, 9), (2, 20))]
+    prints = spark.createDataFrame(rows, "season string, part string, file_id long, episode long, pos long, item long")
+    ways = spark.createDataFrame([("s", "head", 1, 2, 0, 12, 1)], "season string, part string, a_id long, b_id long, offset long, votes long, vote_rank int")
+    got = [r["pos"] for r in segments.aligned(prints, ways, segments.Matching(max_bits=0)).collect()]
+    assert sorted(got) == [i for i in range(3, 40) if i not in (9, 20)]
