@@ -153,12 +153,15 @@ def match_movies(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
         candidates.select(F.col("tmdb_id").alias("match_id")).distinct(), F.col("tmdb_id") == F.col("match_id"), "left"
     ).select("task_id", "match_id", F.lit("pin").alias("how"))
     open_ = tasks.filter("tmdb_id is null").select("task_id", F.lower(F.trim("title")).alias("_t"), "year")
-    c = candidates.select(F.lower(F.trim("title")).alias("_t"), F.col("year").alias("_y"), "is_primary", "rank", F.col("tmdb_id").alias("match_id"))
-    dated = open_.filter("year is not null").join(c.withColumnRenamed("_y", "year"), ["_t", "year"])
-    plain = open_.filter("year is null").join(c, "_t").select("_t", F.lit(None).cast("int").alias("year"), "task_id", "is_primary", "rank", "match_id")
-    tier = F.when(F.col("year").isNull(), 0).when(F.col("is_primary"), 0).otherwise(1)
-    best = dated.select("task_id", "match_id", "rank", tier.alias("tier")).unionByName(plain.select("task_id", "match_id", "rank", tier.alias("tier")))
-    best = best.groupBy("task_id").agg(F.min_by("match_id", F.struct("tier", "rank", "match_id")).alias("match_id"), F.min("tier").alias("tier"))
+    # candidates of one title (and year) are ranked alike for every task, so a task meets the best of them and not each
+    c = candidates.select(
+        F.lower(F.trim("title")).alias("_t"), F.col("year").alias("_y"), F.when(F.col("is_primary"), 0).otherwise(1).alias("tier"), "rank", F.col("tmdb_id").alias("match_id")
+    )
+    released = c.groupBy("_t", F.col("_y").alias("year")).agg(F.min_by("match_id", F.struct("tier", "rank", "match_id")).alias("match_id"), F.min("tier").alias("tier"))
+    titled = c.groupBy("_t").agg(F.min_by("match_id", F.struct("rank", "match_id")).alias("match_id"), F.lit(0).alias("tier"))
+    dated = open_.filter("year is not null").join(released, ["_t", "year"])
+    plain = open_.filter("year is null").join(titled, "_t")
+    best = dated.select("task_id", "match_id", "tier").unionByName(plain.select("task_id", "match_id", "tier"))
     searched = open_.select("task_id").join(best, "task_id", "left").select(
         "task_id", "match_id", F.when(F.col("tier") == 0, "exact").when(F.col("tier") == 1, "loose").alias("how")
     )

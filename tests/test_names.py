@@ -146,3 +146,24 @@ def test_decode_subtitles(spark):
     assert get(b"\xff\xfe" + "hé".encode("utf-16-le")) == "hé" and get(b"\xfe\xff" + "hé".encode("utf-16-be")) == "hé"
     assert get(b"x" * 99 + b"\x92") == "x" * 99 + "’"
     assert get(b"\xe9\xe8\xe7") is None
+
+
+def test_sizes_round_a_half_to_the_even_digit(spark):
+    sizes = [5, 1023, 1024, 1152, 203_904, 203_776, 1_048_575, 1_048_576, 10_485_760 * 100 + 5243, 3 * 1024**4 + 1024**4 // 8]
+    got = spark.createDataFrame([(s,) for s in sizes], "s long").select(formats.human_size(F.col("s")).alias("t")).collect()
+    units = [(1024**4, "TB"), (1024**3, "GB"), (1024**2, "MB"), (1024, "KB")]
+    want = [next((f"{s / u:.2f} {n}" for u, n in units if s >= u), f"{s} B") for s in sizes]
+    assert [r["t"] for r in got] == want and "199.12 KB" in want
+
+
+def test_tasks_of_one_title_meet_the_best_candidate_alone(spark):
+    tasks = spark.createDataFrame([(i, "T", None if i % 2 else 2000, None) for i in range(40)], "task_id long, title string, year int, tmdb_id long")
+    found = [(100 + i, " t ", 2000 + i % 3, i % 4 == 1, i % 5) for i in range(30)]
+    candidates = spark.createDataFrame(found, "tmdb_id long, title string, year int, is_primary boolean, rank int")
+    got = enrich.match_movies(tasks, candidates)
+    dated = min((0 if p else 1, r, k) for k, _, y, p, r in found if y == 2000)
+    plain = min((r, k) for k, _, _, _, r in found)
+    assert {r["task_id"]: (r["match_id"], r["how"]) for r in got.collect()} == {
+        i: (plain[1], "exact") if i % 2 else (dated[2], "loose" if dated[0] else "exact") for i in range(40)}
+    joins = [n for n in str(got._jdf.queryExecution().optimizedPlan().toString()).splitlines() if "Join Inner" in n]
+    assert len(joins) == 2 and "is_primary" not in "".join(joins)
