@@ -34,11 +34,18 @@ def clock(ms: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes in 1024 steps up to TB, two decimals from KB on."""
+    """Bytes in 1024 steps up to TB, two decimals from KB on, a half to the even digit."""
+    def hundredths(unit: int) -> Column:
+        part = (size % unit) * 100
+        digits, rest = _div(part, unit), (part % unit) * 2
+        up = (rest > unit) | ((rest == unit) & (digits % 2 == 1))
+        digits = digits + F.when(up, 1).otherwise(0)
+        return F.concat(_s(_div(size, unit) + _div(digits, 100)), F.lit("."), _two(digits % 100))
+
     out = F.when(size < 1024, F.concat(_s(size), F.lit(" B")))
     for power, unit in enumerate(["KB", "MB", "GB"], start=1):
-        out = out.when(size < 1024 ** (power + 1), F.concat(F.format_string("%.2f", size / float(1024**power)), F.lit(" " + unit)))
-    return out.otherwise(F.concat(F.format_string("%.2f", size / float(1024**4)), F.lit(" TB")))
+        out = out.when(size < 1024 ** (power + 1), F.concat(hundredths(1024**power), F.lit(" " + unit)))
+    return out.otherwise(F.concat(hundredths(1024**4), F.lit(" TB")))
 
 
 def fps_label(fps: Column) -> Column:
