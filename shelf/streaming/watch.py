@@ -4,81 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelf.operators.watch import FINISHED, dismissal_group
 
-STATE = (
-    "profile_id long, key string, file_id long, position_ms long, duration_ms long, watched boolean, updated_at timestamp, "
+CHANGE = (
+    "profile_id long, key string, file_id long, position_ms long, duration_ms long, watched boolean, updated_us long, "
     "dismissed boolean, removed boolean"
 )
-VALUE = "file_id long, position_ms long, duration_ms long, watched boolean, updated_us long, dismissed boolean, gone boolean"
+NAMES = [c.split()[0] for c in CHANGE.split(", ")]
+PROGRAM = "key string, file_id long, position_ms long, duration_ms long, watched boolean, updated_us long, dismissed boolean, gone boolean"
+#: What the fold reads of an event, in this order.
+EVENT = ["key", "at", "event_id", "file_id", "event", "position_ms", "duration_ms", "seen"]
 
 
 class WatchFold(StatefulProcessor):
     """Holds every program of one series, so that one dismissal reaches all its episodes.
 
-    Reports older than what a program's state already reflects are dropped; a forgotten program keeps the time it was
+    A series is read and written whole, once a batch: calls to the state are what a series of few reports costs. Reports older than
+    what a program's state already reflects are dropped; a forgotten program keeps the time it was
     forgotten at until the watermark has passed it, so no late report brings it back.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", "key string", VALUE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        log = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        touched: dict[str, tuple] = {}
-
-        def current(k):
-            if k in touched:
-                return touched[k]
-            found = self.rows.getValue((k,)) if self.rows.containsKey((k,)) else None
-            return None if found is None else tuple(found)
-
-        for e in log.itertuples():
-            at = int(e.ts.value // 1000)
-            if e.event == "dismiss":
-                stored = [k[0] for k in self.rows.keys()]
-                for k in {*stored, *touched}:
-                    s = current(k)
-                    if s is not None and not s[6] and at >= s[4]:
-                        touched[k] = (s[0], 0, s[2], s[3], s[4], True, False)
+        self.programs = handle.getListState("programs", PROGRAM)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = {p[0]: tuple(p)[1:] for p in self.programs.get()}
+        touched = set()
+        for k, at, _, file_id, event, position_ms, duration, seen in sorted((r[-len(EVENT):] for r in rows), key=lambda e: (e[1], e[2])):
+            if event == "dismiss":
+                for k, s in held.items():
+                    if not s[6] and at >= s[4]:
+                        held[k] = (s[0], 0, s[2], s[3], s[4], True, False)
+                        touched.add(k)
                 continue
-            s = current(e.key)
+            s = held.get(k)
             if s is not None and at < s[4]:
                 continue
             if s is not None and s[6]:
                 s = None
-            duration = None if pd.isna(e.duration_ms) else int(e.duration_ms)
-            position = 0 if pd.isna(e.position_ms) else max(int(e.position_ms), 0)
+            position = max(position_ms or 0, 0)
             kept = duration if duration is not None else (s[2] if s else None)
             watched = bool(s[3]) if s else False
-            if e.event == "forget":
-                if s is not None:
-                    touched[e.key] = (s[0], 0, s[2], True, at, s[5], False) if watched else (None, 0, None, False, at, False, True)
-            elif e.event == "seen":
-                touched[e.key] = (int(e.file_id), 0, s[2] if s else None, bool(e.seen), at, False, False)
-            elif e.event == "ended" or (duration and duration > 0 and position >= duration * FINISHED):
-                touched[e.key] = (int(e.file_id), 0, kept, True, at, False, False)
+            if event == "forget":
+                if s is None:
+                    continue
+                new = (s[0], 0, s[2], True, at, s[5], False) if watched else (None, 0, None, False, at, False, True)
+            elif event == "seen":
+                new = (file_id, 0, s[2] if s else None, bool(seen), at, False, False)
+            elif event == "ended" or (duration and duration > 0 and position >= duration * FINISHED):
+                new = (file_id, 0, kept, True, at, False, False)
             else:
-                touched[e.key] = (int(e.file_id), position, kept, watched, at, False, False)
+                new = (file_id, position, kept, watched, at, False, False)
+            held[k] = new
+            touched.add(k)
 
-        out = []
-        for k, s in touched.items():
-            self.rows.updateValue((k,), s)
-            seen_at = None if s[6] else pd.Timestamp(s[4], unit="us")
-            out.append((key[0], k, s[0], s[1], s[2], s[3], seen_at, s[5], s[6]))
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        for k, s in [(k[0], tuple(v)) for k, v in self.rows.iterator()]:
-            if s[6] and s[4] < passed:
-                self.rows.removeKey((k,))
-        if out:
-            names = [c.split()[0] for c in STATE.split(", ")]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"profile_id": "int64", "file_id": "Int64", "position_ms": "int64", "duration_ms": "Int64"})
+        stays = [(k, *s) for k, s in held.items() if not (s[6] and s[4] < passed)]
+        if stays:
+            if touched or len(stays) < len(held):
+                self.programs.put(stays)
+        elif held:
+            self.programs.clear()
+        for k in touched:
+            s = held[k]
+            yield Row(**dict(zip(NAMES, (key[0], k, *s[:4], None if s[6] else s[4], *s[5:]))))
 
     def close(self) -> None:
         pass
@@ -86,11 +79,14 @@ class WatchFold(StatefulProcessor):
 
 def fold_stream(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """State changes out of a stream of watch events; a removed row is marked."""
-    return (
-        events.withColumn("scope", dismissal_group(F.col("key"))).withWatermark("ts", lateness)
+    reports = events.withColumn("scope", dismissal_group(F.col("key"))).withWatermark("ts", lateness)
+    changes = (
+        reports.select("ts", "profile_id", "scope", F.unix_micros("ts").alias("at"), *[c for c in EVENT if c != "at"])
+        .select("ts", "profile_id", "scope", *EVENT)
         .groupBy("profile_id", "scope")
-        .transformWithStateInPandas(statefulProcessor=WatchFold(), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
+        .transformWithState(statefulProcessor=WatchFold(), outputStructType=CHANGE, outputMode="Update", timeMode="EventTime")
     )
+    return changes.select(*[F.timestamp_micros("updated_us").alias("updated_at") if c == "updated_us" else c for c in NAMES])
 
 
 def change_sink(path: str):

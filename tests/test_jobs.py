@@ -277,3 +277,47 @@ def test_a_small_batch_writes_a_small_delta(spark, tmp_path):
     assert catalog.read_table(spark, base, "files").count() == 199_999 and catalog.last_batch(spark, base, "events") == 2
     # an older version still reads as it did
     assert catalog.read_table(spark, base, "files", 2).count() == 199_995
+
+
+def test_a_series_is_read_and_written_once_a_batch():
+    from shelf.streaming import watch
+
+    class Programs:
+        def __init__(self):
+            self.rows, self.calls = [], []
+
+        def get(self):
+            self.calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls.append("put")
+            self.rows = rows
+
+        def clear(self):
+            self.calls.append("clear")
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.programs = Programs()
+
+        def getListState(self, *_):
+            return self.programs
+
+    class Timers:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    handle, fold = Handle(), watch.WatchFold()
+    fold.init(handle)
+    report = lambda k, at, event="position": ("ts", 1, "tv|a|", k, at, at, 5, event, 10, 100, None)
+    first = list(fold.handleInputRows((1, "tv|a|"), iter([report(f"tv|a|1|{i % 20}", 2_000_000 + i) for i in range(200)]), Timers(0)))
+    assert len(first) == 20 and handle.programs.calls == ["get", "put"]
+    hidden = list(fold.handleInputRows((1, "tv|a|"), iter([report("tv|a|1|3", 2_000_500, "dismiss"), report("tv|a|1|4", 2_000_600)]), Timers(0)))
+    assert sorted(r["key"] for r in hidden if r["dismissed"]) == sorted(f"tv|a|1|{i}" for i in range(20) if i != 4)
+    gone = list(fold.handleInputRows((1, "tv|a|"), iter([report(f"tv|a|1|{i}", 2_000_700, "forget") for i in range(20)]), Timers(3000)))
+    assert all(r["removed"] and r["updated_us"] is None for r in gone) and handle.programs.rows == []
