@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelf.operators import segments
 from shelf.plans import tree
+from shelf.plans.tree_queries import library
 
 
 def test_number_keys_sort_as_numbers(spark):
@@ -35,6 +36,44 @@ def test_a_walk_takes_folders_before_the_files_beside_them(spark):
     assert walk("dir:1") == walk("mv:dir") == ["a/x/deep/er/2.mkv", "a/x/1.mkv", "a/y.mkv", "A b/q.mkv", "b/z.mkv", "top.mkv"]
 
 
+def test_places_are_counted_from_one_in_every_container(spark):
+    """Listings sorted once give the places of all containers, also where children overlap."""
+    rng = random.Random(4)
+    rows = [(f"mv:genre:{g}", i, tree.MARK.join([name, ""]), f"{rng.randrange(5)}{tree.MARK}{i:04d}") for g, name in ((1, "b"), (2, "a"), (3, "c")) for i in range(120) if rng.random() < 0.6]
+    rows += [("mv:all", i, "", f"{i % 7}{tree.MARK}{i:04d}") for i in range(120)]
+    items = spark.createDataFrame(rows, "node_id string, file_id long, at string, key string").withColumns({
+        "kind": F.lit("movies"), "view": F.lit(""), "folder_root": F.lit(None).cast("long"), "folder": F.lit(None).cast("string")})
+    got = {}
+    for r in tree.flatten(items).collect():
+        got.setdefault(r["scope"], {})[r["place"]] = r["file_id"]
+    order = sorted((at, key, i) for node, i, at, key in rows if node != "mv:all")
+    want = {"mv:genre": list(dict.fromkeys(i for _, _, i in order))}
+    for node, scopes in (("mv:all", ["mv:all", "mv", "0"]), *[(f"mv:genre:{g}", [f"mv:genre:{g}"]) for g in (1, 2, 3)]):
+        for scope in scopes:
+            want[scope] = [i for key, i in sorted((key, i) for n, i, _, key in rows if n == node)]
+    assert {s: [p[k + 1] for k in range(len(p))] for s, p in got.items()} == want
+    placed = {}
+    for r in tree.places(items).collect():
+        placed.setdefault(r["node_id"], {})[r["place"]] = r["file_id"]
+    assert all([placed[n][k + 1] for k in range(len(placed[n]))] == want[n] for n in placed) and len(placed) == 4
+
+
+def test_only_the_listings_asked_for_are_made(spark):
+    """A listing is the same by itself as among all, and needs no table but its own."""
+    lib = library(spark, "/root/testdata/sf0.001")
+    alone = tree.Library(movies=lib.movies.drop("mime", "duration_ms", "rel_path"), episodes=None, tv_series=None, tracks=None, files=None, roots=None)
+    shown = ["node_id", "file_id", "title", "key", "at"]
+    whole = tree.node_items(lib).filter("node_id like 'mv:%' and node_id not like 'mv:dir%'").select(*shown)
+    for leaves in (["mv:genre"], ["mv:year", "mv:4k"], ["mv:rating", "mv:set", "mv:recent"]):
+        kept = F.lit(False)
+        for leaf in leaves:
+            kept = kept | (F.col("node_id") == leaf) | F.col("node_id").startswith(leaf + ":")
+        got = tree.node_items(alone, leaves=leaves, fields=["title"])
+        assert [x for x in tree.ITEM_FIELDS if x in got.columns] == ["kind", "title"]
+        rows = lambda df: sorted(map(tuple, df.select(*shown).collect()))
+        assert rows(got) == rows(whole.filter(kept)) != []
+
+
 @pytest.mark.parametrize("crowd", [2, 256])
 def test_votes_against_plain_counting(spark, monkeypatch, crowd):
     monkeypatch.setattr(segments, "CROWD", crowd)
