@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelf.operators import segments
 from shelf.plans import tree
 from shelf.plans.tree_queries import library
+from shelf.sources.bridge import tasks_for
 
 
 def test_number_keys_sort_as_numbers(spark):
@@ -134,3 +135,30 @@ def test_matches_where_a_print_has_gaps(spark):
     ways = spark.createDataFrame([("s", "head", 1, 2, 0, 12, 1)], "season string, part string, a_id long, b_id long, offset long, votes long, vote_rank int")
     got = [r["pos"] for r in segments.aligned(prints, ways, segments.Matching(max_bits=0)).collect()]
     assert sorted(got) == [i for i in range(3, 40) if i not in (9, 20)]
+
+
+def test_medians_are_ranked_in_two_sorts_and_as_many_tasks_as_asked(spark):
+    rng = random.Random(8)
+    rows = [(f"s{i % 3}", "head", i % 7, float(rng.randrange(40)), float(rng.randrange(30, 90))) for i in range(300)]
+    told = spark.createDataFrame(rows, "season string, part string, file_id long, start double, end double")
+    needs = spark.createDataFrame([("s0", 1), ("s1", 2), ("s2", 15)], "season string, need int")
+    ranked = segments.consensus(told, needs, 40)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and "hashpartitioning(season#" in plan and ", 40), REPARTITION_BY_NUM" in plan
+    groups = {}
+    for season, _, f, a, b in rows:
+        groups.setdefault((season, f), []).append((a, b))
+    want = set()
+    for (season, f), found in groups.items():
+        start, end = (sorted(x)[len(found) // 2] for x in zip(*found))
+        if len(found) >= {"s0": 1, "s1": 2, "s2": 15}[season] and end > start:
+            want.add((season, f, start, end))
+    assert {(r["season"], r["file_id"], r["start"], r["end"]) for r in ranked.collect()} == want
+
+
+def test_a_larger_table_is_sorted_in_more_tasks(spark, tmp_path):
+    counts = []
+    for n in (1, 24):
+        spark.range(n * 1000).repartition(n).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        counts.append(tasks_for(spark, f"{tmp_path}/{n}", "lineitem"))
+    assert counts[0] < counts[1]
