@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from shelf.operators import frames
 from shelf.plans.registry import query
-from shelf.sources.bridge import table
+from shelf.sources.bridge import table, tasks_for
 
 LOG2_MAX = 4
 
 
 def pictures(spark, sf):
     """Pictures of each supplier's line items in key order; about one in sixteen starts a sequence."""
-    l = table(spark, sf, "lineitem")
+    # dealt by supplier at once, in as many tasks as the table has pieces, for the sums and the windows over them
+    l = table(spark, sf, "lineitem").repartition(tasks_for(spark, sf, "lineitem"), "l_suppkey")
     idx = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey"))
     k = (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 16
     nal = F.when(k == 0, 19).when(k < 6, 1).when(k < 9, 0).when(k == 9, 8).otherwise(1)
