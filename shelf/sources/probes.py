@@ -98,14 +98,17 @@ def streams(listings: DataFrame) -> DataFrame:
 
 
 def meter_levels(summaries: DataFrame) -> DataFrame:
-    """Loudness-meter output (file_id, text) as integrated, range and peak; without a summary no row."""
+    """Loudness-meter output (file_id, text) as integrated, range and peak; without a summary no row.
+
+    The values are read inside a generator: a filter above a projection would read the text again for each of its terms.
+    """
     tail = F.when(F.col("text").contains("Summary:"), F.substring_index("text", "Summary:", -1))
 
-    def value(label: str) -> Column:
-        v = F.regexp_extract(tail, rf"(?m)^[ \t]*{label}:[ \t]*(\S+)", 1).try_cast("double")
-        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    def value(text: Column, label: str) -> Column:
+        v = F.regexp_extract(text, rf"(?m)^[ \t]*{label}:[ \t]*(\S+)", 1).try_cast("double")
+        return let(v, lambda v: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v))
 
-    out = summaries.select(
-        "file_id", value("I").alias("integrated"), value("LRA").alias("loudness_range"), value("Peak").alias("true_peak")
-    )
-    return out.filter("integrated is not null and loudness_range is not null and true_peak is not null")
+    labels = {"integrated": "I", "loudness_range": "LRA", "true_peak": "Peak"}
+    levels = let(tail, lambda t: F.struct(*[value(t, label).alias(name) for name, label in labels.items()]))
+    whole = F.filter(F.array(levels), lambda s: s["integrated"].isNotNull() & s["loudness_range"].isNotNull() & s["true_peak"].isNotNull())
+    return summaries.select("file_id", F.inline(whole))
