@@ -65,9 +65,9 @@ def streams(listings: DataFrame) -> DataFrame:
 
     Serves every census: subtitle choice, audio choice, remux and caption decisions. A
     key repeated within a block counts by its last value; tag names come in either case.
+    A block is read inside the generator, so no filter on a stream's columns reads it again.
     """
     blocks = F.regexp_extract_all("text", F.lit(r"(?s)\[STREAM\](.*?)\[/STREAM\]"), 1)
-    df = listings.select("file_id", F.posexplode(blocks).alias("idx", "block"))
 
     def pair(line: Column) -> Column:
         value = F.substr(line, F.instr(line, "=") + 1)
@@ -75,26 +75,31 @@ def streams(listings: DataFrame) -> DataFrame:
             F.lower(F.ltrim(F.substring_index(line, "=", 1), F.lit(" \t"))).alias("key"), F.trim(F.substring_index(value, "\r", 1)).alias("value")
         )
 
-    def read(pairs: Column) -> Column:
+    def read(b: Column, at: Column) -> Column:
         def text(key: str) -> Column:
-            return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key.lower()), F.lit(-1))["value"]
+            return F.get(b["values"], (F.array_position(b["keys"], key.lower()) - 1).cast("int"))
 
         flag = lambda key: F.coalesce(text(key) == "1", F.lit(False))
         handler, own = text("TAG:handler_name"), text("TAG:title")
         kind = text("codec_type")
         return F.struct(
-            F.coalesce(text("index").try_cast("int"), F.col("idx")).alias("stream_index"),
+            at.alias("idx"), F.coalesce(text("index").try_cast("int"), at).alias("stream_index"),
             F.when(kind.isin("video", "audio", "subtitle"), kind).otherwise("other").alias("kind"),
             F.coalesce(text("codec_name"), F.lit("")).alias("codec"), F.coalesce(text("channels").try_cast("int"), F.lit(0)).alias("channels"),
             text("TAG:language").alias("language"), F.coalesce(own, F.when(handler != "SubtitleHandler", handler)).alias("title"), own.alias("own_title"),
             F.concat(F.coalesce(F.concat(own, F.lit(" ")), F.lit("")), F.coalesce(F.concat(handler, F.lit(" ")), F.lit(""))).alias("label"),
             flag("DISPOSITION:default").alias("is_default"), flag("DISPOSITION:forced").alias("forced"),
             flag("DISPOSITION:hearing_impaired").alias("hearing_impaired"),
-            F.coalesce(F.exists(pairs, lambda p: (p["key"] == "side_data_type") & F.lower(p["value"]).contains("dovi")), F.lit(False)).alias("dolby_vision"),
+            F.coalesce(F.exists(b["pairs"], lambda p: (p["key"] == "side_data_type") & F.lower(p["value"]).contains("dovi")), F.lit(False)).alias("dolby_vision"),
         )
 
-    lines = F.filter(F.split("block", "\n"), lambda line: line.contains("="))
-    return df.select("file_id", "idx", let(F.transform(lines, pair), read).alias("s")).select("file_id", "idx", "s.*")
+    def stream(block: Column, at: Column) -> Column:
+        lines = F.filter(F.split(block, "\n"), lambda line: line.contains("="))
+        # the last of equal keys comes first
+        found = let(F.reverse(F.transform(lines, pair)), lambda p: F.struct(p.alias("pairs"), p["key"].alias("keys"), p["value"].alias("values")))
+        return let(found, lambda b: read(b, at))
+
+    return listings.select("file_id", F.inline(F.transform(blocks, stream)))
 
 
 def meter_levels(summaries: DataFrame) -> DataFrame:

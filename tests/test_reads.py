@@ -1,5 +1,6 @@
 """How often a job reads what it is given: texts, tables and paths."""
 
+from shelf.operators import audio, captions
 from shelf.sources import probes
 
 
@@ -20,3 +21,39 @@ def test_meter_text_is_read_once(spark):
     got = probes.meter_levels(rows)
     assert [tuple(r) for r in got.collect()] == [(1, -23.4, 7.0, -1.5)]
     assert plan_of(got).count("regexp_extract(") == 3
+
+
+BLOCKS = (
+    "[STREAM]\nindex=0\ncodec_type=video\ncodec_name=h264\nside_data_type=DOVI configuration\nside_data_type=other\n[/STREAM]\n"
+    "[STREAM]\nindex=1\ncodec_type=audio\ncodec_name=aac\ncodec_name=ac3\r\nTAG:LANGUAGE= eng \nTAG:handler_name=Stereo (AAC)\n[/STREAM]\n"
+    "[STREAM]\nindex=x\ncodec_type=audio\ncodec_name=eac3\nchannels=6\nDISPOSITION:default=0\nTAG:title=\n[/STREAM]\n"
+)
+
+
+def listed(spark):
+    return probes.streams(spark.createDataFrame([(1, BLOCKS), (2, "[STREAM]\ncodec_type=data\n[/STREAM]"), (3, ""), (4, None)], "file_id long, text string"))
+
+
+def test_stream_blocks_are_read_once(spark):
+    got = listed(spark).filter("kind = 'audio' and codec <> 'none'")
+    rows = [(r.idx, r.stream_index, r.codec, r.channels, r.language, r.title, r.own_title, r.is_default) for r in got.orderBy("idx").collect()]
+    assert rows == [(1, 1, "ac3", 0, "eng", "Stereo (AAC)", None, False), (2, 2, "eac3", 6, None, "", "", False)]
+    assert [r.dolby_vision for r in listed(spark).orderBy("file_id", "idx").collect()] == [True, False, False, False]
+    # a filter on the columns of a stream reads no block again
+    assert plan_of(got).count("side_data_type") <= 1
+
+
+def test_raise_plan_reads_streams_once(spark):
+    got = audio.raise_plan(listed(spark))
+    rows = {r.file_id: (r.reason, r.source, r.channels, r.dropped, r.mixdown_name) for r in got.collect()}
+    assert rows == {1: (None, 2, 6, 1, "Stereo Mixdown"), 2: ("no video stream", None, None, None, None)}
+    assert plan_of(got).count("Generate ") == 1 and "Join" not in plan_of(got)
+
+
+def test_embedded_captions_read_streams_once(spark):
+    names = ["subrip", "hdmv_pgs_subtitle"]
+    block = lambda codec, forced: f"[STREAM]\ncodec_type=subtitle\ncodec_name={codec}\nDISPOSITION:forced={forced}\nTAG:language=eng\n[/STREAM]"
+    files = spark.createDataFrame([(1, block(names[0], 1) + block(names[0], 0)), (2, block(names[1], 0)), (3, "")], "file_id long, text string")
+    got = captions.embedded_class(files, captions.subtitle_tracks(probes.streams(files)))
+    assert {r.file_id: r.embedded for r in got.collect()} == {1: "1", 2: "bitmap", 3: "none"}
+    assert plan_of(got).count("Generate ") == 1
