@@ -130,17 +130,17 @@ def raise_plan(streams: DataFrame, mark: str = MARK) -> DataFrame:
     The playing track, or the multichannel or Dolby track behind a bare stereo twin,
     which is then dropped.
     """
-    a = audio_streams(streams)
-    fields = ["stream_index", "codec", "channels", "language", "label", "behind"]
-    per = a.groupBy("file_id").agg(
-        F.max(is_marked(F.col("label"), mark)).alias("marked"),
-        F.coalesce(
-            F.min_by(F.struct(*fields), F.when(F.col("is_default"), F.col("ordinal"))), F.min_by(F.struct(*fields), F.col("ordinal"))
-        ).alias("p"),
+    audio = F.col("kind") == "audio"
+    # a file has few streams; gathered by file before the shuffle, they are read once and not sorted as rows
+    fields = F.struct("idx", "stream_index", "codec", "channels", "language", "label", "is_default")
+    per = streams.groupBy("file_id").agg(
+        F.count_if(F.col("kind") == "video").alias("videos"), F.max(F.when(audio, is_marked(F.col("label"), mark))).alias("marked"),
+        F.sort_array(F.collect_list(F.when(audio, fields))).alias("a"),
     )
-    video = streams.groupBy("file_id").agg(F.count_if(F.col("kind") == "video").alias("videos"))
-    df = video.join(per, "file_id", "left")
-    back = F.col("p.behind")
+    flagged = F.array_position(F.transform("a", lambda s: s["is_default"]), True)
+    at = F.greatest(flagged - 1, F.lit(0)).cast("int")
+    df = per.select("file_id", "videos", "marked", F.get("a", at).alias("p"), F.get("a", at + 1).alias("behind"))
+    back = F.col("behind")
     bare = F.col("p.label").contains(TWIN_LABEL) & back.isNotNull() & (back["codec"].isin(AUDIO_TWIN) | (back["channels"] > 2))
     bare = F.coalesce(bare, F.lit(False))
     reason = (
