@@ -146,16 +146,20 @@ def subtitle_tracks(streams: DataFrame) -> DataFrame:
 
 def best_text_track(tracks: DataFrame) -> DataFrame:
     """The text track to show: not forced, English, for the hard of hearing, default, earliest."""
-    rank = F.struct(~F.col("forced"), is_english(), is_sdh(), F.col("is_default"), -F.col("ordinal"))
     chosen = tracks.filter(F.col("codec").isin(TEXT_CODECS))
-    return chosen.groupBy("file_id").agg(F.max_by("ordinal", rank).alias("ordinal"))
+    return chosen.groupBy("file_id").agg(F.max_by("ordinal", _text_rank()).alias("ordinal"))
+
+
+def _text_rank() -> Column:
+    return F.struct(~F.col("forced"), is_english(), is_sdh(), F.col("is_default"), -F.col("ordinal"))
 
 
 def embedded_class(files: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Per file: the text track's ordinal, 'bitmap' when it only has pictures, or 'none'."""
-    any_track = tracks.groupBy("file_id").agg(F.count(F.lit(1)).alias("tracks"))
+    """Per file: the text track's ordinal, 'bitmap' when it only has pictures, or 'none'; tracks are read once."""
+    text = F.when(F.col("codec").isin(TEXT_CODECS), _text_rank())
+    found = tracks.groupBy("file_id").agg(F.count(F.lit(1)).alias("tracks"), F.max_by("ordinal", text).alias("ordinal"))
     return (
-        files.select("file_id").join(any_track, "file_id", "left").join(best_text_track(tracks), "file_id", "left")
+        files.select("file_id").join(found, "file_id", "left")
         .select("file_id", F.when(F.col("ordinal").isNotNull(), F.col("ordinal").cast("string"))
                 .when(F.col("tracks") > 0, "bitmap").otherwise("none").alias("embedded"))
     )
