@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelf.functions import names
-from shelf.functions.names import base_name, folders, path_stem, stem
+from shelf.functions.names import base_name, folders, let, path_stem, stem
 
 # fixed values: picture names that stand for a whole folder, in order of preference
 DIR_ART = ["cover.jpg", "cover.png", "folder.jpg", "front.jpg", "poster.jpg", "poster.png"]
@@ -29,7 +29,8 @@ def unfinished(files: DataFrame) -> DataFrame:
 
 
 def folder_of(path: Column) -> Column:
-    return F.regexp_replace(path, "/?[^/]*$", "")
+    """The folder of a path, empty at the top; matched from the front, since a pattern tied to the end is tried at every place."""
+    return F.regexp_extract(path, r"(?s)^(.*)/", 1)
 
 
 def sibling(path: Column, ext: str) -> Column:
@@ -219,34 +220,44 @@ def affected_media(events: DataFrame, files: DataFrame) -> DataFrame:
 
     Same-stem sidecars concern their media, a poster its media, folder art the folder and
     one level down, music.toml everything beneath.
+
+    What concerns whole folders is settled folder by folder, and files meet it once. Of the prefixes that a file could be
+    named by, only those are tried that have as many points as an event in its folder.
     """
     f = files.filter("status = 'ready'").select("root_id", "rel_path", "file_id", "kind").withColumn("_dir", folder_of(F.col("rel_path")))
     path, name = F.col("event_path"), F.lower(base_name(F.col("event_path")))
     e = events.withColumn("_dir", folder_of(path))
-    # a media path starts with the sidecar's stem and a point: every such prefix of the name is a key
-    dots = F.split(base_name(F.col("rel_path")), r"\.")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(dots) - 1),
-        lambda i: F.when(F.col("_dir") == "", F.array_join(F.slice(dots, F.lit(1), i), ".")).otherwise(
-            F.concat("_dir", F.lit("/"), F.array_join(F.slice(dots, F.lit(1), i), "."))
-        ),
-    )
-    keyed = f.filter(F.size(dots) > 1).select("root_id", "file_id", "rel_path", F.explode(prefixes).alias("_key"))
-    side = e.filter(name.rlike(r"\.(nfo|edl)$") & ~name.isin("tvshow.nfo", "season.nfo")).withColumn("_key", F.regexp_replace(path, r"(?i)\.(nfo|edl)$", ""))
-    poster = e.filter(name.rlike(r"-poster\.(jpg|png)$")).withColumn("_key", F.regexp_replace(path, r"(?i)-poster\.(jpg|png)$", ""))
-    by_stem = side.select("root_id", "event_path", "_key", F.lit("sidecar").alias("why")).unionByName(
-        poster.select("root_id", "event_path", "_key", F.lit("poster").alias("why"))
-    ).join(keyed, ["root_id", "_key"]).select("root_id", "event_path", "file_id", "why")
+    dirs = f.groupBy("root_id", "_dir").agg(F.max(F.col("kind") == "music").alias("_music"))
     art = e.filter(name.isin(DIR_ART)).select("root_id", "event_path", F.col("_dir").alias("_key"))
-    up_one = F.regexp_replace("_dir", "/?[^/]*$", "")
-    here = f.select("root_id", "file_id", F.explode(F.array_distinct(F.array(F.col("_dir"), up_one))).alias("_key"))
-    by_art = art.join(here, ["root_id", "_key"]).select("root_id", "event_path", "file_id", F.lit("folder art").alias("why"))
+    near = dirs.select("root_id", "_dir", F.explode(F.array_distinct(F.array(F.col("_dir"), folder_of(F.col("_dir"))))).alias("_key"))
     toml = e.filter(base_name(path) == "music.toml").select("root_id", "event_path", F.col("_dir").alias("_key"))
     parts = F.when(F.col("_dir") == "", F.array().cast("array<string>")).otherwise(F.split("_dir", "/"))
     above = F.transform(F.sequence(F.lit(0), F.size("_parts")), lambda i: F.array_join(F.slice("_parts", F.lit(1), i), "/"))
-    under = f.filter("kind = 'music'").withColumn("_parts", parts).select("root_id", "file_id", F.explode(above).alias("_key"))
-    by_toml = toml.join(under, ["root_id", "_key"]).select("root_id", "event_path", "file_id", F.lit("overrides").alias("why"))
-    return by_stem.unionByName(by_art).unionByName(by_toml)
+    music = dirs.filter("_music").withColumn("_parts", parts).select("root_id", "_dir", F.explode(above).alias("_key"))
+    shared = near.join(art, ["root_id", "_key"]).select("root_id", "_dir", "event_path", F.lit("folder art").alias("why")).unionByName(
+        music.join(toml, ["root_id", "_key"]).select("root_id", "_dir", "event_path", F.lit("overrides").alias("why"))
+    )
+    # a media path starts with the sidecar's stem and a point
+    side = e.filter(name.rlike(r"\.(nfo|edl)$") & ~name.isin("tvshow.nfo", "season.nfo")).withColumn("_key", F.regexp_replace(path, r"(?i)\.(nfo|edl)$", ""))
+    poster = e.filter(name.rlike(r"-poster\.(jpg|png)$")).withColumn("_key", F.regexp_replace(path, r"(?i)-poster\.(jpg|png)$", ""))
+    stems = side.select("root_id", "_dir", "event_path", "_key", F.lit("sidecar").alias("why")).unionByName(
+        poster.select("root_id", "_dir", "event_path", "_key", F.lit("poster").alias("why"))
+    )
+    points = lambda text: F.size(F.split(base_name(text), r"\."))
+    # at most as many numbers a folder as a name has points
+    tried = stems.groupBy("root_id", "_dir").agg(F.collect_set(points(F.col("_key"))).alias("_tried"))
+    # the numbers are known before the name is split, and it is split once
+    def prefixes(dots: Column) -> Column:
+        start = lambda n: F.array_join(F.slice(dots, F.lit(1), n), ".")
+        fits = F.filter("_tried", lambda n: n < F.size(dots))
+        return F.transform(fits, lambda n: F.when(F.col("_dir") == "", start(n)).otherwise(F.concat("_dir", F.lit("/"), start(n))))
+
+    keys = let(F.split(base_name(F.col("rel_path")), r"\."), prefixes)
+    keyed = f.join(tried, ["root_id", "_dir"]).select("root_id", "file_id", F.explode(keys).alias("_key"))
+    by_stem = stems.join(keyed, ["root_id", "_key"]).select("root_id", "event_path", "file_id", "why")
+    by_folder = f.select("root_id", "_dir", "file_id", "kind").join(shared, ["root_id", "_dir"])
+    by_folder = by_folder.filter("why <> 'overrides' or kind = 'music'").select("root_id", "event_path", "file_id", "why")
+    return by_stem.unionByName(by_folder)
 
 
 def movie_facts(media: DataFrame, nfo: DataFrame, probes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from shelf.functions import text as T
 from shelf.functions.names import folders, path_stem, stem
 from shelf.operators import items, reconcile, segments
 from shelf.plans.registry import query
+from shelf.session import written
 from shelf.sources import inventory, probes, sidecars
 from shelf.sources.bridge import table, view
 
@@ -423,12 +424,13 @@ SELECT f.root_id, e.d || '/cover.jpg' AS event_path, f.file_id, 'folder art' AS
 UNION ALL SELECT f.root_id, regexp_replace(f.rel_path, '\\.[^./]*$', '') || '.nfo', f.file_id, 'sidecar' FROM f WHERE file_id % 13 = 0 AND kind = 'tv'
 UNION ALL SELECT f.root_id, regexp_extract(f.rel_path, '^([^/]*)/', 1) || '/music.toml', f.file_id, 'overrides' FROM f WHERE kind='music'""")
 def _(spark, sf):
-    f = view(spark, sf, "b_files")
+    # files are put together once, and so are the events made of them, which each kind of sidecar reads
+    f = written(view(spark, sf, "b_files").select("root_id", "rel_path", "file_id", "kind", "status"), "media-files")
     ready = f.filter("status = 'ready'")
     art = f.select("root_id", F.concat(reconcile.folder_of(F.col("rel_path")), F.lit("/cover.jpg")).alias("event_path")).distinct()
     nfo = ready.filter("file_id % 13 = 0 and kind = 'tv'").select("root_id", reconcile.sibling(F.col("rel_path"), "nfo").alias("event_path"))
     toml = ready.filter("kind = 'music'").select("root_id", F.concat(F.regexp_extract("rel_path", "^([^/]*)/", 1), F.lit("/music.toml")).alias("event_path")).distinct()
-    return reconcile.affected_media(art.unionByName(nfo).unionByName(toml), f)
+    return reconcile.affected_media(written(art.unionByName(nfo).unionByName(toml), "sidecar-events"), f)
 
 
 @query("u3_sync_roots", """

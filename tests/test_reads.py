@@ -1,8 +1,15 @@
 """How often a job reads what it is given: texts, tables and paths."""
 
-from shelf.operators import audio, captions
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
+from shelf.operators import audio, captions, reconcile
 from shelf.sources import probes
 
+SF = "/root/testdata/sf0.001"
+QUERIES = queries()
+
 
 def plan_of(df) -> str:
     """The optimized plan as text."""
@@ -57,3 +64,22 @@ def test_embedded_captions_read_streams_once(spark):
     got = captions.embedded_class(files, captions.subtitle_tracks(probes.streams(files)))
     assert {r.file_id: r.embedded for r in got.collect()} == {1: "1", 2: "bitmap", 3: "none"}
     assert plan_of(got).count("Generate ") == 1
+
+
+def test_affected_media_by_folder_and_stem(spark):
+    files = spark.createDataFrame(
+        [(1, "a/b/My.Show.S01.mkv", "tv"), (2, "a/b/My.mkv", "tv"), (3, "a/c/d/x.flac", "music"), (4, "top.mkv", "movies"), (5, "a/My.mkv", "movies")],
+        "file_id long, rel_path string, kind string",
+    ).select(F.lit(1).alias("root_id"), "*", F.lit("ready").alias("status"))
+    events = ["a/b/My.nfo", "a/b/My.Show.nfo", "a/b/My.Show.S01-poster.JPG", "a/Cover.jpg", "a/music.toml", "top.edl", "top.nfo", "cover.png", "a/b/other.nfo", "a/b/tvshow.nfo"]
+    got = reconcile.affected_media(spark.createDataFrame([(1, p) for p in events], "root_id int, event_path string"), files)
+    assert {(r.event_path, r.file_id, r.why) for r in got.collect()} == {
+        ("a/b/My.nfo", 1, "sidecar"), ("a/b/My.nfo", 2, "sidecar"), ("a/b/My.Show.nfo", 1, "sidecar"), ("a/b/My.Show.S01-poster.JPG", 1, "poster"),
+        ("a/Cover.jpg", 1, "folder art"), ("a/Cover.jpg", 2, "folder art"), ("a/Cover.jpg", 5, "folder art"), ("a/music.toml", 3, "overrides"),
+        ("top.edl", 4, "sidecar"), ("top.nfo", 4, "sidecar"), ("cover.png", 4, "folder art"), ("cover.png", 5, "folder art"),
+    } and got.count() == 12
+
+
+@pytest.mark.parametrize("name", ["j26_affected_media"])
+def test_files_are_put_together_once(spark, name):
+    assert "l_orderkey" not in plan_of(QUERIES[name](spark, SF))
