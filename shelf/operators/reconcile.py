@@ -58,23 +58,25 @@ def discover_art(media: DataFrame, inventory: DataFrame) -> DataFrame:
     own = pictures.filter(F.col("art_path").rlike(poster)).groupBy("root_id", F.regexp_extract("art_path", poster, 1).alias("_stem")).agg(
         F.min("art_path").alias("_own")  # jpg sorts before png
     )
-    placed = media.withColumn("_dir", F.regexp_replace("rel_path", "/?[^/]*$", "")).withColumn(
-        "_stem", F.coalesce(path_stem(F.col("rel_path")), F.col("rel_path"))
+    # folder pictures by preference: those of an album, and those of a show or season
+    at = lambda names: F.when(base_name(F.col("art_path")).isin(names), F.array_position(F.array(*[F.lit(n) for n in names]), base_name(F.col("art_path"))))
+    shared = pictures.filter(base_name(F.col("art_path")).isin(sorted({*DIR_ART, *SHOW_ART}))).groupBy("root_id", folder_of(F.col("art_path")).alias("_dir")).agg(
+        F.min_by("art_path", at(DIR_ART)).alias("_cover"), F.min_by("art_path", at(SHOW_ART)).alias("_show")
     )
-    inside = lambda where, name: F.when(where == "", F.lit(name)).otherwise(F.concat(where, F.lit("/" + name)))
-    folder = F.col("_dir")
-    above = F.when(folder.contains("/"), F.regexp_replace(folder, "/[^/]*$", ""))
-    shared = [F.when(folder != "", inside(folder, n)) for n in SHOW_ART]
-    upper = [inside(above, n) for n in SHOW_ART]
-    cover = [inside(folder, n) for n in DIR_ART]
-    dirs = placed.filter("kind <> 'movies'").select("root_id", "kind", "_dir").distinct()
-    tried = dirs.select(
-        "root_id", "kind", "_dir", F.posexplode(F.when(F.col("kind") == "music", F.array(*cover)).otherwise(F.array(*shared, *upper))).alias("rank", "art_path")
-    )
-    best = tried.join(pictures, ["root_id", "art_path"]).groupBy("root_id", "kind", "_dir").agg(F.min_by("art_path", "rank").alias("_shared"))
-    df = placed.join(own, ["root_id", "_stem"], "left").join(best, ["root_id", "kind", "_dir"], "left")
-    found = F.when(F.col("kind") == "music", F.col("_shared")).otherwise(F.coalesce("_own", "_shared"))
-    return df.withColumn("found_art", found).drop("_dir", "_stem", "_own", "_shared")
+    placed = media.withColumn("_dir", folder_of(F.col("rel_path"))).withColumn("_stem", F.coalesce(path_stem(F.col("rel_path")), F.col("rel_path")))
+    is_music, is_movie = F.col("kind").eqNullSafe("music"), F.coalesce(F.col("kind") == "movies", F.lit(True))
+    # each kind meets the pictures that it may take, so tracks meet no posters and movies no folders
+    covers = placed.filter(is_music).join(shared.select("root_id", "_dir", "_cover"), ["root_id", "_dir"], "left").withColumn("found_art", F.col("_cover"))
+    named = placed.filter(~is_music).join(own, ["root_id", "_stem"], "left")
+    films = named.filter(is_movie).withColumn("found_art", F.col("_own"))
+    dirs = placed.filter(~is_music & ~is_movie & (F.col("_dir") != "")).select("root_id", "_dir").distinct()
+    shows = shared.filter("_show is not null").select("root_id", F.col("_dir").alias("_at"), "_show")
+    above = F.when(F.col("_dir").contains("/"), folder_of(F.col("_dir")))
+    tried = dirs.select("root_id", "_dir", F.posexplode(F.array_compact(F.array(F.col("_dir"), above))).alias("_rank", "_at"))
+    best = tried.join(shows, ["root_id", "_at"]).groupBy("root_id", "_dir").agg(F.min_by("_show", "_rank").alias("_shared"))
+    episodes = named.filter(~is_movie).join(best, ["root_id", "_dir"], "left").withColumn("found_art", F.coalesce("_own", "_shared"))
+    columns = [*media.columns, "found_art"]
+    return covers.select(*columns).unionByName(films.select(*columns)).unionByName(episodes.select(*columns))
 
 
 def with_overrides(media: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -370,9 +370,8 @@ def _(spark, sf):
     return reconcile.with_overrides(t, top.unionByName(a).unionByName(b)).select("file_id", "over_artist", "over_album")
 
 
-def art_inventory(spark, sf):
-    """Pictures in some folders of every kind of root."""
-    f = view(spark, sf, "b_files")
+def art_inventory(f):
+    """Pictures in some folders of every kind of root, beside the files ``f``."""
     d = f.select("root_id", reconcile.folder_of(F.col("rel_path")).alias("d")).distinct()
     n = F.length("d")
     pics = [F.when(n % 3 == 0, F.concat("d", F.lit("/front.jpg"))), F.when(n % 2 == 0, F.concat("d", F.lit("/poster.png"))), F.when(n % 5 == 0, F.concat(F.regexp_replace("d", "/[^/]*$", ""), F.lit("/folder.jpg")))]
@@ -391,8 +390,9 @@ c AS (SELECT *, unnest(CASE kind WHEN 'music' THEN ['folder.jpg','front.jpg','po
 p AS (SELECT file_id, rk, root_id, CASE WHEN n = 'own' THEN regexp_replace(rel_path, '\\.[^./]*$', '') || '-poster.png' WHEN n LIKE 'up/%' THEN regexp_replace(d, '/[^/]*$', '') || '/' || substr(n, 4) ELSE d || '/' || n END AS p FROM c)
 SELECT f.file_id, b.art AS found_art FROM f LEFT JOIN (SELECT file_id, arg_min(p.p, rk) AS art FROM p JOIN inv ON inv.root_id=p.root_id AND inv.p=p.p GROUP BY 1) b USING (file_id)""")
 def _(spark, sf):
-    files = view(spark, sf, "b_files")
-    return reconcile.discover_art(files, art_inventory(spark, sf)).select("file_id", "found_art")
+    # files and pictures are put together once, each kind reads its own
+    files = written(view(spark, sf, "b_files").select("file_id", "root_id", "kind", "rel_path"), "media-files")
+    return reconcile.discover_art(files, written(art_inventory(files), "pictures")).select("file_id", "found_art")
 
 
 @query("j14_sidecar_times", """

@@ -80,6 +80,21 @@ def test_affected_media_by_folder_and_stem(spark):
     } and got.count() == 12
 
 
-@pytest.mark.parametrize("name", ["j26_affected_media"])
+def test_art_by_kind(spark):
+    files = spark.createDataFrame(
+        [(1, "S/Season 1/e1.mkv", "tv"), (2, "S/Season 2/e1.mkv", "tv"), (3, "S/Season 2/e2.mkv", "tv"), (4, "e3.mkv", "tv"), (5, "S/Season 2/t.flac", "music"),
+         (6, "t.flac", "music"), (7, "S/Season 1/film.mkv", "movies"), (8, "S/film2.mkv", None)],
+        "file_id long, rel_path string, kind string",
+    ).withColumn("root_id", F.lit(1))
+    pictures = ["S/Season 1/poster.png", "S/Season 1/folder.jpg", "S/folder.jpg", "S/Season 2/e2-poster.png", "S/Season 2/e2-poster.jpg", "S/Season 2/cover.png", "S/Season 2/front.jpg",
+                "poster.jpg", "S/film2-poster.png", "S/Season 2/poster.txt"]
+    got = reconcile.discover_art(files, spark.createDataFrame([(1, p) for p in pictures], "root_id int, rel_path string"))
+    assert got.columns == [*files.columns, "found_art"]
+    assert {r.file_id: r.found_art for r in got.collect()} == {
+        1: "S/Season 1/poster.png", 2: "S/folder.jpg", 3: "S/Season 2/e2-poster.jpg", 4: None, 5: "S/Season 2/cover.png", 6: "poster.jpg", 7: None, 8: "S/film2-poster.png",
+    }
+
+
+@pytest.mark.parametrize("name", ["j26_affected_media", "j13_discover_art"])
 def test_files_are_put_together_once(spark, name):
     assert "l_orderkey" not in plan_of(QUERIES[name](spark, SF))
