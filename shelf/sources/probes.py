@@ -60,6 +60,13 @@ def chapters(probes: DataFrame) -> DataFrame:
     ).filter("start_ms is not null and end_ms is not null")
 
 
+# fixed values: what a stream's block calls its columns, in lower case
+STREAM_KEYS = {
+    "index": "index", "kind": "codec_type", "codec": "codec_name", "channels": "channels", "language": "tag:language", "own": "tag:title",
+    "handler": "tag:handler_name", "default": "disposition:default", "forced": "disposition:forced", "impaired": "disposition:hearing_impaired",
+}
+
+
 def streams(listings: DataFrame) -> DataFrame:
     """Stream listings (file_id, text of [STREAM] blocks) as one row per stream.
 
@@ -76,21 +83,22 @@ def streams(listings: DataFrame) -> DataFrame:
         )
 
     def read(b: Column, at: Column) -> Column:
-        def text(key: str) -> Column:
-            return F.get(b["values"], (F.array_position(b["keys"], key.lower()) - 1).cast("int"))
-
-        flag = lambda key: F.coalesce(text(key) == "1", F.lit(False))
-        handler, own = text("TAG:handler_name"), text("TAG:title")
-        kind = text("codec_type")
+        value = lambda key: F.get(b["values"], (F.array_position(b["keys"], key) - 1).cast("int"))
+        dovi = F.exists(b["pairs"], lambda p: (p["key"] == "side_data_type") & F.lower(p["value"]).contains("dovi"))
+        # each key is looked up once, whatever uses its value
+        return let(F.struct(*[value(key).alias(name) for name, key in STREAM_KEYS.items()], dovi.alias("dovi")), lambda v: made(v, at))
+
+    def made(v: Column, at: Column) -> Column:
+        flag = lambda c: F.coalesce(c == "1", F.lit(False))
+        handler, own, kind = v["handler"], v["own"], v["kind"]
         return F.struct(
-            at.alias("idx"), F.coalesce(text("index").try_cast("int"), at).alias("stream_index"),
+            at.alias("idx"), F.coalesce(v["index"].try_cast("int"), at).alias("stream_index"),
             F.when(kind.isin("video", "audio", "subtitle"), kind).otherwise("other").alias("kind"),
-            F.coalesce(text("codec_name"), F.lit("")).alias("codec"), F.coalesce(text("channels").try_cast("int"), F.lit(0)).alias("channels"),
-            text("TAG:language").alias("language"), F.coalesce(own, F.when(handler != "SubtitleHandler", handler)).alias("title"), own.alias("own_title"),
+            F.coalesce(v["codec"], F.lit("")).alias("codec"), F.coalesce(v["channels"].try_cast("int"), F.lit(0)).alias("channels"),
+            v["language"].alias("language"), F.coalesce(own, F.when(handler != "SubtitleHandler", handler)).alias("title"), own.alias("own_title"),
             F.concat(F.coalesce(F.concat(own, F.lit(" ")), F.lit("")), F.coalesce(F.concat(handler, F.lit(" ")), F.lit(""))).alias("label"),
-            flag("DISPOSITION:default").alias("is_default"), flag("DISPOSITION:forced").alias("forced"),
-            flag("DISPOSITION:hearing_impaired").alias("hearing_impaired"),
-            F.coalesce(F.exists(b["pairs"], lambda p: (p["key"] == "side_data_type") & F.lower(p["value"]).contains("dovi")), F.lit(False)).alias("dolby_vision"),
+            flag(v["default"]).alias("is_default"), flag(v["forced"]).alias("forced"), flag(v["impaired"]).alias("hearing_impaired"),
+            F.coalesce(v["dovi"], F.lit(False)).alias("dolby_vision"),
         )
 
     def stream(block: Column, at: Column) -> Column:
