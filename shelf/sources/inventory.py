@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.functions.names import extension
+from shelf.functions.names import extension, let
 
 # fixed values: media types by extension
 VIDEO_TYPES = {
@@ -57,8 +57,12 @@ def locate(files: DataFrame, roots: DataFrame) -> DataFrame:
     if len(few) <= MAPPED_ROOTS:
         # configured roots are few: a literal map of them goes to every task, and no file is shuffled
         known = F.create_map(*[x for r in few for x in (F.lit(r["_root"]), F.struct(F.lit(r["r"]["root_id"]).alias("root_id"), F.lit(r["r"]["kind"]).alias("kind")))])
-        fits = F.filter(above, lambda p: F.map_contains_key(known, p))
-        found = files.withColumn("_root", F.try_element_at(fits, F.lit(-1))).filter("_root is not null").withColumn("r", F.try_element_at(known, F.col("_root")))
+        # only folders as deep as some root are tried, deepest first; the root found is looked up once, in a generator that no filter repeats
+        depths = sorted({r["_root"].count("/") + 1 for r in few}, reverse=True)
+        tried = [F.when(F.size(parts) > n, F.substring_index("path", "/", n)) for n in depths]
+        hits = [F.when(F.map_contains_key(known, p), p) for p in tried]
+        fit = let(F.coalesce(*hits), lambda p: F.filter(F.array(F.struct(p.alias("_root"), F.try_element_at(known, p).alias("r"))), lambda x: x["_root"].isNotNull()))
+        found = files.select("*", F.inline(fit))
     else:
         # numbered, so that equal rows stay apart
         listed = files.withColumn("_nr", F.monotonically_increasing_id()).withColumn("_root", F.explode(above)).join(named, "_root")

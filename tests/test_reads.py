@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from shelf.operators import audio, captions, reconcile
-from shelf.sources import probes
+from shelf.sources import inventory, probes
 
 SF = "/root/testdata/sf0.001"
 QUERIES = queries()
@@ -98,3 +98,15 @@ def test_art_by_kind(spark):
 @pytest.mark.parametrize("name", ["j26_affected_media", "j13_discover_art"])
 def test_files_are_put_together_once(spark, name):
     assert "l_orderkey" not in plan_of(QUERIES[name](spark, SF))
+
+
+def test_root_is_looked_up_once(spark):
+    roots = spark.createDataFrame([(1, "/vol/", "movies"), (2, "/vol/tv", "tv"), (3, "/vol/tv/a/b", "music")], "root_id int, path string, kind string")
+    paths = ["/vol/x.mkv", "/vol/tv/x.mkv", "/vol/tv/a/b/c/x.flac", "/vol/tv/a/x.mkv", "/other/x.mkv", "/vol/tv", "/vol/tv/.hid/x.mkv", "x.mkv", ""]
+    files = spark.createDataFrame(list(enumerate(paths)), "n int, path string")
+    got = inventory.locate(files, roots)
+    assert {(r.n, r.root_id, r.kind, r.rel_path) for r in got.collect()} == {
+        (0, 1, "movies", "x.mkv"), (1, 2, "tv", "x.mkv"), (2, 3, "music", "c/x.flac"), (3, 2, "tv", "a/x.mkv"), (5, 1, "movies", "tv"),
+    }
+    # no list of all folders above a path is made, and no filter repeats the search
+    assert "Generate inline" in plan_of(got) and "sequence(" not in plan_of(got)
