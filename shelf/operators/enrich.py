@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelf.functions import names
 from shelf.functions.names import base_name, folders, stem
 from shelf.operators.reconcile import folder_of, sibling
+from shelf.session import written
 
 MARKER = "generated by shelf"
 SEASON_DIR = r"(?i)^(season[ ._-]*\d*|s\d{1,2})$"
@@ -46,12 +47,14 @@ def _any(text: Column, needles) -> Column:
 
 def _with_state(media: DataFrame, texts: DataFrame, inventory: DataFrame) -> DataFrame:
     """Media with the state of the same-stem sidecar and whether a poster of its own is there."""
-    nfo = texts.filter(F.col("rel_path").endswith(".nfo")).select("root_id", F.col("rel_path").alias("_nfo"), "text")
+    # a text is judged before it meets its media, so that the join carries what it says and not the text
+    nfo = texts.filter(F.col("rel_path").endswith(".nfo")).select("root_id", F.col("rel_path").alias("_nfo"), nfo_state(F.col("text")).alias("n"))
     posters = inventory.filter(F.col("rel_path").endswith("-poster.jpg")).select("root_id", F.col("rel_path").alias("_poster"), F.lit(True).alias("_there"))
     df = media.withColumn("_nfo", sibling(F.col("rel_path"), "nfo"))
     df = df.withColumn("_poster", F.concat(F.coalesce(names.path_stem(F.col("rel_path")), F.col("rel_path")), F.lit("-poster.jpg")))
     df = df.join(nfo, ["root_id", "_nfo"], "left").join(posters, ["root_id", "_poster"], "left")
-    return df.withColumn("n", nfo_state(F.col("text"))).withColumn("has_poster", F.coalesce("_there", F.lit(False))).drop("_nfo", "_poster", "_there", "text")
+    none = nfo_state(F.lit(None).cast("string"))
+    return df.withColumn("n", F.coalesce("n", none)).withColumn("has_poster", F.coalesce("_there", F.lit(False))).drop("_nfo", "_poster", "_there")
 
 
 def movie_tasks(media: DataFrame, texts: DataFrame, inventory: DataFrame, refresh: bool = False, force: bool = False,
@@ -74,7 +77,9 @@ def movie_tasks(media: DataFrame, texts: DataFrame, inventory: DataFrame, refres
 def episode_tasks(media: DataFrame, texts: DataFrame, inventory: DataFrame, refresh: bool = False, force: bool = False) -> DataFrame:
     """Episodes with their series folder and what they need; files whose name holds no episode drop out."""
     path = F.col("rel_path")
-    df = _with_state(media, texts, inventory).withColumn("e", names.episode(stem(path), folders(path))).filter("e is not null")
+    # names are parsed inside a generator: a filter above a projection would parse them again
+    parsed = F.filter(F.array(names.episode(stem(path), folders(path)).alias("e")), lambda e: e.isNotNull())
+    df = _with_state(media, texts, inventory).select("*", F.explode(parsed).alias("e"))
     folder = folder_of(path)
     is_season = base_name(folder).rlike(SEASON_DIR)
     series_dir = F.when(is_season, F.regexp_replace(folder, "/?[^/]*$", "")).otherwise(folder)
@@ -113,7 +118,8 @@ def _needed(lacks: Column, refresh: bool, force: bool) -> Column:
 
 def series_plans(tasks: DataFrame, texts: DataFrame, inventory: DataFrame, refresh: bool = False, force: bool = False) -> DataFrame:
     """One row per series with work: its folder, episodes to describe, posters and folder sidecars to write."""
-    by_season = _by_season(tasks, refresh)
+    # a row a season, which both the series and the seasons are made from
+    by_season = written(_by_season(tasks, refresh), "seasons")
     grouped = by_season.groupBy("k_series").agg(
         F.min("first").alias("first"), F.max("placed").alias("d"), F.sum("episodes").alias("episodes"), F.sum("loose_posters").alias("loose_posters"),
     ).select("k_series", F.col("first.series").alias("series"), "d.root_id", "d.series_dir", "episodes", "loose_posters")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from shelf.operators import audio, captions, reconcile
+from shelf.operators import audio, captions, enrich, reconcile
 from shelf.sources import inventory, probes
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +110,15 @@ def test_root_is_looked_up_once(spark):
     }
     # no list of all folders above a path is made, and no filter repeats the search
     assert "Generate inline" in plan_of(got) and "sequence(" not in plan_of(got)
+
+
+def test_episode_names_are_parsed_once(spark):
+    media = spark.createDataFrame([(1, "Show/Season 1/Show.S01E02.Name.mkv"), (1, "Show/Season 1/Show.S01E03.mkv"), (1, "Show/extra.mkv")], "root_id int, rel_path string")
+    texts = spark.createDataFrame([(1, "Show/Season 1/Show.S01E02.Name.nfo", "<episodedetails><title>Mine</title></episodedetails>")], "root_id int, rel_path string, text string")
+    none = texts.limit(0).select("root_id", "rel_path")
+    tasks = enrich.episode_tasks(media, texts, none)
+    assert {(r.episode, r.write_nfo) for r in tasks.collect()} == {(2, False), (3, True)}
+    assert plan_of(tasks).count("Generate explode(filter(") == 1
+    plans = enrich.series_plans(tasks, texts, none)
+    assert [(r.k_series, r.episodes, r.season_nfos) for r in plans.collect()] == [("show", 1, 1)]
+    assert "S(" not in plan_of(plans) and "Generate" not in plan_of(plans)
