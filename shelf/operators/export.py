@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelf.functions.keys import playlist_title
+from shelf.functions.names import path_stem
 from shelf.operators.items import ready
-from shelf.operators.reconcile import sibling
 from shelf.sources.inventory import MAX_TEXT
 
 
@@ -39,12 +39,14 @@ def write_playlists(items: DataFrame, base_url: str, order: list[str], path: str
 def caption_inventory(files: DataFrame, roots: DataFrame, inventory: DataFrame) -> DataFrame:
     """Every visible video with whether a usable .srt and .rttm stand beside it, and its audio link."""
     video = ready(files).filter(F.col("kind").isin("movies", "tv")).join(roots.select("root_id", F.col("path").alias("root")), "root_id")
-    small = inventory.filter(F.col("size") <= MAX_TEXT).select("root_id", F.col("rel_path").alias("_side"), F.lit(True).alias("_there")).distinct()
-    for ext in ("srt", "rttm"):
-        video = (
-            video.withColumn("_side", sibling(F.col("rel_path"), ext)).join(small, ["root_id", "_side"], "left")
-            .withColumn(ext, F.col("_there").isNotNull()).drop("_side", "_there")
-        )
+    # sidecars are gathered by stem, so that videos meet both kinds in one join
+    ext = F.substring_index("rel_path", ".", -1)
+    small = inventory.filter((F.col("size") <= MAX_TEXT) & F.col("rel_path").rlike(r"\.(srt|rttm)\z"))
+    beside = small.groupBy("root_id", F.regexp_replace("rel_path", r"\.(srt|rttm)\z", "").alias("_stem")).agg(
+        F.max(ext == "srt").alias("srt"), F.max(ext == "rttm").alias("rttm")
+    )
+    video = video.withColumn("_stem", F.coalesce(path_stem(F.col("rel_path")), F.col("rel_path"))).join(beside, ["root_id", "_stem"], "left")
+    video = video.withColumn("srt", F.coalesce("srt", F.lit(False))).withColumn("rttm", F.coalesce("rttm", F.lit(False)))
     return video.select(
         F.col("file_id").alias("id"), "kind", "root", F.col("rel_path").alias("path"), "duration_ms", "srt", "rttm",
         F.concat(F.lit("/audio/"), F.col("file_id").cast("string"), F.lit(".flac")).alias("audio"),

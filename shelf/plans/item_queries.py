@@ -8,6 +8,7 @@ from shelf.functions import formats, keys
 from shelf.operators import export, items, listings, reconcile
 from shelf.plans.browse_queries import episodes, merge_sql, movies, shown, tracks
 from shelf.plans.registry import query
+from shelf.session import written
 from shelf.plans.tree import dimension_id
 from shelf.plans.tree_queries import TITLES_SQL, any_items
 from shelf.sources.bridge import view
@@ -204,20 +205,21 @@ def _(spark, sf):
     return listings.tracks_of_album(tracks(spark, sf), "Supplier#000000007", "Brand#7").select("file_id", "title")
 
 
-def caption_disk(spark, sf):
-    """Sidecars beside some files, a few too large."""
-    f = view(spark, sf, "b_files").select("root_id", "rel_path").distinct()
-    n = F.length("rel_path")
+def caption_disk(files):
+    """Sidecars beside some of the files, a few too large."""
+    f = files.select("root_id", "rel_path").distinct()
+    n, path = F.length("rel_path"), F.col("rel_path")
     big = F.when(n % 7 == 0, 9 * 1024 * 1024).otherwise(100).cast("long")
-    side = lambda ext, step: f.filter(n % step == 0).select("root_id", reconcile.sibling(F.col("rel_path"), ext).alias("rel_path"), big.alias("size"))
-    return side("srt", 2).unionByName(side("rttm", 3))
+    sides = F.array_compact(F.array(*[F.when(n % step == 0, reconcile.sibling(path, ext)) for ext, step in (("srt", 2), ("rttm", 3))]))
+    return f.select("root_id", F.explode(sides).alias("rel_path"), big.alias("size"))
 
 
 @query("s18_caption_inventory", """
 SELECT f.file_id AS id, kind, r.path AS root, rel_path AS path, duration_ms, length(rel_path) % 2 = 0 AND length(rel_path) % 7 <> 0 AS srt, length(rel_path) % 3 = 0 AND length(rel_path) % 7 <> 0 AS rttm, '/audio/' || f.file_id || '.flac' AS audio
 FROM (SELECT b_files.*, 1 AS one FROM b_files) f JOIN (SELECT root_id, path FROM b_roots) r USING (root_id) WHERE status='ready' AND kind <> 'music'""")
 def _(spark, sf):
-    return export.caption_inventory(view(spark, sf, "b_files"), view(spark, sf, "b_roots"), caption_disk(spark, sf))
+    files = written(view(spark, sf, "b_files").select("file_id", "root_id", "kind", "rel_path", "duration_ms", "status"), "media-files")
+    return export.caption_inventory(files, view(spark, sf, "b_roots"), caption_disk(files))
 
 
 @query("s19_playlist", f"""

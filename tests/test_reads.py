@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from shelf.operators import audio, captions, enrich, reconcile
+from shelf.operators import audio, captions, enrich, export, reconcile
 from shelf.sources import inventory, probes
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +122,14 @@ def test_episode_names_are_parsed_once(spark):
     plans = enrich.series_plans(tasks, texts, none)
     assert [(r.k_series, r.episodes, r.season_nfos) for r in plans.collect()] == [("show", 1, 1)]
     assert "S(" not in plan_of(plans) and "Generate" not in plan_of(plans)
+
+
+def test_captions_are_found_in_one_join(spark):
+    files = spark.createDataFrame(
+        [(1, "a/x.mkv"), (2, "a/y.mkv"), (3, "a/z.1.mkv"), (4, "noext"), (5, "a/x.srt.mkv")], "file_id long, rel_path string"
+    ).select("*", F.lit(1).alias("root_id"), F.lit("tv").alias("kind"), F.lit(9).alias("duration_ms"), F.lit("ready").alias("status"))
+    sides = [("a/x.srt", 1), ("a/x.rttm", 1), ("a/y.srt", 9 * 1024 * 1024), ("a/z.1.rttm", 1), ("noext.srt", 1), ("a/x.srt.srt", 1), ("a/y.SRT", 1), ("a/y.txt", 1)]
+    disk = spark.createDataFrame([(1, *s) for s in sides], "root_id int, rel_path string, size long")
+    got = export.caption_inventory(files, spark.createDataFrame([(1, "/r")], "root_id int, path string"), disk)
+    assert {r.id: (r.srt, r.rttm) for r in got.collect()} == {1: (True, True), 2: (False, False), 3: (False, True), 4: (True, False), 5: (True, False)}
+    assert plan_of(got).count("Join") == 2
