@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelf.operators import reconcile
 from shelf.operators.windows import ordered_columns
+from shelf.session import written
 from shelf.sources import catalog, deltas
 
 SETTLE_S = 30  # fixed value: seconds a file must hold still
@@ -276,12 +277,13 @@ def event_changes(files: DataFrame, events: DataFrame, now: Column) -> DataFrame
     already shows them.
     """
     key = ["root_id", "rel_path"]
-    last = latest_events(events)
+    # what several parts of the change draw on is written once
+    last = written(latest_events(events), "latest-events")
     removed = last.filter("not present")
     # those named by an event hand on their time, those beneath one only go
     vanished = files.join(removed.select(*key), key, "left_semi")
-    lost = reconcile.under(files, removed.select("root_id", F.col("rel_path").alias("path")))
-    news = reconcile.unreflected(last.filter("present"), files).select(*key, "size", "mtime", "kind", "mime")
+    lost = written(reconcile.under(files, removed.select("root_id", F.col("rel_path").alias("path"))), "lost-files")
+    news = written(reconcile.unreflected(last.filter("present"), files).select(*key, "size", "mtime", "kind", "mime"), "new-files")
     old = files.join(lost, key, "left_anti").select(*key, "file_id", F.col("added_at").alias("_old"))
     joined = news.join(old, key, "left")
     touched = joined.select(

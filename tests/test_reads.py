@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from shelf.operators import audio, captions, enrich, export, reconcile
 from shelf.sources import inventory, probes
+from shelf.streaming import arrivals
 
 SF = "/root/testdata/sf0.001"
 QUERIES = queries()
@@ -133,3 +134,15 @@ def test_captions_are_found_in_one_join(spark):
     got = export.caption_inventory(files, spark.createDataFrame([(1, "/r")], "root_id int, path string"), disk)
     assert {r.id: (r.srt, r.rttm) for r in got.collect()} == {1: (True, True), 2: (False, False), 3: (False, True), 4: (True, False), 5: (True, False)}
     assert plan_of(got).count("Join") == 2
+
+
+def test_event_batch_is_folded_once(spark):
+    row = (1, "d/x.mkv", 7, 1, 1, "movies", "m", "ready", 5, 5)
+    files = spark.createDataFrame([row, (1, "y.mkv", 8, *row[3:])], "root_id int, rel_path string, file_id long, size long, mtime long, kind string, mime string, status string, added_at long, updated_at long")
+    events = spark.createDataFrame(
+        [(0, 1, 1, "d", 1, 1, "movies", "m", False), (0, 2, 1, "y.mkv", 1, 1, "movies", "m", True), (1, 3, 1, "y.mkv", 2, 1, "movies", "m", True)],
+        "ts int, event_id long, root_id int, rel_path string, size long, mtime long, kind string, mime string, present boolean",
+    )
+    changes = arrivals.event_changes(files, events, F.lit(99))
+    assert {(r.file_id, r.size, r.status, r.added_at, r._gone) for r in changes.collect()} == {(7, 1, "ready", 5, True), (8, 2, "pending", 5, False)}
+    assert "max_by(" not in plan_of(changes)
