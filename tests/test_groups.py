@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from shelf.operators import counts
+from shelf.operators.windows import numbered
 from shelf.plans import tree
 from shelf.plans.tree_queries import library, summary
 
@@ -48,3 +50,20 @@ def test_a_file_at_the_top_makes_no_folder(spark):
     lib.files = spark.createDataFrame([(1, "top.mkv"), (1, "a/b/x.mkv")], "root_id int, rel_path string")
     ids = [r["node_id"] for r in tree.nodes(lib).filter("node_id like 'dir:1%' and parent_id like '%dir%'").collect() if r["node_id"].split(":")[1] == "1"]
     assert len(ids) == len(set(ids)) == 3
+
+
+def test_listings_are_numbered_in_one_sort(spark):
+    """Keys of an order are worked out before rows are sorted; nulls and ties stand as the order says."""
+    items = spark.createDataFrame([(1, "b", 2), (2, "A", None), (3, "a", 5), (4, "B", 1), (5, None, 9)], "file_id long, name string, n int")
+    got = numbered(items, [F.lower("name"), -F.col("n"), "file_id"], ["file_id"])
+    assert got.columns == ["file_id", "nr"]
+    assert [r["file_id"] for r in got.orderBy("nr").collect()] == [5, 2, 3, 1, 4] and rows(got.select("nr")) == [(i,) for i in range(5)]
+
+
+def test_listing_orders_leave_no_sort_to_the_reader(spark):
+    """What is left of the query when it returns is to read numbered rows, no listing passes one task."""
+    got = queries()["l3_listing_orders"](spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "Sort " not in plan and "Limit" not in plan
+    counted = got.groupBy("listing").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count_distinct("pos").alias("n")).collect()
+    assert len(counted) == 7 and all(r["low"] == 1 and r["high"] == r["n"] for r in counted)
