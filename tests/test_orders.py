@@ -137,6 +137,102 @@ def test_matches_where_a_print_has_gaps(spark):
     assert sorted(got) == [i for i in range(3, 40) if i not in (9, 20)]
 
 
+SHARED = segments.Matching(item_s=0.5, min_votes=6, top_offsets=4)
+PRINTS = "season string, part string, file_id long, episode long, pos long, item long"
+
+
+def shared_prints(spark):
+    """Files of two seasons that share passages of 40 items; one has gaps, one begins late, one has an item twice and one has two passages."""
+    rng = random.Random(11)
+    passages = [[rng.randrange(1 << 32) for _ in range(40)] for _ in range(2)]
+    rows = []
+    for f in range(9):
+        body = [rng.randrange(1 << 32) for _ in range(60)]
+        items = [*body[: 5 * f], *passages[0], *body[5 * f :], *(passages[1] if f % 3 == 0 else [])]
+        rows += [(f"s{f % 9 // 7}", "head", f, f // 2 if f < 4 else f, i + 3 * (f == 5), x) for i, x in enumerate(items) if not (f == 2 and i % 17 == 0)]
+    return spark.createDataFrame([*rows, rows[30]], PRINTS)
+
+
+def same_rows(got, want):
+    rows = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == rows and len(rows) > 5
+
+
+def no_pairs_shuffled(df):
+    """One exchange brings prints to the cells, and none comes after them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("Exchange hashpartitioning(season")
+
+
+@pytest.mark.parametrize("crowd", [2, 256])
+def test_shared_items_against_alignments_joined(spark, monkeypatch, crowd):
+    monkeypatch.setattr(segments, "CROWD", crowd)
+    prints = shared_prints(spark)
+    got = segments.shared_items(prints, SHARED)
+    no_pairs_shuffled(got)
+    same_rows(got, segments.aligned(prints, segments.votes(prints, SHARED), SHARED))
+
+
+@pytest.mark.parametrize("lot", [50, 1 << 18])
+def test_shared_runs_against_runs_of_aligned_items(spark, monkeypatch, lot):
+    monkeypatch.setattr(segments, "LOT", lot)
+    monkeypatch.setattr(segments, "PAIRED", lot)
+    prints = shared_prints(spark)
+    got = segments.shared_runs(prints, SHARED)
+    no_pairs_shuffled(got)
+    same_rows(got, segments.runs(segments.aligned(prints, segments.votes(prints, SHARED), SHARED), SHARED))
+
+
+def test_shared_spans_against_spans_of_runs(spark):
+    prints = shared_prints(spark)
+    got = segments.shared_spans(prints, SHARED)
+    no_pairs_shuffled(got)
+    same_rows(got, segments.spans(segments.runs(segments.aligned(prints, segments.votes(prints, SHARED), SHARED), SHARED), prints, SHARED))
+
+
+def told_spans(spark, prints, m):
+    """The first span of each pair that starts in the first half of both files, told to both."""
+    found = {}
+    half = {r["file_id"]: r["n"] * m.item_s / 2 for r in prints.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for r in sorted(segments.spans(segments.runs(segments.aligned(prints, segments.votes(prints, m), m), m), prints, m).collect(), key=lambda r: r["place"]):
+        if r["part"] == "tail" or (r["a_start"] < half[r["a_id"]] and r["b_start"] < half[r["b_id"]]):
+            found.setdefault((r["season"], r["part"], r["a_id"], r["b_id"]), r)
+    return [(s, p, r[f"{x}_id"], r[f"{x}_start"], r[f"{x}_end"]) for (s, p, _, _), r in found.items() for x in "ab"]
+
+
+def test_chosen_spans_leave_the_cell_alone(spark):
+    prints = shared_prints(spark)
+    prints = prints.unionByName(prints.withColumn("part", F.lit("tail")))
+    files = prints.filter("part = 'head'").groupBy("season", "file_id").agg((F.count(F.lit(1)) * SHARED.item_s).alias("duration_s"))
+    got = segments.chosen_spans(prints, files, SHARED)
+    no_pairs_shuffled(got)
+    want = told_spans(spark, prints.filter("part = 'head'"), SHARED) + told_spans(spark, prints.filter("part = 'tail'"), SHARED)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 20
+
+
+def test_counted_spans_have_the_medians_of_all(spark):
+    prints = shared_prints(spark)
+    files = prints.groupBy("season", "file_id").agg((F.count(F.lit(1)) * SHARED.item_s).alias("duration_s"))
+    told = segments.chosen_spans(prints, files, SHARED)
+    counts = segments.chosen_counts(prints, files, SHARED)
+    assert counts.count() < 2 * told.count()
+    needs = spark.createDataFrame([("s0", 2), ("s1", 1)], "season string, need int")
+    same_rows(segments.consensus_of_counts(counts, needs), segments.consensus(told, needs))
+
+
+def test_lists_of_a_print_are_cut_and_dealt_as_their_items_are(spark):
+    """One file has two lists, the longer of which tells where its tail begins."""
+    m = segments.Matching(item_s=1.0, head_s=6.0, tail_s=4.0)
+    lists = spark.createDataFrame([("s", 1, 1, list(range(20))), ("s", 2, 2, list(range(3))), ("s", 3, 3, list(range(9))), ("s", 3, 3, list(range(7)))], "season string, file_id long, episode long, item array<long>")
+    lists = lists.withColumns({"n": F.size("item"), "part": F.lit("head"), "pos": F.lit(None).cast("array<int>")})
+    rows = lists.select("season", "part", "file_id", "episode", F.posexplode("item").alias("pos", "item"))
+    found = segments.ends(lists, m)
+    places = found.select("part", "file_id", F.posexplode("item").alias("pos", "item"))
+    want = segments.head_and_tail(rows.drop("part"), m).select("part", "file_id", "pos", "item")
+    assert sorted(map(tuple, places.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(tuple(r) for r in segments.votes(lists, segments.Matching(min_votes=1)).collect()) == sorted(tuple(r) for r in segments.votes(rows, segments.Matching(min_votes=1)).collect())
+
+
 def test_medians_are_ranked_in_two_sorts_and_as_many_tasks_as_asked(spark):
     rng = random.Random(8)
     rows = [(f"s{i % 3}", "head", i % 7, float(rng.randrange(40)), float(rng.randrange(30, 90))) for i in range(300)]
