@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from shelf.operators import segments
 from shelf.plans import tree
 from shelf.plans.tree_queries import library
+from shelf.session import checkpoint_dir
 from shelf.sources.bridge import tasks_for
 
 
@@ -75,6 +77,16 @@ def test_only_the_listings_asked_for_are_made(spark):
         assert rows(got) == rows(whole.filter(kept)) != []
 
 
+def test_leaves_under_every_container_are_those_scopes_names(spark):
+    lib = library(spark, "/root/testdata/sf0.001")
+    leaf = F.when(F.col("node_id").startswith("dir:"), "dir").otherwise(F.concat_ws(":", F.slice(F.split("node_id", ":"), 1, 2)))
+    over = tree.leaves_of(tree.node_items(lib, fields=[])).select(leaf.alias("leaf"), F.explode("scopes.scope").alias("scope")).distinct()
+    found = over.groupBy("scope").agg(F.array_sort(F.collect_set("leaf")).alias("want")).withColumn("got", F.array_sort(tree.leaves_under(F.col("scope"))))
+    assert found.filter("got <> want").collect() == [] and found.count() > 100
+    asked = spark.createDataFrame([("mv",), ("dir:3:x",), ("nothing",), (None,)], "scope string")
+    assert tree.asked_leaves(asked) == ["mv:all", "dir"] and tree.asked_leaves(asked.filter("scope = 'nothing'")) == tree.LISTINGS
+
+
 @pytest.mark.parametrize("crowd", [2, 256])
 def test_votes_against_plain_counting(spark, monkeypatch, crowd):
     monkeypatch.setattr(segments, "CROWD", crowd)
