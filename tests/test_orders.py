@@ -77,6 +77,36 @@ def test_only_the_listings_asked_for_are_made(spark):
         assert rows(got) == rows(whole.filter(kept)) != []
 
 
+def scratch_names(spark):
+    """What has been written so far, by name, with the rows of each."""
+    at = Path(checkpoint_dir(spark).removeprefix("file:")) / f"tables-{spark.sparkContext.applicationId}"
+    return {x.name for x in at.iterdir()} if at.exists() else set()
+
+
+def own_library(spark):
+    """Three albums of two artists, one title in two spellings of a genre, and two films, as the frames of a library without paths."""
+    tracks = [(-i, 20, f"a{i % 2}/b{i % 3}", 20240101 + i, f"T{i}", f"a{i % 2}", None, f"b{i % 3}", 1, i, 1990, "Rock" if i % 2 else "rock") for i in range(1, 13)]
+    t = spark.createDataFrame(tracks, "file_id long, root_id int, folder string, added_at int, title string, artist string, album_artist string, album string, disc_no int, track_no int, year int, genre string")
+    name = F.array(F.struct(tree.dimension_id(F.col("genre")).alias("id"), F.col("genre").alias("name")))
+    t = t.withColumn("genres", name)
+    files = t.select("file_id", F.lit("music").alias("kind"), "root_id", "folder", "title", "year", "artist", "album")
+    return tree.Library(movies=None, episodes=None, tv_series=None, tracks=t, files=files, roots=spark.createDataFrame([(20, "music", "/vol/Music")], "root_id int, kind string, path string"))
+
+
+def test_listings_of_the_librarys_own_rows_are_not_written_again(spark):
+    lib, before = own_library(spark), scratch_names(spark)
+    items = tree.node_items(lib, leaves=["mu:album", "mu:genre", "dir"], fields=["title"])
+    assert scratch_names(spark) == before
+    got = {}
+    for r in tree.places(items).collect():
+        got.setdefault(r["node_id"].split(":")[0] + ":" + r["node_id"].split(":")[1], []).append((r["node_id"], r["place"], r["file_id"]))
+    assert {k: len(v) for k, v in got.items()} == {"mu:album": 12, "mu:genre": 12, "dir:20": 12}
+    # one genre, in the order of its titles
+    assert [-f for _, _, f in sorted(got["mu:genre"])] == [1, 10, 11, 12, 2, 3, 4, 5, 6, 7, 8, 9]
+    for _, place, f in got["mu:album"]:
+        assert place == len([g for g in range(1, 13) if g % 6 == -f % 6 and g <= -f])
+
+
 def test_leaves_under_every_container_are_those_scopes_names(spark):
     lib = library(spark, "/root/testdata/sf0.001")
     leaf = F.when(F.col("node_id").startswith("dir:"), "dir").otherwise(F.concat_ws(":", F.slice(F.split("node_id", ":"), 1, 2)))
