@@ -107,6 +107,16 @@ def test_listings_of_the_librarys_own_rows_are_not_written_again(spark):
         assert place == len([g for g in range(1, 13) if g % 6 == -f % 6 and g <= -f])
 
 
+def test_items_are_sorted_by_their_id_once(spark):
+    """The id that ends a key isn't shuffled beside the id itself, and orders items of one title all the same."""
+    rows = [("n", i, f"{'x' if i % 2 else 'X'}{i % 3}") for i in (-(2**40), -5, -4, 0, 7, 8, 9, 2**40)]
+    items = spark.createDataFrame(rows, "node_id string, file_id long, title string").withColumn("key", F.concat(tree.joined_key(F.lower("title")), tree.id_key(F.col("file_id"))))
+    node, key, last = tree.listed_order()
+    assert (node, last) == ("node_id", "file_id") and {r[0] for r in items.select(key).collect()} == {f"x{k}{tree.MARK}" for k in range(3)}
+    got = {r["place"]: r["file_id"] for r in tree.places(items).collect()}
+    assert [got[k + 1] for k in range(len(rows))] == [i for _, i, _ in sorted(rows, key=lambda r: (r[2].lower(), r[1]))]
+
+
 def test_leaves_under_every_container_are_those_scopes_names(spark):
     lib = library(spark, "/root/testdata/sf0.001")
     leaf = F.when(F.col("node_id").startswith("dir:"), "dir").otherwise(F.concat_ws(":", F.slice(F.split("node_id", ":"), 1, 2)))
