@@ -127,6 +127,14 @@ def test_leaves_under_every_container_are_those_scopes_names(spark):
     assert tree.asked_leaves(asked) == ["mv:all", "dir"] and tree.asked_leaves(asked.filter("scope = 'nothing'")) == tree.LISTINGS
 
 
+def test_an_unwanted_first_place_hides_the_wanted_ones_behind_it(spark):
+    rows = [("mv:genre:1", 1, "a" + tree.MARK, "old"), ("mv:genre:2", 1, "b" + tree.MARK, "new"), ("mv:genre:1", 2, "a" + tree.MARK, "new"), ("mv:genre:2", 3, "b" + tree.MARK, "new"), ("mv:genre:2", 4, "b" + tree.MARK, "old")]
+    items = spark.createDataFrame(rows, "node_id string, file_id long, at string, title string").withColumns({
+        "kind": F.lit("movies"), "key": tree.id_key(F.col("file_id")), "view": F.lit(""), "folder_root": F.lit(None).cast("long"), "folder": F.lit(None).cast("string")})
+    shown = lambda *wanted: sorted((r["file_id"], r["title"]) for r in tree.scope_items(items, "mv:genre", *wanted).collect())
+    assert shown() == [(1, "old"), (2, "new"), (3, "new"), (4, "old")] and shown(F.col("title") == "new") == [(2, "new"), (3, "new")]
+
+
 @pytest.mark.parametrize("crowd", [2, 256])
 def test_votes_against_plain_counting(spark, monkeypatch, crowd):
     monkeypatch.setattr(segments, "CROWD", crowd)
