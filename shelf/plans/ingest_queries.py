@@ -410,10 +410,12 @@ SELECT l.file_id, CASE WHEN p_partkey % 7 <> 0 THEN p_name || ' & co' ELSE p_nam
 FROM b_movies l JOIN part ON p_partkey = (l.file_id // 10000) % 100000""")
 def _(spark, sf):
     m = view(spark, sf, "b_movies")
-    part_of = m.select("file_id", F.expr("(file_id div 10000) % 100000").alias("part"))
+    # the bridge's line items can repeat an id; each has one description and one tag all the same
+    ids = m.select("file_id").distinct()
+    part_of = ids.select("file_id", F.expr("(file_id div 10000) % 100000").alias("part"))
     n = sidecars.read_nfo(nfo_texts(spark, sf)).withColumnRenamed("file_id", "part")
     nfo = part_of.join(n, "part").drop("part")
-    tags = m.select("file_id", F.lit("Tag").alias("tag_genre"))
+    tags = ids.select("file_id", F.lit("Tag").alias("tag_genre"))
     facts = reconcile.movie_facts(m.select("file_id", "rel_path"), nfo, tags)
     return facts.select("file_id", "title", "year", "rating", F.array_join("genres", "|").alias("genres"))
 

@@ -1,12 +1,14 @@
 """How often a job reads what it is given: texts, tables and paths."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from __spark_entry__ import oracle_sql, queries
 from shelf.operators import audio, captions, enrich, export, reconcile
 from shelf.sources import inventory, probes
 from shelf.streaming import arrivals
+from tests.compare import compare
 
 SF = "/root/testdata/sf0.001"
 QUERIES = queries()
@@ -146,3 +148,18 @@ def test_event_batch_is_folded_once(spark):
     changes = arrivals.event_changes(files, events, F.lit(99))
     assert {(r.file_id, r.size, r.status, r.added_at, r._gone) for r in changes.collect()} == {(7, 1, "ready", 5, True), (8, 2, "pending", 5, False)}
     assert "max_by(" not in plan_of(changes)
+
+
+def test_a_repeated_id_brings_its_description_once(spark, tmp_path):
+    """Two line items of one id are two rows, as in the SQL, not four for each."""
+    part = [(k, f"red bolt {k}", "Brand#1", "BRASS", 20) for k in (1, 2, 7)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(3, "S", 0)], "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(5, n, k, 3, 1.0, 10.0, "F") for n, k in ((1, 1), (1, 1), (2, 2), (3, 7), (3, 7))]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_linestatus string")
+    lines.withColumn("l_shipdate", F.lit("1995-01-02").cast("date")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "supplier", "lineitem"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    diff, n = compare(spark, con, str(tmp_path), queries()["j15_movie_facts"], oracle_sql()["j15_movie_facts"])
+    assert diff is None and n == 5
